@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import chat
+from kelpie.llm import chat, media, packing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,5 +40,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op8_chat_formatting": op8_chat_formatting}
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary; KELPIE_TOKENIZERS names another folder of them."""
+    if folder := os.environ.get("KELPIE_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+QUERIES = {"op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
 ORACLES = {"op8_chat_formatting": OP8_SQL}
