@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import chat, media, packing
+from kelpie.llm import chat, decontamination, media, packing, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,5 +57,49 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {"op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
-ORACLES = {"op8_chat_formatting": OP8_SQL}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP7_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+shifts AS (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM items WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g FROM shifts),
+sizes AS (SELECT DISTINCT k FROM wins),
+grams AS (
+  SELECT d, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT d, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM words, sizes WHERE len(w) >= k)),
+found AS (SELECT d, item_id, p, wins.k AS k FROM grams JOIN wins ON grams.g = wins.g AND grams.k = wins.k),
+hit AS (SELECT d, count(DISTINCT q) AS n_hit FROM (SELECT d, unnest(generate_series(p, p + k - 1)) AS q FROM found) GROUP BY d),
+ids AS (SELECT d, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS listed FROM (SELECT DISTINCT d, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY d)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hit USING (d) LEFT JOIN ids USING (d)
+"""
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archives = warc.write_archives(pages)
+    found = warc.captures(archives, pages.select("url", F.col("page_id").alias("id")))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h),
+b AS (
+  SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(h, 10 * c + 1, 10))::BIGINT >> (35 - 5 * j)) & 31 AS INTEGER), 1), '' ORDER BY c, j) AS digest
+  FROM m, (SELECT unnest(range(4)) AS c), (SELECT unnest(range(8)) AS j) GROUP BY h)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = top OR top IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top OR top IS NULL THEN NULL ELSE top END AS refers_to
+FROM p JOIN m USING (h) JOIN b USING (h)
+"""
+
+QUERIES = {"op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
+ORACLES = {"op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL, "op8_chat_formatting": OP8_SQL}
