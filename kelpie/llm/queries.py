@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import chat, decontamination, media, packing, warc
+from kelpie.llm import chat, decontamination, media, packing, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -101,5 +101,16 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes, digest AS payload_d
 FROM p JOIN m USING (h) JOIN b USING (h)
 """
 
-QUERIES = {"op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
+def fold(key: str, n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col(key).cast("string")) % n
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"), where=fold("doc_id", 3) != 1)
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
 ORACLES = {"op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL, "op8_chat_formatting": OP8_SQL}
