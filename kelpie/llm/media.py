@@ -193,7 +193,7 @@ def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """Per row of ``docs``: key, n_bytes and the features of its stored payload, resolved through its sequence."""
     media = staged(payload_media(docs, text), "media")
     seqs = sequences(text_pages(docs, key, text), key, "html")
-    found = resolve(seqs, key, describe(media))
+    found = resolve(seqs, key, staged(describe(media), "described"))
     return found.select(
         key, F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256",
         "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
