@@ -130,7 +130,7 @@ def _rows(sample: DataFrame, text: str, toxic: str, chosen: dict[int, int]) -> D
     return sample.select(text, toxic).mapInArrow(run, "toxic long, features array<long>, pairs array<array<long>>")
 
 
-def fit_rows(rows: list[tuple[int, list[int]]], pairs: list[list[int]], n_features: int, l1: float = 2e-4, pairing: float = 1.0, steps: int = 800) -> tuple[float, np.ndarray]:
+def fit_rows(rows: list[tuple[int, list[int]]], pairs: list[list[int]], n_features: int, l1: float = 3e-5, pairing: float = 1.0, steps: int = 1500) -> tuple[float, np.ndarray]:
     """Intercept and non-negative weights by accelerated proximal gradient on log loss + l1 + pairing * mean
     squared logit change over the counterfactual pairs."""
     y = np.array([r[0] for r in rows], float)
