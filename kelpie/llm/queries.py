@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import chat, decontamination, media, packing, toxicity, warc
+from kelpie.llm import chat, decontamination, media, packing, repeats, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -112,5 +112,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.summarise(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_suffix_dedup": op9_suffix_dedup, "op2_toxicity": op2_toxicity, "op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
 ORACLES = {"op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL, "op8_chat_formatting": OP8_SQL}
