@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     given = labels.select(key, F.col(toxic).cast("int").alias("toxic")).where(f"toxic is not null and {key} is not null")
     given = given.where(where) if where is not None else given
     given = given.groupBy(key).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(key), key).limit(max_rows)
-    sample = docs.select(key, F.col(text).alias("text")).join(F.broadcast(given), key).repartition(12, "text").select("text", "toxic")
+    sample = docs.select(key, F.col(text).alias("text")).join(F.broadcast(given), key).repartition(12, key).select("text", "toxic")
     counts = _count_features(sample, "text", "toxic")
     # few of the texts of either class hold a feature that one class has by chance
     best = counts.where((F.col("pos") >= min_texts) & (F.col("pos") > F.col("neg"))).select("feature", (F.col("pos") * F.log(F.col("pos") / (F.col("neg") + 0.5))).alias("gain")).orderBy(F.desc("gain"), "feature").limit(max_features).collect()
