@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kelpie.llm._common import column, partitions, staged
 
-ARCHIVE_BYTES = 4_000_000
+ARCHIVE_BYTES = 1_000_000
 BLOCK_LINES = 2_000
 #: Fixed date of records, so that equal input gives equal archives.
 DATE = "2024-01-01T00:00:00Z"
