@@ -117,7 +117,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_components(_read(spark, sf_dir, "documents"))
+    return jaccard.join_components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP4_SQL = r"""
