@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import chat, decontamination, jaccard, lm, media, packing, repeats, toxicity, warc
+from kelpie.llm import chat, decontamination, jaccard, lm, media, packing, repeats, tokencounts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -142,5 +142,9 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op3_lm_scoring": op3_lm_scoring, "op4_jaccard_join": op4_jaccard_join, "op9_suffix_dedup": op9_suffix_dedup, "op2_toxicity": op2_toxicity, "op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.edited_counts(_read(spark, sf_dir, "documents"), tokencounts.review_edits(F.col("text")), tokenizer("byte_bpe_50k.tiktoken"))
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op3_lm_scoring": op3_lm_scoring, "op4_jaccard_join": op4_jaccard_join, "op9_suffix_dedup": op9_suffix_dedup, "op2_toxicity": op2_toxicity, "op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
 ORACLES = {"op4_jaccard_join": OP4_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL, "op8_chat_formatting": OP8_SQL}
