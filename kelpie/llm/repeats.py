@@ -36,7 +36,7 @@ GRAM = 64
 #: Offsets that share a key in the runs of a hot anchor.
 STEP = 16
 #: Occurrences from which an anchor may count as hot, and hot anchors at most (those with most occurrences).
-HOT_FROM, HOT_MOST = 3_000, 10_000
+HOT_FROM, HOT_MOST = 1_000, 10_000
 _PLACE = 21  # bits of a position in a chunk
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _FACTOR)
@@ -316,7 +316,7 @@ def find_repeats(docs: DataFrame, text: str = "text", match: int = 200, hot_from
     hot = told.where("owner is null").select("data").limit(20 * HOT_MOST).collect()  # few anchors have so many occurrences
     ranked = sorted((np.frombuffer(r["data"], "<u8") for r in hot), key=lambda x: (-int(x[1]), int(x[0])))[:HOT_MOST]
     asked = told.where("owner is not null").groupBy("owner").agg(F.collect_list("data").alias("told"))
-    segments = _cut_segments(light.join(asked, "owner"), match, parts, frozenset(int(x[0]) for x in ranked))
+    segments = _cut_segments(light.join(asked, "owner"), match, 8 * parts, frozenset(int(x[0]) for x in ranked))
     spans = segments.groupBy("part").applyInArrow(_judge(match), "owner long, data binary")
     spans = staged(spans.groupBy("owner").agg(F.collect_list("data").alias("repeated")), "spans")
     return keyed.join(spans, "owner", "left").drop("owner")
