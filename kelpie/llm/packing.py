@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from kelpie.llm._common import Words, column, ragged, text_bytes
 
 #: Tokens packed together at most; bounds a task's memory.
-WINDOW = 4_000_000
-#: Different words that a worker keeps encoded at most; then its cache starts anew.
-CACHE = 1_500_000
+WINDOW = 1_000_000
+#: Words other than of a-z that a worker keeps encoded at most; then its cache starts anew.
+CACHE = 200_000
 
 
 def capacities(total: int, size: int) -> np.ndarray:
@@ -62,53 +62,81 @@ def balance(lengths: np.ndarray, size: int, scale: float) -> list[tuple[int, int
 
 
 class WordEncoder:
-    """Ids of whole texts by encoding each different word once.
+    """Ids of whole texts by encoding each different word of a batch once.
 
     The tokenizer lower-cases, drops white space, and keeps a run of letters apart from a run of these marks, so
-    a text's ids are its words' ids end to end, and a word's are those of its letters and its closing marks;
-    ``tests/llm`` holds this against encoding whole texts."""
+    a text's ids are its words' ids end to end, and a word's are those of its letters and its closing marks. Words
+    of a-z go through the same merges as byte ranks, many at a time: their last letter stands in upper case for
+    the end of a word. Other words go through the tokenizer itself. ``tests/llm`` holds all this against encoding
+    whole texts."""
 
     _WORD = re.compile(rb"([A-Za-z]+)([.,;:!?*$%&#]*)")
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._fresh()
-
-    def _fresh(self) -> None:
-        self.pieces: dict[bytes, list[int]] = {}
-        self.known: dict[bytes, int] = {}
-        self.ids, self.size = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        split = [(m[1].lower(), m[2]) if (m := self._WORD.fullmatch(w)) else (w, b"") for w in words]
-        new = list({p for pair in split for p in pair if p not in self.pieces})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
-                self.pieces[p] = e.ids
-        flat = [self.pieces[core] + self.pieces[tail] for core, tail in split]
-        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
-        ids = np.fromiter(itertools.chain.from_iterable(flat), np.uint32, int(lengths.sum()))
-        if self.size + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.size], np.zeros(max(self.size, len(ids)), np.uint32)])
-        self.ids[self.size : self.size + len(ids)] = ids
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.starts = np.concatenate([self.starts, self.size + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.size += len(ids)
+        vocabulary = self.tokenizer.get_vocab()
+        ranks = {}
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            plain = token.removesuffix("</w>")
+            if re.fullmatch("[a-z]+", plain):
+                ranks[(plain[:-1] + plain[-1].upper() if plain != token else plain).encode()] = i
+                self.is_end[i] = plain != token
+        self.ranks = tiktoken.Encoding("letters", pat_str="[a-z]*[A-Z]", mergeable_ranks=ranks, special_tokens={})
+        self.other: dict[bytes, list[int]] = {}
+
+    def _encode_other(self, words: list[bytes]) -> list[list[int]]:
+        new = [w for w in dict.fromkeys(words) if w not in self.other]
+        if len(self.other) + len(new) > CACHE:
+            self.other = {}
+            new = list(dict.fromkeys(words))
+        for lo in range(0, len(new), 10_000):
+            part = new[lo : lo + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self.other[w] = e.ids
+        return [self.other[w] for w in words]
+
+    def words(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words, anywhere in one array, and each word's start and length there."""
+        plain, cores, tails, rest = [], [], [], []
+        for i, w in enumerate(names):
+            if m := self._WORD.fullmatch(w):
+                plain.append(i)
+                cores.append(m[1])
+                tails.append(m[2])
+            else:
+                rest.append(i)
+        ends = list({t: None for t in tails})
+        marks = self._encode_other(ends)
+        which = {t: k for k, t in enumerate(ends)}
+        joined = "".join([c[:-1].lower().decode() + c[-1:].upper().decode() for c in cores])
+        core_ids = np.array(self.ranks.encode_ordinary(joined), np.uint32) if joined else np.zeros(0, np.uint32)
+        last = np.flatnonzero(self.is_end[core_ids]) + 1
+        core_length = np.diff(np.concatenate([[0], last]))
+        if len(core_length) != len(cores):
+            raise ValueError("the vocabulary doesn't end words as expected")
+        mark_length = np.array([len(m) for m in marks], np.int64)
+        mark_start = np.cumsum(mark_length) - mark_length
+        mark_ids = np.array([i for m in marks for i in m], np.uint32)
+        tail = np.fromiter((which[t] for t in tails), np.int64, len(tails))
+        other = self._encode_other([names[i] for i in rest])
+        lengths = np.zeros(len(names), np.int64)
+        lengths[plain] = core_length + mark_length[tail]
+        lengths[rest] = [len(o) for o in other]
+        starts = np.cumsum(lengths) - lengths
+        ids = np.zeros(int(lengths.sum()), np.uint32)
+        ids[ragged(starts[plain], core_length)] = core_ids
+        ids[ragged(starts[plain] + core_length, mark_length[tail])] = mark_ids[ragged(mark_start[tail], mark_length[tail])]
+        ids[ragged(starts[rest], lengths[rest])] = np.fromiter(itertools.chain.from_iterable(other), np.uint32, int(lengths[rest].sum()))
+        return ids, starts, lengths
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, each text followed by ``end``, and the n + 1 offsets."""
         words = Words(texts, bytes(range(256)))
-        names = words.dictionary.cast(pa.binary()).to_pylist()
-        if len(self.known) + len(names) > CACHE:
-            self._fresh()
-        self._learn([w for w in names if w not in self.known])
-        at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
-        starts, lengths = self.starts[at], self.lengths[at]
+        ids, starts, lengths = self.words(words.dictionary.cast(pa.binary()).to_pylist())
         codes, offsets = words.codes, words.offsets
         n = lengths[codes]
         before = np.concatenate([[0], np.cumsum(n)])
@@ -116,7 +144,7 @@ class WordEncoder:
         out = np.full(int(bounds[-1]), end, np.uint32)
         keep = np.ones(len(out), bool)
         keep[bounds[1:] - 1] = False
-        out[keep] = self.ids[ragged(starts[codes], n)]
+        out[keep] = ids[ragged(starts[codes], n)]
         return out, bounds
 
 
