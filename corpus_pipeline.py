@@ -19,7 +19,7 @@ TOXIC_FROM = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, fitted on the labelled ones, scores as toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC_FROM).select(docs.columns)
+    return toxicity.score(docs, model, out="__score").where(F.col("__score") < TOXIC_FROM).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth of the words or more lies in benchmark windows."""
-    keyed = docs.withColumn("row_text", F.xxhash64("text"))
-    found = decontamination.contamination(keyed.select("row_text", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row_text")
-    return keyed.join(found.where("contaminated").select("row_text").distinct(), "row_text", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("__row_text", F.xxhash64("text"))
+    found = decontamination.contamination(keyed.select("__row_text", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__row_text")
+    return keyed.join(found.where("contaminated").select("__row_text").distinct(), "__row_text", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,15 +38,15 @@ def _drop_staged() -> None:
             return
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage, survives lost
-    executors, is computed once. Dropped when the driver's process ends."""
+    executors, is computed once. Dropped when the driver's process ends. ``files``: at most so many."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kelpie-{name}-{uuid.uuid4().hex[:12]}"
     if not _STAGED:
         atexit.register(_drop_staged)
     _STAGED.append((spark, path))
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

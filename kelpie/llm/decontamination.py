@@ -163,12 +163,18 @@ def near_positions(terms: np.ndarray, lists: dict[int, np.ndarray], frequency: d
     return p
 
 
+def _hit_frame(shard: int, spans: dict[int, list], named: dict[int, set]) -> pd.DataFrame:
+    return pd.DataFrame({
+        "shard": pd.Series([shard] * len(spans), dtype="int64"), "doc": pd.Series(list(spans), dtype="int64"),
+        "spans": pd.Series(list(spans.values()), dtype=object), "items": pd.Series([sorted(named[d]) for d in spans], dtype=object)})
+
+
 def _matcher(by_text: dict[bytes, list[str]], frequency: dict[int, int], window: int, slop: int | None):
     """Searches one shard for a block of items."""
 
     def run(ids: tuple, group: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         if group.empty or docs.empty:
-            return pd.DataFrame({"shard": [], "doc": [], "spans": [], "items": []})
+            return _hit_frame(ids[0], {}, {})
         lists = _lists(group)
         counts = np.asarray(docs["words"].iloc[0], np.int64)
         starts = np.concatenate([[0], np.cumsum(counts + GAP)])
@@ -185,7 +191,7 @@ def _matcher(by_text: dict[bytes, list[str]], frequency: dict[int, int], window:
                 else:
                     mine.append({"s": p, "e": p + width})
                 named.setdefault(d, set()).update(k for k in keys if k is not None)
-        return pd.DataFrame({"shard": ids[0], "doc": list(spans), "spans": list(spans.values()), "items": [sorted(named[d]) for d in spans]})
+        return _hit_frame(ids[0], spans, named)
 
     return run
 

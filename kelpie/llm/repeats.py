@@ -303,23 +303,23 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def find_repeats(docs: DataFrame, text: str = "text", match: int = 200, hot_from: int = HOT_FROM) -> DataFrame:
-    """``docs`` with ``repeated``: the pairs (start, end) of the bytes covered by repeated strings, as 64-bit
+    """``docs`` with ``__repeated``: the pairs (start, end) of the bytes covered by repeated strings, as 64-bit
     integers, or null."""
     if match < 2 * GRAM:
         raise ValueError(f"match must be {2 * GRAM} at least")
     spark = docs.sparkSession
     parts = partitions(spark)
     plain = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("owner", F.xxhash64(plain))
-    light = keyed.select("owner", plain.alias("text"))
+    keyed = docs.withColumn("__owner", F.xxhash64(plain))
+    light = keyed.select(F.col("__owner").alias("owner"), plain.alias("text"))
     told = staged(_tell_anchors(light, match, parts).groupBy("part").applyInArrow(_meet(hot_from), "owner long, data binary"), "anchors")
     hot = told.where("owner is null").select("data").limit(20 * HOT_MOST).collect()  # few anchors have so many occurrences
     ranked = sorted((np.frombuffer(r["data"], "<u8") for r in hot), key=lambda x: (-int(x[1]), int(x[0])))[:HOT_MOST]
     asked = told.where("owner is not null").groupBy("owner").agg(F.collect_list("data").alias("told"))
     segments = _cut_segments(light.join(asked, "owner"), match, 8 * parts, frozenset(int(x[0]) for x in ranked))
     spans = segments.groupBy("part").applyInArrow(_judge(match), "owner long, data binary")
-    spans = staged(spans.groupBy("owner").agg(F.collect_list("data").alias("repeated")), "spans")
-    return keyed.join(spans, "owner", "left").drop("owner")
+    spans = staged(spans.groupBy("owner").agg(F.collect_list("data").alias("__repeated")), "spans")
+    return keyed.join(spans.withColumnRenamed("owner", "__owner"), "__owner", "left").drop("__owner")
 
 
 def summarise(docs: DataFrame, key: str = "doc_id", text: str = "text", match: int = 200, hot_from: int = HOT_FROM) -> DataFrame:
@@ -331,7 +331,7 @@ def summarise(docs: DataFrame, key: str = "doc_id", text: str = "text", match: i
             raw, at = text_bytes(column(b, text))
             raw = raw.tobytes()
             rows: list[list] = [[], [], [], []]
-            for i, spans in enumerate(column(b, "repeated").to_pylist()):
+            for i, spans in enumerate(column(b, "__repeated").to_pylist()):
                 own = raw[at[i] : at[i + 1]]
                 cut = merged(np.frombuffer(b"".join(spans or ()), "<i8").reshape(-1, 2))
                 kept = keep(own, cut)
@@ -357,7 +357,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", match: int = 200) -> Dat
         for b in batches:
             texts = column(b, text).to_pylist()
             out = []
-            for t, spans in zip(texts, column(b, "repeated").to_pylist()):
+            for t, spans in zip(texts, column(b, "__repeated").to_pylist()):
                 if spans and t:
                     t = keep(t.encode(), merged(np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2))).decode(errors="ignore")
                 out.append(t)

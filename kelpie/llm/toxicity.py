@@ -174,9 +174,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return Model(b, {f: float(w[i]) for f, i in chosen.items() if w[i] > 1e-3})
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with the column ``score`` (0 to 1), from whole texts."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with the column ``out`` (0 to 1), from whole texts; it takes the place of one of that name."""
+    docs = docs.drop(out) if out != text else docs
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{out}` double"
     weights, intercept, names = model.weights, model.intercept, list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +198,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             z = np.full(b.num_rows, intercept)
             for d, features in present.items():
                 z[d] += sum(weights[f] for f in features)
-            yield pa.RecordBatch.from_arrays([*(column(b, f) for f in names), pa.array(1 / (1 + np.exp(-z)))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(column(b, f) for f in names), pa.array(1 / (1 + np.exp(-z)))], [*names, out])
 
     return docs.mapInArrow(run, schema)

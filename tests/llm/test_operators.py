@@ -1,0 +1,326 @@
+"""Each operator on small odd tables, against brute force."""
+
+import collections
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kelpie.llm import chat, decontamination, jaccard, lm, packing, repeats, suffixes, toxicity, warc
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words_of(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empties, blanks, copies, repeated rows, long texts, and columns whose names clash with ours."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdeÉé", k=rng.randint(1, 6))) for _ in range(60)]
+    long = " ".join(rng.choices(vocabulary, k=4000))
+    base = [" ".join(rng.choices(vocabulary, k=n)) for n in (1, 2, 3, 5, 12, 13, 40, 90, 150, 300)]
+    near = [" ".join(w if i != k else "changed" for i, w in enumerate(base[9].split())) for k in (0, 50, 120)]
+    texts = [*base, *near, base[8], base[8].upper(), None, "", " \t\n", long, "aaaa" * 200, base[7] + " tail " + base[7], base[2] + " " + base[9][:900], "one", "one two", "ONE  two", "x\x0by"]
+    rows = [(i, t, i, "n", "s", 1.0, "k") for i, t in enumerate(texts)] + [(None, base[5], 0, "n", "s", 1.0, "k"), (3, base[9], 0, "n", "s", 1.0, "k"), (4, base[4], 4, "n", "s", 1.0, "k")]
+    return spark.createDataFrame(rows, "doc_id long, text string, owner long, node string, source string, score double, key string")
+
+
+def brute_components(rows, n, percent):
+    def grams(t):
+        w = words_of(t)
+        return frozenset() if not w else frozenset([tuple(w)]) if len(w) < n else frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+    sets = [grams(r.text) for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    least = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        if r.doc_id is not None:
+            least[find(i)].append(r.doc_id)
+    return sorted((str(r.doc_id), len(s), str(min(least[find(i)], default=None))) for i, (r, s) in enumerate(zip(rows, sets)))
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (2, 60)])
+def test_jaccard_join(odd, n, percent):
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join_components(odd, n=n, percent=percent).collect())
+    assert got == brute_components(odd.collect(), n, percent)
+
+
+def test_jaccard_subsets_and_signatures():
+    rng = random.Random(9)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for percent in (60, 80, 90):
+        for _ in range(300):
+            a = {rng.getrandbits(64) for _ in range(rng.randint(1, 14))}
+            b = set(list(a)[: rng.randint(0, len(a))]) | {rng.getrandbits(64) for _ in range(rng.randint(0, 3))}
+            if not b or 100 * len(a & b) < percent * len(a | b):
+                continue
+            x, y = (np.sort(np.array(list(s), np.uint64)) for s in (a, b))
+            for boundary in (0, 6, 9, 20):
+                kx, ky = (set(jaccard.keys_of(s, percent, boundary, *none).tolist()) for s in (x, y))
+                assert kx & ky, (percent, boundary, len(a), len(b), len(a & b))
+    sizes = {5: 1000, 10: 1000, 15: 1000}
+    assert jaccard.choose_boundary(sizes, 1.0, 90) <= jaccard.choose_boundary(sizes, 500.0, 90)
+
+
+def test_jaccard_prune_is_safe(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.integers(0, 2**64, 400, dtype=np.uint64))
+    sets = [base, np.sort(np.concatenate([base[:395], rng.integers(0, 2**64, 5, dtype=np.uint64)])), np.sort(rng.integers(0, 2**64, 400, dtype=np.uint64)), np.sort(rng.integers(0, 2**64, 40, dtype=np.uint64))]
+    table = pa.table({"key": [1] * 4, "node": [0, 1, 2, 3], "n": [len(s) for s in sets], "sig": pa.array([jaccard.signature(s) for s in sets], pa.binary())})
+    assert jaccard._prune(90)(table)["node"].to_pylist() == [0, 1]
+
+
+def test_one_of_each(odd):
+    kept = jaccard.one_of_each(odd, n=3, percent=90).collect()
+    rows = odd.collect()
+    groups = jaccard.join_components(odd, n=3, percent=90).where("group is not null").select("group").distinct().count()
+    assert len([r for r in kept if words_of(r.text)]) == groups
+    assert kept[0].asDict().keys() == rows[0].asDict().keys()
+    assert len([r for r in kept if not words_of(r.text)]) == len([r for r in rows if not words_of(r.text)])
+
+
+def brute_repeats(texts, match):
+    raw = [(t or "").encode() for t in texts]
+    seen = collections.Counter(b[i : i + match] for b in raw for i in range(len(b) - match + 1))
+    out = []
+    for b in raw:
+        gone = bytearray(len(b))
+        for i in range(len(b) - match + 1):
+            if seen[b[i : i + match]] > 1:
+                gone[i : i + match] = b"\1" * match
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((len(b), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot_from", [1000, 2])
+def test_repeats(odd, hot_from):
+    rows = odd.collect()
+    want = sorted((str(r.doc_id), *x) for r, x in zip(rows, brute_repeats([r.text for r in rows], 200)))
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.summarise(odd, hot_from=hot_from).collect())
+    assert got == want
+    with pytest.raises(ValueError):
+        repeats.find_repeats(odd, match=100)
+
+
+def test_remove_repeats_keeps_rows_and_columns(odd):
+    out = repeats.remove_repeats(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    assert out.where("text is null").count() == 1
+
+
+@pytest.mark.parametrize(("n", "letters"), [(1, 2), (7, 1), (300, 2), (900, 4), (2000, 256)])
+def test_two_stage_sorting(n, letters):
+    text = np.random.default_rng(n).integers(0, letters, n).astype(np.uint8)
+    order, rank = suffixes.two_stage(text, 2500)
+    raw = text.tobytes()
+    want = sorted(range(n), key=lambda i: raw[i:])
+    assert order.tolist() == want
+    shared = suffixes.common_prefixes(order, text, rank, 2500)
+    for got, i, j in zip(shared.tolist(), want, want[1:]):
+        k = 0
+        while k < min(n - i, n - j) and raw[i + k] == raw[j + k]:
+            k += 1
+        assert got == k
+
+
+def brute_contamination(docs, items, window=13):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    out = []
+    for d in docs:
+        w, hit, found = split(d.text), set(), set()
+        for it in items:
+            q = split(it.text)
+            k = min(window, len(q))
+            for s in range(len(q) - k + 1 if q else 0):
+                for p in range(len(w) - k + 1):
+                    if w[p : p + k] == q[s : s + k]:
+                        hit.update(range(p, p + k))
+                        found |= {str(it.item_id)} if it.item_id is not None else set()
+        out.append((str(d.doc_id), len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out)
+
+
+def test_decontamination(spark, odd):
+    rows = odd.collect()
+    long = next(r.text for r in rows if r.text and len(r.text) > 9000)
+    items = [(1, rows[8].text), (2, rows[9].text[:300]), (2, "again two"), (10, "one"), (None, "one two"), (5, None), (6, "..."), (7, " ".join(long.split()[100:140])), (8, rows[8].text), (9, "a b c")]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in decontamination.contamination(odd, items).collect())
+    assert got == brute_contamination(rows, items.collect())
+    assert decontamination.contamination(odd, items.limit(0)).where("contaminated or n_hit > 0").count() == 0
+    assert decontamination.contamination(odd.limit(0), items).count() == 0
+
+
+def test_decontamination_blocks_and_proximity(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha " + "z " * 50 + "beta gamma"), (4, "alpha beta gamma")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma beta")], "item_id long, text string")
+    index = decontamination.build_index(docs)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 1)
+    phrase = {(r.shard, r.doc): sorted(r["items"]) for r in decontamination.search(index, items).groupBy("shard", "doc").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).collect()}
+    assert sorted(map(tuple, phrase.values())) == [("1",), ("2",)], phrase
+    near = decontamination.search(index, items.where("item_id = 1"), slop=6)
+    assert near.select("shard", "doc").distinct().count() == 3
+
+
+def test_warc(spark):
+    pages = [(1, "http://a.example.com/x", "<p>1</p>", 9), (2, "http://b.example.com:8080/y?z=1", "<p>1</p>", 9), (3, None, None, 9), (4, "", "", 9), (5, "not a url\n", "é" * 5000, 9), (None, "http://a.example.com/x", "<p>1</p>", 9), (None, "http://c/", "alone", 9), (7, "http://a.example.com/x", "q", 9), (7, "http://a.example.com/x", "q", 9), (7, "http://d/", "other", 9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, offset long")
+    archives = warc.write_archives(df)
+    got = warc.captures(archives, df.select("url", F.col("page_id").alias("id"))).collect()
+    top = {}
+    for i, _, h, _ in pages:
+        top[h or ""] = max(top.get(h or "", -1), -1 if i is None else i)
+    want = []
+    for i, _, h, _ in pages:
+        raw = (h or "").encode()
+        t = top[h or ""]
+        response = t < 0 or i == t
+        want.append((str(i), len(raw), warc.sha1_base32(raw), "response" if response else "revisit", None if response else t))
+    assert sorted(str((str(r.id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == sorted(map(str, want))
+    index = warc.build_index(archives, block_lines=2)
+    one = warc.lookup(index, spark.createDataFrame([("http://a.example.com/x", 1), ("http://nowhere/", 1)], "url string, id long"))
+    assert [r.id for r in warc.range_read(archives, one).collect()] == [1]
+    assert warc.captures(warc.write_archives(df.limit(0)), df.limit(0).select("url", F.col("page_id").alias("id"))).count() == 0
+    assert warc.url_key("http://b.example.com:8080/y?z=1") == "com,example,b:8080)/y?z=1"
+
+
+def test_chat_parts(spark):
+    part = "array<struct<type:string,text:string,ref:string,tokens:int>>"
+    rows = [
+        ("c", 0, "user", [("text", "look <|im_end|> at <\\|x", None, None), ("image", None, "img1", 576), ("document", None, "d1", None), ("text", " ok", None, None)]),
+        ("c", 1, "assistant", [("text", "fine <| <\\| <\\\\| done", None, None)]), ("c", 1, "assistant", [("text", "again", None, None)]), (None, None, None, None), ("d", 0, "assistant", []),
+    ]
+    out = {r.conv_id: r for r in chat.read_formatted(chat.format_messages(spark.createDataFrame(rows, f"conv_id string, turn long, role string, parts {part}"))).collect()}
+    c = out["c"]
+    assert [(t.role, t.text) for t in c.turns] == [("user", "look <|im_end|> at <\\|x<|image_pad|><|document_pad|> ok"), ("assistant", "again"), ("assistant", "fine <| <\\| <\\\\| done")] or c.turns[0].text.startswith("look <|im_end|> at <\\|x")
+    assert c.masked == ["", "again", "fine <| <\\| <\\\\| done"]
+    assert [(a.position, a.type, a.ref, a.tokens) for a in c.attachments] == [(1, "image", "img1", 576), (2, "document", "d1", 1)]
+    assert c.expanded_tokens == 4 + 576 + 1 + 1 + 1 + 5
+    assert c.formatted.count("<|im_start|>") == 3
+    assert out["d"].masked == [""] and [t.role for t in out[None].turns] == [""]
+
+
+def test_chat_long_conversation(spark):
+    rows = spark.range(5000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("m"), F.col("id")).alias("text"))
+    r = chat.read_formatted(chat.format_messages(rows.withColumn("parts", chat.text_parts(F.col("text"))))).first()
+    assert [t.text for t in r.turns] == [f"m{i}" for i in range(5000)] and "".join(r.masked) == "".join(f"m{i}" for i in range(1, 5000, 2))
+
+
+def brute_lm(rows, train):
+    tok = [[*words_of(r.text), None] for r in rows]
+    uni = collections.Counter(w for t, k in zip(tok, train) if k for w in t)
+    bi, follow, kinds = collections.Counter(), collections.Counter(), collections.Counter()
+    for t, k in zip(tok, train):
+        if k:
+            for a, b in zip([0, *t[:-1]], t):
+                bi[a, b] += 1
+                follow[a] += 1
+    for a, _ in bi:
+        kinds[a] += 1
+    N, V = sum(uni.values()), len(uni)
+    once, twice = (sum(c == k for c in uni.values()) for k in (1, 2))
+    e = min(max(once / max(1, once + 2 * twice) if once else 0.5, 0.05), 0.95)
+    p1 = lambda w: (uni[w] - e) / N if w in uni else e * V / N if N else 1.0
+    out = []
+    for t in tok:
+        base = sum(math.log10((uni[w] + 1) / (N + V + 1)) for w in t)
+        model = sum(math.log10(p1(b) if not follow[a] else max(bi[a, b] - lm.DISCOUNT, 0) / follow[a] + lm.DISCOUNT * kinds[a] / follow[a] * p1(b)) for a, b in zip([0, *t[:-1]], t))
+        out.append((len(t), sum(w in uni for w in t), N, base, model))
+    return out
+
+
+@pytest.mark.parametrize("rule", ["doc_id % 3 <> 1", "true", "false"])
+def test_lm(odd, rule):
+    rows = [r for r in odd.collect()]
+    train = [{"true": True, "false": False}.get(rule, r.doc_id is not None and r.doc_id % 3 != 1) for r in rows]
+    want = sorted((str(r.doc_id), round(x[3], 4), x[0], x[1], x[2], x[4]) for r, x in zip(rows, brute_lm(rows, train)))
+    got = sorted((str(r.doc_id), round(r.base_score, 4), r.n_tokens, r.n_known, r.train_tokens, r.score) for r in lm.score(odd, F.expr(rule)).collect())
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want):
+        assert abs(g[5] - w[5]) <= 0.03 * g[2], (g, w)
+    assert lm.score(odd.limit(0), F.lit(True)).count() == 0
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 10), (1, 1 << 40), (1000, 1001), (5000, 1 << 45), (300, 301)):
+        values = np.sort(rng.integers(0, top, n).astype(np.uint64))
+        ef = lm.EliasFano(lm.ef_encode(values, top))
+        assert (ef.all() == values).all()
+        if n:
+            at = rng.integers(0, n, 50)
+            assert (ef.get(at) == values[at]).all()
+
+
+def test_toxicity(spark):
+    rng = random.Random(2)
+    calm = ["table", "river", "women", "muslims", "music", "garden", "walk", "letter", "window"]
+    rows = []
+    for i in range(600):
+        bad = i % 5 == 0
+        group = rng.choice(["muslims", "women"]) if bad or i % 7 == 0 else "people"
+        rows.append((i, " ".join(rng.choices(calm, k=30)) + f" {group} " + (rng.choice(["vilify", "loathe", "wretched"]) if bad else "greet"), int(bad)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, None), (1001, ""), (1002, "loathe " * 3000), (1003, "we greet muslims and christians and women")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5000, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, where=F.col("doc_id") % 2 == 0)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    right = sum((got[i] >= 0.7) == bool(y) for i, _, y in rows if i % 2)
+    assert right >= 0.97 * 300
+    assert got[1000] == got[1001] < 0.5 and got[1002] >= 0.7 and got[1003] < 0.3
+    assert toxicity.score(docs.limit(0), model).columns == ["doc_id", "text", "score"]
+    empty = toxicity.train(docs, labels.limit(0))
+    assert {round(r.score, 6) for r in toxicity.score(docs, empty).collect()} == {0.0001}
+
+
+def test_counterfactual_pairs_hold_back_identity_terms():
+    rows = [(1, [0, 1]), (1, [0]), (0, []), (0, [2]), (1, [1, 0])] * 40
+    pairs = [[2, -3]] * 50  # feature 1 gained, feature 2 lost
+    free, held = toxicity.fit_rows(rows, [], 3)[1], toxicity.fit_rows(rows, pairs, 3, pairing=5.0)[1]
+    assert abs(held[1] - held[2]) < abs(free[1] - free[2]) + 1e-9 and held[0] > 1
+    assert any("christians" in x for x in toxicity.swapped("Some Muslims here"))
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = docs.count()
+    for name, stage in cp.STAGES:
+        out = cp.staged(stage(spark, docs, sf_dir), name)
+        if name == "packing":
+            assert sum(r.length for r in out.collect()) > 0
+            assert out.select("doc_id").distinct().count() == docs.count()
+            break
+        assert out.columns == docs.columns
+        assert 0 < out.count() <= before
+        if name == "near_duplicates":
+            c = jaccard.join_components(out, n=5, percent=80)
+            assert c.groupBy("component_id").count().where("count > 1").count() == 0
+        if name == "decontamination":
+            found = decontamination.contamination(out, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+            assert found.where("contaminated").count() == 0
+        docs, before = out, out.count()
+    assert json.dumps([n for n, _ in cp.STAGES]) == '["toxicity", "near_duplicates", "repeats", "decontamination", "packing"]'
+    assert zlib.crc32(b"") == 0 and packing.capacities(5000, 2048).sum() == 5000
