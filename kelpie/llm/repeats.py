@@ -21,6 +21,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,9 @@ _PLACE = 21  # bits of a position in a chunk
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _FACTOR)
 #: Bytes sorted together, unless one anchor has more.
-SORTED_BYTES = 1_000_000
+SORTED_BYTES = 500_000
+#: Bytes of segments held for merging equal ones; then they are sent.
+HELD_BYTES = 8_000_000
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +99,7 @@ def runs(raw: np.ndarray, at: np.ndarray, match: int) -> tuple[np.ndarray, ...]:
     return np.searchsorted(at, begin, "right") - 1, begin, window[last], anchor[first], grams[first]
 
 
-def _slices(batch: pa.RecordBatch, text: str, most: int = 6_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _slices(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw, at = text_bytes(column(batch, text))
     lo = 0
     while lo < len(at) - 1:
@@ -182,6 +185,12 @@ _PLACES = np.dtype([("owner", "<i8"), ("start", "<i8")])
 def _cut_segments(told: DataFrame, match: int, parts: int, hot: frozenset) -> DataFrame:
     core = match - STEP + 1
 
+    def send(held: dict) -> Iterator[pa.RecordBatch]:
+        items = iter(held.items())
+        while part := list(itertools.islice(items, 10_000)):
+            rows = [(key % parts, key - (1 << 63), n, content, np.array(places, _PLACES).tobytes()) for (key, content), (n, places) in part]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "anchor", "n", "content", "places"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             owners = column(b, "owner").to_pylist()
@@ -190,12 +199,15 @@ def _cut_segments(told: DataFrame, match: int, parts: int, hot: frozenset) -> Da
             for o in owners:
                 copies[o] = copies.get(o, 0) + 1
             held: dict[tuple[int, bytes], list] = {}
+            size = 0
             done: set[int] = set()
 
             def add(key: int, content: bytes, owner: int, start: int) -> None:
                 mine = held.get((key, content))
                 if mine is None:
+                    nonlocal size
                     held[key, content] = mine = [0, []]
+                    size += len(content)
                 mine[0] += copies[owner]
                 mine[1].append((owner, start))
 
@@ -222,10 +234,10 @@ def _cut_segments(told: DataFrame, match: int, parts: int, hot: frozenset) -> Da
                             left = a - STEP * step - STEP + 1  # the leftmost window of this step
                             add(xxhash.xxh3_64_intdigest(whole[left + STEP - 1 : left + STEP - 1 + core], step), whole[p : end + match], owner, p - base)
                             p = end + 1
-            rows = [(key % parts, key - (1 << 63), n, content, np.array(places, _PLACES).tobytes()) for (key, content), (n, places) in held.items()]
-            for s in range(0, len(rows), 20_000):
-                cols = zip(*rows[s : s + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "anchor", "n", "content", "places"])
+                if size >= HELD_BYTES:
+                    yield from send(held)
+                    held, size = {}, 0
+            yield from send(held)
 
     return told.mapInArrow(run, _SEGMENTS)
 
