@@ -75,23 +75,25 @@ def _texts_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]
 def _count_features(sample: DataFrame, text: str, toxic: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label = np.asarray(column(b, toxic).to_numpy(zero_copy_only=False), np.int64)
-            doc, word, names = _texts_features(column(b, text))
-            ids = [[hashed(f) for f in word_features(x)] for x in names]
-            size = np.array([len(x) for x in ids], np.int64)
-            flat = np.array([x for y in ids for x in y], np.int64)
-            begin = np.cumsum(size) - size
-            f = flat[ragged(begin[word], size[word])]
-            d = np.repeat(doc, size[word])
-            order = np.lexsort((f, d))
-            f, d = f[order], d[order]
-            first = np.ones(len(f), bool)
-            first[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
-            f, d = f[first], d[first]
-            uniq, at = np.unique(f, return_inverse=True)
-            pos = np.bincount(at, weights=label[d], minlength=len(uniq)).astype(np.int64)
-            every = np.bincount(at, minlength=len(uniq))
-            yield pa.RecordBatch.from_arrays([pa.array(uniq), pa.array(pos), pa.array(every - pos)], ["feature", "pos", "neg"])
+            labels, texts = np.asarray(column(b, toxic).to_numpy(zero_copy_only=False), np.int64), column(b, text)
+            for lo in range(0, len(labels), 200):
+                label = labels[lo : lo + 200]
+                doc, word, names = _texts_features(texts.slice(lo, 200))
+                ids = [[hashed(f) for f in word_features(x)] for x in names]
+                size = np.array([len(x) for x in ids], np.int64)
+                flat = np.array([x for y in ids for x in y], np.int64)
+                begin = np.cumsum(size) - size
+                f = flat[ragged(begin[word], size[word])]
+                d = np.repeat(doc, size[word])
+                order = np.lexsort((f, d))
+                f, d = f[order], d[order]
+                first = np.ones(len(f), bool)
+                first[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
+                f, d = f[first], d[first]
+                uniq, at = np.unique(f, return_inverse=True)
+                pos = np.bincount(at, weights=label[d], minlength=len(uniq)).astype(np.int64)
+                every = np.bincount(at, minlength=len(uniq))
+                yield pa.RecordBatch.from_arrays([pa.array(uniq), pa.array(pos), pa.array(every - pos)], ["feature", "pos", "neg"])
 
     return sample.select(text, toxic).mapInArrow(count, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
