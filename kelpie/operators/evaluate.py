@@ -237,7 +237,7 @@ def approximate_faithfulness(rows: DataFrame, id: str, embed, threshold: float =
     threshold; 0.5 where there is nothing to compare. rows: id, answer, contexts. ``embed`` maps a text column to
     a vector column."""
     said = rows.select(id, F.posexplode(sentences(F.col("answer"))).alias("s", "sentence")).withColumn("a", embed(F.col("sentence")))
-    seen = rows.select(id, F.explode(F.flatten(F.transform("contexts", windows))).alias("w")).withColumn("b", embed(F.col("w"))).select(id, "b")
+    seen = rows.select(id, F.explode(F.flatten(F.transform("contexts", lambda c: windows(c)))).alias("w")).withColumn("b", embed(F.col("w"))).select(id, "b")
     best = said.join(seen, id).groupBy(id, "s").agg(F.max(cosine(F.col("a"), F.col("b"))).alias("best"))
     share = best.groupBy(id).agg(F.round(F.avg(F.when(F.col("best") > threshold, 1.0).otherwise(0.0)), 4).alias("faithfulness"))
     return rows.select(id).join(share, id, "left").select(id, F.coalesce("faithfulness", F.lit(0.5)).alias("faithfulness"))
