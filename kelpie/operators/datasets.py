@@ -126,3 +126,31 @@ def split(rows: DataFrame, id: str, eval_percent: int = 15) -> DataFrame:
 def failure_reason() -> Column:
     tags = F.coalesce("failure_tags", F.array().cast("array<string>"))
     return F.when(F.size(tags) > 0, F.array_join(F.slice(tags, 1, 3), ", ")).when(F.col("faithfulness") < 0.5, "low faithfulness").when(F.col("answer_relevance") < 0.5, "low relevance").otherwise("low score")
+
+
+def compatible(base_model: Column, adapter: Column) -> Column:
+    """Whether an adapter belongs to a base model: family and size in both names agree."""
+    family = lambda c: F.lower(F.regexp_extract(c, r"(?i)(qwen|llama|mistral|phi|gemma|deepseek)", 1))
+    size = lambda c: F.lower(F.regexp_extract(c, r"(?i)(\d+(?:\.\d+)?)\s*b\b", 1))
+    return (family(base_model) != "") & (family(base_model) == family(adapter)) & (size(base_model) == size(adapter))
+
+
+def post_promotion(scored: DataFrame, most: int = 30, faith: float = 0.7) -> DataFrame:
+    """Mean score of the newest samples at a fixed faithfulness."""
+    from kelpie.operators.evaluate import weighted_score
+
+    rows = scored.orderBy(F.desc("timestamp"), "turn_id").limit(most)
+    w = weighted_score(F.lit(faith), F.col("answer_relevance"), F.col("temporal_consistency"), F.col("code_correctness"))
+    return rows.agg(F.count("*").alias("samples"), F.round(F.avg(w), 4).alias("score"))
+
+
+def grade_shares(scored: DataFrame) -> DataFrame:
+    """Count and percentage of each grade."""
+    n = scored.groupBy("quality_grade").agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(scored.agg(F.count("*").alias("_t")))).select("quality_grade", "n", F.round(100 * F.col("n") / F.col("_t"), 1).alias("percent"))  # one row
+
+
+def reference_eval_set(spark) -> DataFrame:
+    """An empty evaluation set to fill in: a question for each intent."""
+    rows = [("Show the open issues of the platform project", "", "sentries"), ("Which merge requests are waiting for review?", "", "sentries"), ("How is authentication configured?", "", "rag"), ("Explain the deployment architecture", "", "rag"), ("What do we know about the login bug and its fix?", "", "both")]
+    return spark.createDataFrame(rows, "query string, expected_answer string, intent string")

@@ -261,3 +261,13 @@ def rolling_series(scored: DataFrame, by: str, time: str, score: str, tie: str,
     """For each row the mean of its and the preceding scores of its group, ``last`` at most."""
     w = Window.partitionBy(by).orderBy(time, tie).rowsBetween(-(last - 1), 0)
     return scored.withColumn("rolling", F.avg(score).over(w))
+
+
+def approximate_relevance(query: Column, answer: Column, embed) -> Column:
+    """Cosine of the question and the first 800 characters of the answer, within 0 and 1."""
+    return half_even(_clamp(cosine(embed(query), embed(F.left(text_or_empty(answer), F.lit(800))))))
+
+
+def ladder(judged: Column, approximate: Column, n_contexts: Column) -> Column:
+    """The judge's score, else the approximate one; 0.30 without any context."""
+    return F.when(n_contexts == 0, 0.30).otherwise(F.coalesce(F.nanvl(judged, F.lit(None).cast("double")), F.nanvl(approximate, F.lit(None).cast("double")), F.lit(0.30)))

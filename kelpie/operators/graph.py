@@ -95,3 +95,17 @@ def ticket_context(tickets: DataFrame, chunks: DataFrame, edges_: DataFrame, key
 def check_unique(nodes: DataFrame, key: str) -> DataFrame:
     """Keys that break uniqueness, with their counts."""
     return nodes.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def ticket_links(tickets: DataFrame, edges_: DataFrame, keys: list[str]) -> DataFrame:
+    """Named tickets with all their outgoing relations as map(rel -> sorted targets): relations are gathered before
+    the join, so optional ones don't multiply."""
+    chosen = tickets.where(F.upper("issue_key").isin([k.upper() for k in keys]))
+    by_rel = edges_.where("src_type = 'ticket'").groupBy(F.col("src").alias("issue_key"), "rel").agg(F.array_sort(F.collect_set("dst")).alias("targets"))
+    all_ = by_rel.groupBy("issue_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rel", "targets")))).alias("relations"))
+    return chosen.join(all_, "issue_key", "left")
+
+
+def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not loaded yet."""
+    return rows.join(done.select(key).distinct(), key, "left_anti")

@@ -112,3 +112,13 @@ def hash_embed(text: Column, size: int = 64) -> Column:
     slots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).cast("int").alias("slot"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
     raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(slots, lambda s: s["slot"] == i), F.lit(0.0), lambda a, s: a + s["sign"]))
     return normalized(raw)
+
+
+def search_enriched(chunks: DataFrame, query: list[float], tickets: DataFrame, pages: DataFrame, k: int = 40, source: str | None = None, project: str | None = None) -> DataFrame:
+    """The k nearest chunks under filters, with the facts of their ticket or page where there is one."""
+    where = F.lit(True)
+    where = where & (F.col("source") == source) if source else where
+    where = where & F.contains(F.lower("project_name"), F.lit(project.lower())) if project else where
+    hits = search(chunks, query, k, where=where)
+    facts = tickets.select("issue_key", "priority", "assignee", F.col("status").alias("ticket_status"))
+    return hits.join(facts, "issue_key", "left").join(pages.select("page_id", "breadcrumb"), "page_id", "left")

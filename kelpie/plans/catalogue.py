@@ -222,3 +222,14 @@ def count_results(results: DataFrame) -> DataFrame:
 def envelope(rows: DataFrame, source: str, operation: str) -> DataFrame:
     """The result of an operation as one row: success, data as JSON, count."""
     return rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("data"), F.count("*").alias("count")).select(F.lit(True).alias("success"), F.lit(source).alias("source"), F.lit(operation).alias("operation"), "data", "count", F.current_timestamp().alias("fetched_at"))
+
+
+def sprint_name(sprints: Column) -> Column:
+    """The name of the last sprint of a list of structs; null for none."""
+    return F.when(F.size(sprints) > 0, F.element_at(sprints, -1)["name"])
+
+
+def status(operations: DataFrame, calls: DataFrame) -> DataFrame:
+    """Each operation(source, operation) with its calls and failures from calls(source, operation, success)."""
+    n = calls.groupBy("source", "operation").agg(F.count("*").alias("calls"), F.count_if(~F.col("success")).alias("failures"))
+    return operations.join(n, ["source", "operation"], "left").fillna(0, ["calls", "failures"])
