@@ -34,7 +34,7 @@ WINDOW = 13
 #: Unused positions between two texts of a shard; windows and proximity stay below it.
 GAP = 128
 #: Bytes of text in a shard at most, unless one text has more.
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 8_000_000
 #: Bytes of item texts in a block at most.
 BLOCK_BYTES = 16_000_000
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
