@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions import chunking, intent, text
-from kelpie.operators import context, datasets, evaluate, graph, ranking, serving, vectors
+from kelpie.operators import context, datasets, evaluate, graph, normalize, ranking, serving, vectors
 from kelpie.plans import catalogue, routing
 from kelpie.sources import sinks
 
@@ -95,6 +95,34 @@ def n14_link_relation(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy("event_type", text.link_relation(F.col("event_type")).alias("rel")).agg(F.count("*").alias("n"))
 
 
+def _wiki(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    return _t(spark, sf_dir, "pages").select(
+        F.lit("1").alias("space_id"), F.lit("WIKI").alias("space_name"), F.col("page_id").cast("string").alias("page_id"), F.lit("").alias("title"), F.col("html").alias("content"), F.lit("current").alias("status"),
+        F.lit("crawler").alias("author"), F.col("url").alias("web_url"), none.alias("labels"), F.concat(F.lit("Web > "), F.regexp_extract("url", r"^https?://([^/]+)", 1)).alias("breadcrumb"))
+
+
+_BODY = _strip_sql(_re("p", " {2,}", " "))
+_PAGE_SQL = f"""SELECT 'confluence_page_' || page_id AS document_id, 'WIKI' AS project_name, url,
+  'Location: Web > ' || regexp_extract(url, '^https?://([^/]+)', 1) || CASE WHEN {_BODY} = '' THEN '' ELSE chr(10) || chr(10) || {_BODY} END AS content
+FROM (SELECT *, {_HTML} AS p FROM pages)"""
+
+
+@query(f"SELECT * FROM ({_PAGE_SQL}) WHERE length(content) >= 30")
+def n5_normalize_pages(spark, sf_dir):
+    return normalize.long_enough(normalize.pages(_wiki(spark, sf_dir))).select("document_id", "project_name", "url", "content")
+
+
+@query(f"SELECT 'page' AS source_type, count(*) AS documents, CAST(sum(length(content)) AS BIGINT) AS characters FROM ({_PAGE_SQL})")
+def z3_documents_by_type(spark, sf_dir):
+    return normalize.by_type(normalize.pages(_wiki(spark, sf_dir)))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)")
+def g6_pending(spark, sf_dir):
+    return graph.pending(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels").where("toxic = 0"), "doc_id")
+
+
 # ---- chunks ---------------------------------------------------------------------------------------------------
 
 
