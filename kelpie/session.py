@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if they see that folder too."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [home, env.get("PYTHONPATH", "")]))
+
+
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive execution with skew handling; a cluster's own settings win where they are set."""
     b = SparkSession.builder.appName("kelpie")
