@@ -13,9 +13,9 @@ earlier row and the lower sequence; repeated rows are packed each by itself; an
 
 from __future__ import annotations
 
-import functools
 import heapq
 import itertools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -76,6 +76,7 @@ class WordEncoder:
         import tiktoken
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         ranks = {}
@@ -148,26 +149,21 @@ class WordEncoder:
         return out, bounds
 
 
-@functools.lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
-    """One for each worker process; what it has encoded serves its later tasks too."""
-    return WordEncoder(path)
-
-
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = 2048, end: int = 1, scale: float = 2048.0, window: int = WINDOW) -> DataFrame:
     """Per piece: key, start, length, ids_crc32 (of little-endian 32-bit ids), doc_tokens, sequence_id, offset."""
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"`{n}` long" for n in names[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = TaskContext.get().partitionId() << 40
+        sequence, encoder = TaskContext.get().partitionId() << 40, None
         for b in batches:
             keys, texts = column(b, key), column(b, text)
             _, at = text_bytes(texts)
             lo = 0
             while lo < len(keys):  # by bytes, of which a token has one at least
                 hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 4 * window, "right")) - 1)
-                ids, bounds = encoder(tokenizer).encode(texts.slice(lo, hi - lo), end)
+                encoder = encoder or WordEncoder(tokenizer)  # a task's own, so that an idle worker keeps none
+                    ids, bounds = encoder.encode(texts.slice(lo, hi - lo), end)
                 first = 0
                 while first < hi - lo:
                     last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + window, "right")) - 1)
@@ -180,5 +176,6 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                     sequence += int(seq.max()) + 1 if len(seq) else 0
                     first = last
                 lo = hi
+            pa.default_memory_pool().release_unused()
 
     return docs.select(key, text).mapInArrow(run, schema)
