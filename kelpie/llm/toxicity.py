@@ -132,7 +132,7 @@ def _rows(sample: DataFrame, text: str, toxic: str, chosen: dict[int, int]) -> D
     return sample.select(text, toxic).mapInArrow(run, "toxic long, features array<long>, pairs array<array<long>>")
 
 
-def fit_rows(rows: list[tuple[int, list[int]]], pairs: list[list[int]], n_features: int, l1: float = 3e-5, pairing: float = 1.0, steps: int = 1500) -> tuple[float, np.ndarray]:
+def fit_rows(rows: list[tuple[int, list[int]]], pairs: list[list[int]], n_features: int, l1: float = 3e-6, pairing: float = 1.0, steps: int = 2500) -> tuple[float, np.ndarray]:
     """Intercept and non-negative weights by accelerated proximal gradient on log loss + l1 + pairing * mean
     squared logit change over the counterfactual pairs."""
     y = np.array([r[0] for r in rows], float)
@@ -144,9 +144,16 @@ def fit_rows(rows: list[tuple[int, list[int]]], pairs: list[list[int]], n_featur
     n = max(1, len(rows))
     rate = min(max(y.mean() if len(y) else 0.0, 1e-4), 1 - 1e-4)
     w, b = np.zeros(n_features), np.log(rate / (1 - rate))
+    # texts without evidence stay near the base rate; else two weak words would have to make up for its certainty
+    floor = b - 1.5
     vw, vb, t = w.copy(), b, 1.0
-    most = size.max(initial=0) + 1
-    rate_of = 1.0 / (0.25 * most + 2 * pairing * max(1, max((len(p) for p in pairs), default=0)))
+    # a bound of the curvature for each weight: in its texts, as many features as they have, and the intercept
+    curve = 0.25 / n * np.bincount(col, weights=(size[doc] + 1.0), minlength=n_features)
+    if len(pairs):
+        width = np.array([len(p) for p in pairs], float)
+        curve += 2 * pairing / len(pairs) * np.bincount(p_col, weights=width[p_row], minlength=n_features)
+    step = 1 / np.maximum(curve, 1e-9)
+    step_b = 1 / (0.25 / n * max(1.0, float((size + 1).sum())))
     for _ in range(steps):
         z = np.bincount(doc, weights=vw[col], minlength=len(rows)) + vb
         g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / n
@@ -154,7 +161,7 @@ def fit_rows(rows: list[tuple[int, list[int]]], pairs: list[list[int]], n_featur
         if len(pairs):
             change = np.bincount(p_row, weights=vw[p_col] * p_val, minlength=len(pairs))
             gw += 2 * pairing / len(pairs) * np.bincount(p_col, weights=change[p_row] * p_val, minlength=n_features)
-        nw, nb = np.maximum(vw - rate_of * (gw + l1), 0), vb - rate_of * g.sum()
+        nw, nb = np.maximum(vw - step * (gw + l1), 0), max(vb - step_b * g.sum(), floor)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
