@@ -20,8 +20,8 @@ def chunk_text(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> l
     """Windows of ``size`` characters that end at the last break inside them and begin ``overlap`` before the
     last end. Always moves on: where stepping back would not, the next window begins at the last end."""
     text = text or ""
-    out, begin = [], 0
-    while begin < len(text) and text.strip():
+    out, begin = [], 0 if text.strip() else len(text)
+    while begin < len(text):
         end = begin + size
         if end < len(text):
             for mark, keep in _BREAKS:
@@ -52,13 +52,15 @@ class ChunkText:
             yield i, len(pieces), piece
 
 
-def chunk_documents(docs: DataFrame, done: DataFrame | None = None, id: str = "document_id", title: str = "title", content: str = "content") -> DataFrame:
-    """One row per chunk of title and content (first 50,000 characters): chunk_id, parent_document_id, chunk_index,
-    total_chunks, text, token_count and the columns of the document. ``done`` holds ids to leave out."""
+def chunk_documents(docs: DataFrame, done: DataFrame | None = None, id: str = "document_id", title: str = "title", content: str = "content", cap: int | None = None) -> DataFrame:
+    """One row per chunk of title and content: chunk_id, parent_document_id, chunk_index,
+    total_chunks, text, token_count and the columns of the document. ``done`` holds ids to leave out;
+    ``cap`` keeps that many first characters of the content only (the reference's default: CONTENT_CAP)."""
     if done is not None:
         docs = docs.join(done.select(id), id, "left_anti")
     head = F.coalesce(strip(F.col(title)), F.lit("")) if title in docs.columns else F.lit("")
-    body = F.substring(text_or_empty(F.col(content)), 1, CONTENT_CAP)
+    body = text_or_empty(F.col(content))
+    body = body if cap is None else F.substring(body, 1, cap)
     whole = F.when(head == "", body).otherwise(F.concat(head, F.lit("\n\n"), body))
     rest = [c for c in docs.columns if c not in (id, content)]
     pieces = docs.select(id, *rest, chunk_column(whole).alias("pieces"))

@@ -114,3 +114,17 @@ def test_values_in_questions(spark):
     assert one(spark, "how many bugs", intent.only_counts) and not one(spark, "how many bugs, list them", intent.only_counts)
     assert one(spark, "AUTH-1", intent.without_keys) == "AUTH-1" and one(spark, "explain AUTH-1 please", intent.without_keys) == "explain please"
     assert one(spark, "x --hops 3", lambda c: intent.flag(c, "hops")) == "3"
+
+
+def test_chunk_documents_keeps_whole_texts(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choices(["word ", "a. ", "\n\n", "longerword"], k=30_000)) + "the end"
+    docs = spark.createDataFrame([("d1", "T", long), ("d2", "", long)], "document_id string, title string, content string")
+    rows = chunking.chunk_documents(docs).orderBy("parent_document_id", "chunk_index").collect()
+    for id, whole in (("d1", "T\n\n" + long), ("d2", long)):
+        want = reference_chunks(whole, chunking.CHUNK, chunking.OVERLAP)
+        got = [r for r in rows if r.parent_document_id == id]
+        assert len(long) > 100_000 and [r.text for r in got] == want and got[-1].text.endswith("the end")
+        assert {r.total_chunks for r in got} == {len(want)}
+    capped = chunking.chunk_documents(docs, cap=chunking.CONTENT_CAP).where("parent_document_id = 'd2'")
+    assert capped.count() == len(reference_chunks(long[:50_000], chunking.CHUNK, chunking.OVERLAP))
