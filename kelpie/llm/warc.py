@@ -1,10 +1,11 @@
 """WARC archives and a two-level capture index.
 
 Records are gzip members, gathered into archives of bounded size that are rows of a table in the shared folder.
-The capture index has one line per record, sorted by reversed-host URL key and record id. Runs of lines are
-compressed into blocks; a sparse directory holds the first line key of each block. A lookup finds its range of
-the index in a top directory (one key per index partition), its block by binary search in the directory, its
-lines by binary search in the block, and reads just that range of the archive.
+The capture index has one line per record, sorted by line key: reversed-host URL key, blank and record id as one
+string, whose order partitions, blocks and lookups share. Runs of lines are compressed into blocks; a sparse
+directory holds the first line key of each block. A lookup finds its range of the index in a top directory (one key
+per index partition), its block by binary search in the directory, its lines by binary search in the block, and
+reads just that range of the archive.
 
 Of records with equal payloads, the one with the largest id is a response, the others are revisits of it.
 
@@ -36,7 +37,7 @@ ARCHIVE_BYTES = 1_000_000
 BLOCK_LINES = 2_000
 #: Fixed date of records, so that equal input gives equal archives.
 DATE = "2024-01-01T00:00:00Z"
-CAPTURE = "key:string,id:long,archive:string,offset:long,length:long"
+CAPTURE = "line:string,archive:string,offset:long,length:long"
 RECORD = "id long, type string, refers_to long, payload_bytes long, digest string, stated_digest string, url string"
 
 
@@ -52,6 +53,11 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
 
+def line_key(url: str | None, id: int | None) -> str:
+    """URL key and record id as one string without tabs and newlines; ids of a URL key in order, null first."""
+    return re.sub(r"[\t\n]", " ", url_key(url)) + " " + ("" if id is None else f"{id + (1 << 63):020d}")
+
+
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -99,7 +105,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     raw = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), raw.alias("payload"), F.sha1(raw.cast("binary")).alias("sha")).join(shared, "sha", "left")
     rows = rows.select("id", "url", "payload", F.when(F.col("id").isNull() | (F.col("id") != F.col("responder")), F.col("responder")).alias("refers_to"))
-    entry = pa.list_(pa.struct([("key", pa.string()), ("id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+    entry = pa.list_(pa.struct([("line", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -111,7 +117,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
         for b in batches:
             for id, link, text, refers in zip(*(column(b, c).to_pylist() for c in ("id", "url", "payload", "refers_to"))):
                 member = gzip_member(record_bytes(id, link, text.encode(), refers))
-                captures.append({"key": url_key(link), "id": id, "archive": f"{part:06d}-{n:06d}", "offset": size, "length": len(member)})
+                captures.append({"line": line_key(link, id), "archive": f"{part:06d}-{n:06d}", "offset": size, "length": len(member)})
                 held.append(member)
                 size += len(member)
                 if size >= ARCHIVE_BYTES:
@@ -123,14 +129,9 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     return staged(rows.mapInArrow(pack, f"archive string, content binary, captures array<struct<{CAPTURE}>>"), "archives")
 
 
-def _line_key(key: str, id: int | None) -> str:
-    """Sorts like (key, id), null ids first."""
-    return f"{key} " + ("" if id is None else f"{id + (1 << 63):020d}")
-
-
 def build_index(archives: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Blocks (part, block, first, lines, data) of the sorted capture lines, written to the shared folder."""
-    lines = archives.select(F.explode("captures").alias("c")).select("c.*").repartitionByRange(partitions(archives.sparkSession), "key", "id", "archive", "offset").sortWithinPartitions("key", "id", "archive", "offset")
+    lines = archives.select(F.explode("captures").alias("c")).select("c.*").repartitionByRange(partitions(archives.sparkSession), "line", "archive", "offset").sortWithinPartitions("line", "archive", "offset")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, held, first = TaskContext.get().partitionId(), 0, [], None
@@ -139,10 +140,9 @@ def build_index(archives: DataFrame, block_lines: int = BLOCK_LINES) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([first]), pa.array([len(held)]), pa.array([zlib.compress("\n".join(held).encode())], pa.binary())], schema=made)
 
         for b in batches:
-            for key, id, archive, offset, length in zip(*(column(b, c).to_pylist() for c in ("key", "id", "archive", "offset", "length"))):
-                key = re.sub(r"[\t\n]", " ", key)
-                first = first if held else _line_key(key, id)
-                held.append(f"{_line_key(key, id)}\t{archive}\t{offset}\t{length}")
+            for line, archive, offset, length in zip(*(column(b, c).to_pylist() for c in ("line", "archive", "offset", "length"))):
+                first = first if held else line
+                held.append(f"{line}\t{archive}\t{offset}\t{length}")
                 if len(held) == block_lines:
                     yield flush()
                     held, n = [], n + 1
@@ -161,7 +161,7 @@ def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = [_line_key(re.sub(r"[\t\n]", " ", url_key(u)), i) for u, i in zip(column(b, "url").to_pylist(), column(b, "id").to_pylist())]
+            lines = [line_key(u, i) for u, i in zip(column(b, "url").to_pylist(), column(b, "id").to_pylist())]
             # records of equal keys may go on into the next partitions
             line, part = [], []
             for x in lines:
@@ -182,7 +182,7 @@ def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
                 while b < len(data) and (b == 0 or directory[b] <= x):
                     if b != at:
                         opened, at = zlib.decompress(data[b]).decode().split("\n"), b
-                    i = bisect.bisect_left(opened, x + "\t")
+                    i = bisect.bisect_left(opened, x, key=lambda y: y.partition("\t")[0])  # a line key may begin another
                     while i < len(opened) and opened[i].startswith(x + "\t"):
                         _, archive, offset, length = opened[i].split("\t")
                         out.append((archive, int(offset), int(length)))

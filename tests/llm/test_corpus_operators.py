@@ -206,6 +206,24 @@ def test_warc(spark):
     assert warc.url_key("http://b.example.com:8080/y?z=1") == "com,example,b:8080)/y?z=1"
 
 
+def test_warc_urls_with_blanks(spark, monkeypatch):
+    """Keys of which one begins another, in one block, over several blocks and over several partitions."""
+    tails = ["/a", "/a (1)", "/a (2)", "/b", "/a  b", "/a !", "/a\x01", "/a\x1f(", "/a 09223372036854775809", "/a 09223372036854775809\x01", "/a%20(1)"]
+    urls = [f"http://{host}{tail}" for host in ("x", "y") for tail in tails] + ["http://[a\tb", "http://[a b", "http://[a\x01", "http://[a"]
+    rows = [(id, url, f"{url} {id}") for i, url in enumerate(urls) for id in (i + 1, 1000, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives = warc.write_archives(pages)
+    wanted = pages.select("url", F.col("page_id").alias("id"))
+    want = sorted(warc.sha1_base32(html.encode()) for _, _, html in rows)
+    assert sorted(r.payload_digest for r in warc.captures(archives, wanted).collect()) == want
+    for parts, lines in ((1, 2000), (1, 2), (1, 1), (5, 2)):
+        monkeypatch.setattr(warc, "partitions", lambda _, n=parts: n)
+        index = warc.build_index(archives, block_lines=lines)
+        assert sorted(r.digest for r in warc.range_read(archives, warc.lookup(index, wanted)).collect()) == want, (parts, lines)
+    one = warc.lookup(index, spark.createDataFrame([("http://x/a (1)", 2), ("http://x/a (1)", 3)], "url string, id long"))
+    assert [(r.id, r.url) for r in warc.range_read(archives, one).collect()] == [(2, "http://x/a (1)")]
+
+
 def test_chat_parts(spark):
     part = "array<struct<type:string,text:string,ref:string,tokens:int>>"
     rows = [
