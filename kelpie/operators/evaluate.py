@@ -126,7 +126,7 @@ def validator_checks(query: Column, answer: Column, sources: Column, summary: Co
     known = source_keys(sources)
     corpus = F.upper(F.array_join(F.transform(sources, lambda s: F.concat_ws(" ", s["title"], s["url"])), " "))
     corpus_keys = ticket_keys(corpus)
-    links = F.slice(all_matches(a, URL), 1, 20)
+    links = all_matches(a, URL)
     bad = F.filter(links, lambda u: ~F.coalesce(F.lower(F.regexp_extract(u, r"^https?://([^/\s?#]+)", 1)).rlike(r"^.*\..*$") & (F.length(F.regexp_extract(u, r"^https?://([^/\s?#]+)", 1)) > 4), F.lit(False)))
     titles = F.concat(*[F.regexp_extract_all(a, F.lit(p), F.lit(1)) for p in (r'"([^"]{5,80})"', r"\*\*([^*]{5,80})\*\*", r"`([^`]{5,80})`")])
     titles = F.filter(titles, lambda t: t.rlike(r"(?i)(\b[A-Z]{2,5}-\d+\b|\[|https?://)") & ~((F.size(ticket_keys(F.upper(t))) > 0) & (F.size(F.array_except(ticket_keys(F.upper(t)), asked)) == 0)))

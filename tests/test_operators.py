@@ -204,3 +204,12 @@ def test_serving(spark):
     scored = spark.createDataFrame([("1", None, None, 1), ("2", None, None, 2)], "turn_id string, training_signal string, weighted_score double, timestamp int")
     chosen = spark.createDataFrame([("2", "better")], "turn_id string, chosen string")
     assert [(r.turn_id, r.chosen) for r in serving.review_queue(scored, chosen).orderBy("turn_id").collect()] == [("1", None), ("2", "better")]
+
+
+def test_every_link_is_checked(spark):
+    good = " ".join(f"https://tracker.example.com/browse/{i}" for i in range(20))
+    rows = [(1, good), (2, good + " http://bad http://worse"), (3, "http://bad " + good)]
+    no_sources = "array<struct<source:string,title:string,url:string,issue_key:string,from_graph:boolean,score:double>>"
+    df = spark.createDataFrame(rows, "id long, answer string").select("id", F.explode(evaluate.validator_checks(F.lit("links?"), F.col("answer"), F.lit(None).cast(no_sources), F.lit(None).cast("array<struct<source:string,operation:string,count:bigint,titles:array<string>>>"))).alias("c"))
+    got = {r.id: (round(r.c.penalty, 6), r.c.note) for r in df.where("c.name = 'url_validity'").collect()}
+    assert got == {1: (0.0, "ok"), 2: (round(0.3 * 2 / 22, 6), "suspicious_urls"), 3: (round(0.3 / 21, 6), "suspicious_urls")}
