@@ -213,3 +213,9 @@ def test_every_link_is_checked(spark):
     df = spark.createDataFrame(rows, "id long, answer string").select("id", F.explode(evaluate.validator_checks(F.lit("links?"), F.col("answer"), F.lit(None).cast(no_sources), F.lit(None).cast("array<struct<source:string,operation:string,count:bigint,titles:array<string>>>"))).alias("c"))
     got = {r.id: (round(r.c.penalty, 6), r.c.note) for r in df.where("c.name = 'url_validity'").collect()}
     assert got == {1: (0.0, "ok"), 2: (round(0.3 * 2 / 22, 6), "suspicious_urls"), 3: (round(0.3 / 21, 6), "suspicious_urls")}
+
+
+def test_approximate_faithfulness_reads_whole_contexts(spark):
+    filler = " ".join(f"word{i}" for i in range(1500))
+    rows = spark.createDataFrame([(1, "The cache is cleared every night.", [filler + " " * 200 + "The cache is cleared every night."])], "id long, answer string, contexts array<string>")
+    assert evaluate.approximate_faithfulness(rows, "id", vectors.hash_embed).first().faithfulness == 1.0

@@ -128,3 +128,10 @@ def test_chunk_documents_keeps_whole_texts(spark):
         assert {r.total_chunks for r in got} == {len(want)}
     capped = chunking.chunk_documents(docs, cap=chunking.CONTENT_CAP).where("parent_document_id = 'd2'")
     assert capped.count() == len(reference_chunks(long[:50_000], chunking.CHUNK, chunking.OVERLAP))
+
+
+@pytest.mark.parametrize("n", [0, 1, 160, 161, 4840, 4841, 9001])
+def test_windows_cover_whole_texts(spark, n):
+    t = "".join(random.Random(n).choices("abc ", k=n))
+    want = [t[i : i + 200] for i in range(0, n, 160)]
+    assert one(spark, t, text.windows) == want and one(spark, t, lambda c: text.windows(c, most=30)) == want[:30]
