@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from kelpie.functions.text import TICKET_KEY, URL, all_matches, half_even, safe_score, sentences, text_or_empty, ticket_keys, windows
 from kelpie.operators.vectors import cosine
+from kelpie.sources.sinks import staged
 
 # ---- Fixed values ---------------------------------------------------------------------------------------------
 
@@ -258,9 +259,20 @@ def rolling_quality(scored: DataFrame, time: str, score: str, baseline: float, l
 
 
 def rolling_series(scored: DataFrame, by: str, time: str, score: str, tie: str, last: int = 50) -> DataFrame:
-    """For each row the mean of its and the preceding scores of its group, ``last`` at most."""
-    w = Window.partitionBy(by).orderBy(time, tie).rowsBetween(-(last - 1), 0)
-    return scored.withColumn("rolling", F.avg(score).over(w))
+    """For each row the mean of its and the preceding scores of its group, ``last`` at most. Groups are cut into
+    ranges of (time, tie), and each range is handed the rows of its group just before it."""
+    ranged = staged(scored.repartitionByRange(max(2, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))), by, time, tie).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(by, "__part").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    starts = starts.select(F.col(by).alias("__by"), F.col("__part").alias("__to"), "__start", (F.col("__start") + F.col("__n")).alias("__end"))
+    back = F.row_number().over(Window.partitionBy(by, "__part").orderBy(F.desc(time), F.desc(tie)))
+    tails = ranged.select(*dict.fromkeys((by, time, tie, score)), "__part", back.alias("__back")).where(F.col("__back") < last)
+    same = F.col(by).eqNullSafe(F.col("__by"))
+    tails = tails.join(starts, same & (F.col("__part") == F.col("__to"))).withColumn("__at", F.col("__end") - F.col("__back")).drop("__by", "__to", "__start", "__end", "__back", "__part")
+    handed = tails.join(starts, same & (F.col("__start") > F.col("__at")) & (F.col("__start") - F.col("__at") < last)).withColumn("__part", F.col("__to")).drop("__by", "__to", "__start", "__end", "__at")
+    rows = ranged.withColumn("__own", F.lit(True)).unionByName(handed.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    w = Window.partitionBy(by, "__part").orderBy(time, tie).rowsBetween(-(last - 1), 0)
+    return rows.withColumn("rolling", F.avg(score).over(w)).where("__own").drop("__part", "__own")
 
 
 def approximate_relevance(query: Column, answer: Column, embed) -> Column:

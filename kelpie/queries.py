@@ -6,8 +6,6 @@ for chunks (label: parent), conversations for turns, events for a log, orders an
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -510,12 +508,13 @@ def q28_count_results(spark, sf_dir):
 # ---- streams --------------------------------------------------------------------------------------------------
 
 
-def _drained(spark, stream, mode):
-    name = "q_" + uuid.uuid4().hex[:12]
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/kelpie").rstrip("/")
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/stream-{name}").trigger(availableNow=True).start()
+def _drained(spark, stream):
+    """The whole result of an aggregated stream, as a table in the shared folder; each batch replaces it."""
+    out = sinks.scratch(spark, "drained")
+    spark.createDataFrame([], stream.schema).write.parquet(out)
+    q = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).outputMode("complete").option("checkpointLocation", sinks.scratch(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -524,7 +523,7 @@ def st1_event_windows(spark, sf_dir):
 
     schema = _t(spark, sf_dir, "events").schema
     stream = jobs.files(spark, schema, f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = _drained(spark, jobs.event_windows(stream), "complete")
+    out = _drained(spark, jobs.event_windows(stream))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

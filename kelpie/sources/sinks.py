@@ -2,9 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import atexit
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def _drop_scratch() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the session may be gone already; the folder is a scratch folder
+            return
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, dropped when the driver's process ends."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/kelpie").rstrip("/")
+    if not _SCRATCH:
+        atexit.register(_drop_scratch)
+    _SCRATCH.append((spark, f"{folder}/{name}-{uuid.uuid4().hex[:12]}"))
+    return _SCRATCH[-1][1]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: computed once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The last row of each key by ``order``; a new row wins a tie."""

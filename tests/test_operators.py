@@ -219,3 +219,34 @@ def test_approximate_faithfulness_reads_whole_contexts(spark):
     filler = " ".join(f"word{i}" for i in range(1500))
     rows = spark.createDataFrame([(1, "The cache is cleared every night.", [filler + " " * 200 + "The cache is cleared every night."])], "id long, answer string, contexts array<string>")
     assert evaluate.approximate_faithfulness(rows, "id", vectors.hash_embed).first().faithfulness == 1.0
+
+
+@pytest.mark.parametrize("last", [1, 3, 50])
+def test_rolling_series_spreads_a_group(spark, last):
+    import random
+
+    rng = random.Random(last)
+    kinds = ["big"] * 40 + ["small", None]
+    rows = [(rng.choice(kinds), rng.choice([None, *range(300)]), i, float(rng.randint(0, 99))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "kind string, ts int, id long, value double")
+    got = evaluate.rolling_series(df, "kind", "ts", "value", "id", last)
+    want = {}
+    for kind in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == kind), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        for i, r in enumerate(mine):
+            seen = [x[3] for x in mine[max(0, i - last + 1) : i + 1]]
+            want[r[2]] = round(sum(seen) / len(seen), 6)
+    assert got.columns == [*df.columns, "rolling"] and {r.id: round(r.rolling, 6) for r in got.collect()} == want and got.count() == len(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = got.where("kind = 'big'").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum("rolling").alias("read")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r.n for r in spread) < 1200 < sum(r.n for r in spread), spread
+
+
+def test_drained_streams_stay_out_of_the_driver(spark, sf_dir):
+    from kelpie import queries
+
+    out = queries.st1_event_windows(spark, sf_dir)
+    assert out.inputFiles() and out.count() == queries.st1_event_windows(spark, sf_dir).count() > 0
