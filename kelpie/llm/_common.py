@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
+import weakref
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_STAGED: list[tuple[SparkSession, str]] = []
+_STAGED: dict[str, tuple] = {}  # path: the JVM's file system and path
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 #: Lower-cases A-Z; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -20,34 +25,78 @@ ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. In local mode, where it is unset (as in tests), a
+    folder of this machine serves; on a cluster that would lose data, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file:///tmp/checkpoints/kelpie"
-        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _delete(path: str) -> None:
+    files, hadoop = _STAGED.pop(path)
+    try:
+        files.delete(hadoop, True)
+    except Exception:  # at exit the JVM may be gone; the folder is a scratch folder
+        return
+
+
 def _drop_staged() -> None:
-    for spark, path in _STAGED:
-        try:
-            jvm = spark.sparkContext._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the session may be gone already; the folder is a scratch folder
-            return
+    for path in list(_STAGED):
+        _delete(path)
 
 
-def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage, survives lost
-    executors, is computed once. Dropped when the driver's process ends. ``files``: at most so many."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, dropped like staged tables."""
     path = f"{shared_dir(spark)}/kelpie-{name}-{uuid.uuid4().hex[:12]}"
     if not _STAGED:
         atexit.register(_drop_staged)
-    _STAGED.append((spark, path))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _STAGED[path] = (hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop)  # outlive the session
+    return path
+
+
+def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage, survives lost
+    executors, is computed once. Dropped by ``discard``, ``scratch`` or when the driver's process ends. ``files``: at
+    most so many."""
+    path = shared_folder(df.sparkSession, name)
     (df.coalesce(files) if files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Drop staged tables whose consumers have all been written; other DataFrames are left alone."""
+    for df in tables:
+        if (path := _PATHS.get(df)) in _STAGED:
+            _delete(path)
+
+
+@contextlib.contextmanager
+def scratch(*kept: str) -> Iterator[None]:
+    """Drops at its end what was staged within, but for tables of the names ``kept``."""
+    before = set(_STAGED)
+    yield
+    for path in set(_STAGED) - before:
+        if path.rsplit("/kelpie-", 1)[1].rsplit("-", 1)[0] not in kept:
+            _delete(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if a column of ``df`` has it (letter case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_id(text: str) -> Column:
+    """128 bits that stand for a text; null and empty are one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def partitions(spark: SparkSession) -> int:
