@@ -6,11 +6,13 @@ of equals), so equal windows have equal anchors at equal offsets. Consecutive wi
 1. Each batch sends each different anchor once (anchor, a text that has it, count) to the anchor's partition;
    anchors met in two places there, or twice in one batch, are candidates, told to the texts that have them.
 2. Those texts send the segments of their candidate runs to the anchor's partition, equal segments of a batch
-   once with their number. Runs of the few anchors with very many occurrences are cut into runs of 16 offsets
-   and keyed by the 185 bytes that all their windows share, so no anchor gathers a large group.
+   once with their number. Runs of the few anchors with a large share of all occurrences (so few, and all known) are
+   cut into runs of 16 offsets and keyed by the 185 bytes that all their windows share, so no anchor gathers a large
+   group.
 3. There, different segments of an anchor are sorted as suffixes (``suffixes.two_stage``); a window whose common
    prefix with a neighbour reaches ``match`` bytes, or whose segment came more than once, is repeated.
-4. The repeated spans go back to their texts; equal texts share one key, so copies are handled once.
+4. The repeated spans go back to their texts. A text is known by 128 bits, so equal texts share their spans and copies
+   are handled once; 64 of them route its messages, where two texts of one number only get more told than they need.
 
 Texts are UTF-8 bytes; strings never cross texts; strings are judged on the input.
 Defined cases: null or empty text has zero bytes; texts shorter than ``match`` keep all bytes; a text that occurs
@@ -30,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm._common import column, mix, partitions, staged, text_bytes
+from kelpie.llm._common import column, discard, mix, partitions, staged, text_bytes, unused
 from kelpie.llm.suffixes import common_prefixes, two_stage
 
 GRAM = 64
 #: Offsets that share a key in the runs of a hot anchor.
 STEP = 16
-#: Occurrences from which an anchor may count as hot, and hot anchors at most (those with most occurrences).
-HOT_FROM, HOT_MOST = 1_000, 10_000
+#: Occurrences from which an anchor may count as hot, and the part of a partition's fair share that makes it so.
+HOT_FROM, HOT_PART = 1_000, 1 / 64
 _PLACE = 21  # bits of a position in a chunk
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _FACTOR)
@@ -168,10 +170,11 @@ def _meet(hot_from: int):
         met = np.diff(np.append(first, len(h)))
         total = np.add.reduceat(entries["n"], first) if len(first) else first
         wanted = np.repeat(met > 1, met)
-        names, data = _by_text(entries["owner"][wanted], np.ascontiguousarray(h[wanted]))
-        hot = total >= hot_from
+        pairs = np.unique(entries[["owner", "hash"]][wanted])  # a text's copies tell once
+        names, data = _by_text(pairs["owner"], np.ascontiguousarray(pairs["hash"]))
+        hot = (total >= hot_from) & (total >= HOT_PART * total.sum())  # at most 1 / HOT_PART of them here
         names += [None] * int(hot.sum())
-        data += [a.tobytes() + b.tobytes() for a, b in zip(h[first[hot]], total[hot].astype("<i8"))]
+        data += [a.tobytes() for a in h[first[hot]]]
         made = pa.table({"owner": pa.array(names, pa.int64()), "data": pa.array(data, pa.binary())})
         return pa.concat_tables([direct.cast(made.schema), made])
 
@@ -179,7 +182,7 @@ def _meet(hot_from: int):
 
 
 _SEGMENTS = "part long, anchor long, n long, content binary, places binary"
-_PLACES = np.dtype([("owner", "<i8"), ("start", "<i8")])
+_PLACES = np.dtype([("owner", "<i8"), ("check", "<i8"), ("start", "<i8")])
 
 
 def _cut_segments(told: DataFrame, match: int, parts: int, hot: frozenset) -> DataFrame:
@@ -193,23 +196,23 @@ def _cut_segments(told: DataFrame, match: int, parts: int, hot: frozenset) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owners = column(b, "owner").to_pylist()
+            owners = list(zip(column(b, "owner").to_pylist(), column(b, "check").to_pylist()))
             wanted = column(b, "told").to_pylist()
-            copies: dict[int, int] = {}
+            copies: dict[tuple[int, int], int] = {}
             for o in owners:
                 copies[o] = copies.get(o, 0) + 1
             held: dict[tuple[int, bytes], list] = {}
             size = 0
-            done: set[int] = set()
+            done: set[tuple[int, int]] = set()
 
-            def add(key: int, content: bytes, owner: int, start: int) -> None:
+            def add(key: int, content: bytes, owner: tuple[int, int], start: int) -> None:
                 mine = held.get((key, content))
                 if mine is None:
                     nonlocal size
                     held[key, content] = mine = [0, []]
                     size += len(content)
                 mine[0] += copies[owner]
-                mine[1].append((owner, start))
+                mine[1].append((*owner, start))
 
             for lo, _, raw, at in _slices(b, "text"):
                 doc, begin, last, anchor, grams = runs(raw, at, match)
@@ -261,7 +264,7 @@ def repeated_windows(contents: list[bytes], match: int) -> list[np.ndarray]:
 
 
 def _judge(match: int):
-    """Repeated spans (owner, pairs of start and end) of a partition's segments."""
+    """Repeated spans (owner, check, pairs of start and end) of a partition's segments."""
 
     def run(table: pa.Table) -> pa.Table:
         groups: dict[int, dict[bytes, list]] = {}
@@ -269,15 +272,15 @@ def _judge(match: int):
             mine = groups.setdefault(anchor, {}).setdefault(content, [0, []])
             mine[0] += n
             mine[1].append(places)
-        spans: dict[int, list[np.ndarray]] = {}
+        spans: dict[tuple[int, int], list[np.ndarray]] = {}
 
         def tell(places: list[bytes], found: np.ndarray) -> None:
             edge = np.diff(np.concatenate([[0], found.astype(np.int8), [0]]))
             first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
             if len(first):
                 pair = np.stack([first, last + match], axis=1)
-                for p in np.frombuffer(b"".join(places), _PLACES):
-                    spans.setdefault(int(p["owner"]), []).append(pair + p["start"])
+                for p in np.unique(np.frombuffer(b"".join(places), _PLACES)):
+                    spans.setdefault((int(p["owner"]), int(p["check"])), []).append(pair + p["start"])
 
         held: list[tuple[bytes, list]] = []
         size = 0
@@ -299,7 +302,7 @@ def _judge(match: int):
                 held, size = [], 0
         if held:
             sort()
-        return pa.table({"owner": pa.array(list(spans), pa.int64()), "data": pa.array([merged(np.concatenate(s)).astype("<i8").tobytes() for s in spans.values()], pa.binary())})
+        return pa.table({"owner": pa.array([o for o, _ in spans], pa.int64()), "check": pa.array([c for _, c in spans], pa.int64()), "data": pa.array([merged(np.concatenate(s)).astype("<i8").tobytes() for s in spans.values()], pa.binary())})
 
     return run
 
@@ -314,36 +317,41 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
-def find_repeats(docs: DataFrame, text: str = "text", match: int = 200, hot_from: int = HOT_FROM) -> DataFrame:
-    """``docs`` with ``__repeated``: the pairs (start, end) of the bytes covered by repeated strings, as 64-bit
-    integers, or null."""
+def find_repeats(docs: DataFrame, text: str = "text", match: int = 200, hot_from: int = HOT_FROM, out: str = "__repeated") -> DataFrame:
+    """``docs`` with the column ``out``: the pairs (start, end) of the bytes covered by repeated strings, as 64-bit
+    integers, or null. Its name must be free."""
     if match < 2 * GRAM:
         raise ValueError(f"match must be {2 * GRAM} at least")
-    spark = docs.sparkSession
-    parts = partitions(spark)
+    if unused(docs, out) != out:
+        raise ValueError(f"there is a column {out} already")
+    parts = partitions(docs.sparkSession)
     plain = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("__owner", F.xxhash64(plain))
-    light = keyed.select(F.col("__owner").alias("owner"), plain.alias("text"))
+    owner, check = F.xxhash64(plain), F.xxhash64(F.lit(match), plain, F.length(plain))
+    light = docs.select(owner.alias("owner"), check.alias("check"), plain.alias("text"))
     told = staged(_tell_anchors(light, match, parts).groupBy("part").applyInArrow(_meet(hot_from), "owner long, data binary"), "anchors")
-    hot = told.where("owner is null").select("data").limit(20 * HOT_MOST).collect()  # few anchors have so many occurrences
-    ranked = sorted((np.frombuffer(r["data"], "<u8") for r in hot), key=lambda x: (-int(x[1]), int(x[0])))[:HOT_MOST]
-    asked = told.where("owner is not null").groupBy("owner").agg(F.collect_list("data").alias("told"))
-    segments = _cut_segments(light.join(asked, "owner"), match, 8 * parts, frozenset(int(x[0]) for x in ranked))
-    spans = segments.groupBy("part").applyInArrow(_judge(match), "owner long, data binary")
-    spans = staged(spans.groupBy("owner").agg(F.collect_list("data").alias("__repeated")), "spans")
-    return keyed.join(spans.withColumnRenamed("owner", "__owner"), "__owner", "left").drop("__owner")
+    hot = [np.frombuffer(r["data"], "<u8") for r in told.where("owner is null").select("data").collect()]  # at most parts / HOT_PART
+    asked = staged(told.where("owner is not null").groupBy("owner").agg(F.collect_set("data").alias("told")), "asked")  # by itself, so that a hot owner's rows can be split
+    discard(told)
+    segments = _cut_segments(light.join(asked, "owner"), match, 8 * parts, frozenset(int(x[0]) for x in hot))
+    spans = segments.groupBy("part").applyInArrow(_judge(match), "owner long, check long, data binary")
+    spans = staged(spans.groupBy("owner", "check").agg(F.collect_list("data").alias("data")), "spans")
+    discard(asked)
+    owner_name, check_name = unused(docs, "text_owner"), unused(docs, "text_check")
+    keyed = docs.withColumns({owner_name: owner, check_name: check})
+    return keyed.join(spans.toDF(owner_name, check_name, out), [owner_name, check_name], "left").drop(owner_name, check_name)
 
 
 def summarise(docs: DataFrame, key: str = "doc_id", text: str = "text", match: int = 200, hot_from: int = HOT_FROM) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining bytes."""
     kind = docs.schema[key].dataType.simpleString()
+    found = unused(docs.select(key, text), "repeated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = text_bytes(column(b, text))
             raw = raw.tobytes()
             rows: list[list] = [[], [], [], []]
-            for i, spans in enumerate(column(b, "__repeated").to_pylist()):
+            for i, spans in enumerate(column(b, found).to_pylist()):
                 own = raw[at[i] : at[i + 1]]
                 cut = merged(np.frombuffer(b"".join(spans or ()), "<i8").reshape(-1, 2))
                 kept = keep(own, cut)
@@ -351,7 +359,7 @@ def summarise(docs: DataFrame, key: str = "doc_id", text: str = "text", match: i
                     col.append(v)
             yield pa.RecordBatch.from_arrays([column(b, key), *(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return find_repeats(docs.select(key, text), text, match, hot_from).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return find_repeats(docs.select(key, text), text, match, hot_from, found).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def keep(own: bytes, cut: np.ndarray) -> bytes:
@@ -362,17 +370,18 @@ def keep(own: bytes, cut: np.ndarray) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", match: int = 200) -> DataFrame:
-    """``docs`` with the repeated bytes of ``text`` removed; a character cut in two goes whole. Nulls stay."""
-    names = list(docs.columns)
+    """``docs`` with the repeated bytes of ``text`` removed; a character cut in two goes whole. Nulls stay;
+    columns of any name pass."""
+    names, found = list(docs.columns), unused(docs, "repeated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = column(b, text).to_pylist()
             out = []
-            for t, spans in zip(texts, column(b, "__repeated").to_pylist()):
+            for t, spans in zip(texts, column(b, found).to_pylist()):
                 if spans and t:
                     t = keep(t.encode(), merged(np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2))).decode(errors="ignore")
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text else column(b, n) for n in names], names)
 
-    return find_repeats(docs, text, match).mapInArrow(run, docs.schema)
+    return find_repeats(docs, text, match, out=found).mapInArrow(run, docs.schema)
