@@ -45,6 +45,8 @@ DISCOUNT = 0.75
 SUCCESSOR_BITS = 40
 #: Sampled texts for the spread of frequent contexts; a context's share of tokens that one shard takes.
 SAMPLE, SHARE = 2_000, 1 / 512
+#: Bytes of an upper part between two samples of its number of ones.
+STRIDE = 16
 _STEPS = 254
 _LEAST = -9.0  # log10 of the least probability that the code can tell
 
@@ -53,52 +55,101 @@ _LEAST = -9.0  # log10 of the least probability that the code can tell
 
 
 def ef_encode(values: np.ndarray, universe: int) -> bytes:
-    """A monotone sequence of integers below ``universe``: low bits packed, high bits in unary."""
+    """A monotone sequence of integers below ``universe``: low bits packed, high bits in unary, and how many ones lie
+    before each ``STRIDE`` bytes of the latter."""
     n = len(values)
     low = max(0, int(universe // max(1, n)).bit_length() - 1)
     values = values.astype(np.uint64)
     high = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
-    upper = np.zeros(((int(high[-1]) + 8) // 8 if n else 0) * 8, np.uint8)
+    size = ((int(high[-1]) + 9) // 8 if n else 0) + STRIDE  # zeros follow, so that each bucket has an end
+    size += -size % STRIDE
+    upper = np.zeros(8 * size, np.uint8)
     upper[high] = 1
-    bits = ((values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel() if low else np.zeros(0, np.uint8)
-    a, b = np.packbits(bits, bitorder="little").tobytes(), np.packbits(upper, bitorder="little").tobytes()
-    return np.array([n, low, len(a), len(b)], "<i8").tobytes() + a + b
+    lower = np.zeros((n * low + 7) // 8, np.uint8)
+    for lo in range(0, n if low else 0, 1 << 20):  # a multiple of eight values, so of whole bytes
+        part = values[lo : lo + (1 << 20)]
+        packed = np.packbits(((part[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+        lower[lo * low // 8 : lo * low // 8 + len(packed)] = packed
+    ones = np.concatenate([[0], np.cumsum(upper.reshape(-1, 8 * STRIDE).sum(axis=1, dtype=np.int64))])[:-1]
+    a, b, c = lower.tobytes(), np.packbits(upper, bitorder="little").tobytes(), ones.astype("<i8").tobytes()
+    return np.array([n, low, len(a), len(b), len(c)], "<i8").tobytes() + a + b + c
 
 
 class EliasFano:
-    """Reads ``ef_encode`` from a buffer, such as a memory map, at an offset."""
+    """Reads ``ef_encode`` from a buffer, such as a memory map, at an offset; nothing is decoded but what is asked."""
 
     def __init__(self, buffer, at: int = 0):
-        self.n, self.low, a, b = np.frombuffer(buffer, "<i8", 4, at).tolist()
-        self.lower = np.frombuffer(buffer, np.uint8, a, at + 32)
-        self.upper = np.frombuffer(buffer, np.uint8, b, at + 32 + a)
-        self.size = 32 + a + b
-        ones = _POP[self.upper]
-        self.rank = np.concatenate([[0], np.cumsum(ones)]).astype(np.int64)
-
-    def get(self, i: np.ndarray) -> np.ndarray:
-        """Values at indices i, by selecting the i-th set bit."""
-        byte = np.searchsorted(self.rank, i, "right") - 1
-        bit = _SELECT[self.upper[byte], i - self.rank[byte]]
-        high = (8 * byte + bit - i).astype(np.uint64) << np.uint64(self.low)
-        if not self.low:
-            return high
+        self.n, self.low, a, b, c = np.frombuffer(buffer, "<i8", 5, at).tolist()
+        self.lower = np.frombuffer(buffer, np.uint8, a, at + 40)
+        self.upper = np.frombuffer(buffer, np.uint8, b, at + 40 + a).reshape(-1, STRIDE)
+        self.ones = np.frombuffer(buffer, "<i8", c // 8, at + 40 + a + b)
+
+    def _select(self, i: np.ndarray, bit: int) -> np.ndarray:
+        """Positions of the i-th bits (from 0) of the value ``bit`` in the upper part, by the samples, then in a stride."""
+        out = np.empty(len(i), np.int64)
+        before = self.ones if bit else 8 * STRIDE * np.arange(len(self.ones)) - self.ones
+        for lo in range(0, len(i), 100_000):
+            want = i[lo : lo + 100_000]
+            stride = np.searchsorted(before, want, "right") - 1
+            held = self.upper[stride] if bit else ~self.upper[stride]
+            upto = np.cumsum(_POP[held], axis=1, dtype=np.int32)
+            rest = want - before[stride]
+            byte = (upto <= rest[:, None]).sum(axis=1)
+            row = np.arange(len(want))
+            rest = rest - np.where(byte, upto[row, byte - 1], 0)
+            out[lo : lo + 100_000] = 8 * (STRIDE * stride + byte) + _SELECT[held[row, byte], rest]
+        return out
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.uint64)
         first = i.astype(np.int64) * self.low
-        for k in range((self.low + 14) // 8):
+        for k in range((self.low + 14) // 8 if self.low else 0):
             at = (first >> 3) + k
             shift = 8 * k - (first & 7)
             b = self.lower[np.minimum(at, len(self.lower) - 1)].astype(np.uint64)
             out |= np.where(shift >= 0, b << np.maximum(shift, 0).astype(np.uint64), b >> np.maximum(-shift, 0).astype(np.uint64))
-        return high | (out & np.uint64((1 << self.low) - 1))
+        return out & np.uint64((1 << self.low) - 1)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """Values at indices i."""
+        i = np.asarray(i, np.int64)
+        return ((self._select(i, 1) - i).astype(np.uint64) << np.uint64(self.low)) | self._low(i)
 
     def all(self) -> np.ndarray:
-        return self.get(np.arange(self.n)) if self.n else np.zeros(0, np.uint64)
+        return self.get(np.arange(self.n))
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Index of the first element equal to each value, -1 where there is none: successor search, in the bucket of
+        the high bits by selected zeros, then by halving over the low bits."""
+        values = np.asarray(values, np.uint64)
+        high = (values >> np.uint64(self.low)).astype(np.int64)
+        out = np.full(len(values), -1, np.int64)
+        most = 8 * STRIDE * len(self.ones) - (int(self.ones[-1]) + int(_POP[self.upper[-1]].sum())) if self.n else 0  # zeros
+        asked = np.flatnonzero((high >= 0) & (high < most))
+        if not len(asked):
+            return out
+        h = high[asked]
+        end = self._select(h, 0) - h
+        begin = np.zeros(len(h), np.int64)
+        begin[h > 0] = self._select(h[h > 0] - 1, 0) - h[h > 0] + 1
+        wanted = values[asked] & np.uint64((1 << self.low) - 1)
+        hi = end.copy()
+        live = np.flatnonzero(begin < hi)
+        while len(live):  # the first element of the bucket that is not less
+            mid = (begin[live] + hi[live]) >> 1
+            less = self._low(mid) < wanted[live]
+            begin[live[less]] = mid[less] + 1
+            hi[live[~less]] = mid[~less]
+            live = live[begin[live] < hi[live]]
+        inside = np.flatnonzero(begin < end)
+        inside = inside[self._low(begin[inside]) == wanted[inside]]
+        out[asked[inside]] = begin[inside]
+        return out
 
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-_POP = _BITS.sum(axis=1).astype(np.int64)
-_SELECT = np.array([np.append(np.flatnonzero(r), [0] * (8 - r.sum())) for r in _BITS], np.int64)
+_POP = _BITS.sum(axis=1).astype(np.uint8)
+_SELECT = np.array([np.append(np.flatnonzero(r), [0] * (8 - int(r.sum()))) for r in _BITS], np.int64)
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -113,50 +164,54 @@ _DECODED = np.concatenate([[0.0], 10 ** (_LEAST * np.arange(_STEPS + 1) / _STEPS
 
 
 def build_trie(contexts: np.ndarray, counts: np.ndarray, owner: np.ndarray, successors: np.ndarray, pair_counts: np.ndarray, discount: float = DISCOUNT) -> bytes:
-    """contexts: sorted hashes with the counts of their tokens. owner, successors: context number and successor
+    """contexts: sorted 63-bit hashes with the counts of their tokens. owner, successors: context number and successor
     id of each pair, sorted; pair_counts > 0. The total of a context's pairs is what its codes are relative to."""
     total = np.bincount(owner, weights=pair_counts, minlength=len(contexts)).astype(np.int64)
     fanout = np.bincount(owner, minlength=len(contexts)).astype(np.int64)
     codes = quantise(np.maximum(pair_counts - discount, 1e-9) / np.maximum(total[owner], 1)) if len(owner) else np.zeros(0, np.uint8)
     relative = successors.astype(np.uint64) + (owner.astype(np.uint64) << np.uint64(SUCCESSOR_BITS))
+    sums = lambda x: np.concatenate([[0], np.cumsum(x)])
     levels = [
-        ef_encode(contexts >> np.uint64(1), 1 << 63), (contexts & np.uint64(1)).astype(np.uint8).tobytes(), counts.astype("<i8").tobytes(), total.astype("<i8").tobytes(),
-        ef_encode(np.concatenate([[0], np.cumsum(fanout)]), len(owner) + 1), ef_encode(relative, max(1, len(contexts)) << SUCCESSOR_BITS), codes.tobytes()]
+        ef_encode(contexts, 1 << 63), ef_encode(sums(counts), int(counts.sum()) + 1), ef_encode(sums(total), int(total.sum()) + 1),
+        ef_encode(sums(fanout), len(owner) + 1), ef_encode(relative, max(1, len(contexts)) << SUCCESSOR_BITS), codes.tobytes()]
     return np.array([len(x) for x in levels], "<i8").tobytes() + b"".join(levels)
 
 
 class Trie:
-    """A trie in a buffer."""
+    """A trie in a buffer, queried on its compact levels: counts, totals and pointers are running sums, so monotone."""
 
     def __init__(self, buffer):
-        sizes = np.frombuffer(buffer, "<i8", 7)
-        at = 56 + np.concatenate([[0], np.cumsum(sizes)])
-        top = EliasFano(buffer, int(at[0]))
-        self.contexts = (top.all() << np.uint64(1)) | np.frombuffer(buffer, np.uint8, top.n, int(at[1])).astype(np.uint64)
-        self.counts = np.frombuffer(buffer, "<i8", top.n, int(at[2]))
-        self.totals = np.frombuffer(buffer, "<i8", top.n, int(at[3]))
-        self.pointers = EliasFano(buffer, int(at[4])).all().astype(np.int64)
-        self.successors = EliasFano(buffer, int(at[5])).all()
-        self.codes = np.frombuffer(buffer, np.uint8, len(self.successors), int(at[6]))
+        sizes = np.frombuffer(buffer, "<i8", 6)
+        at = 48 + np.concatenate([[0], np.cumsum(sizes)])
+        self.contexts, self._counts, self._totals, self._pointers, self.successors = (EliasFano(buffer, int(x)) for x in at[:5])
+        self.codes = np.frombuffer(buffer, np.uint8, self.successors.n, int(at[5]))
 
     def context(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of contexts, -1 where unknown, by successor search in the first level."""
-        at = np.searchsorted(self.contexts, hashes)
-        at[at == len(self.contexts)] = 0
-        return np.where(self.contexts[at] == hashes, at, -1) if len(self.contexts) else np.full(len(hashes), -1)
+        return self.contexts.find(hashes)
+
+    @staticmethod
+    def _between(sums: EliasFano, context: np.ndarray) -> np.ndarray:
+        known = np.maximum(context, 0)
+        return np.where(context >= 0, (sums.get(known + 1) - sums.get(known)).astype(np.int64), 0)
+
+    def counts(self, context: np.ndarray) -> np.ndarray:
+        return self._between(self._counts, context)
+
+    def totals(self, context: np.ndarray) -> np.ndarray:
+        return self._between(self._totals, context)
 
     def fanout(self, context: np.ndarray) -> np.ndarray:
-        return np.where(context >= 0, self.pointers[context + 1] - self.pointers[context], 0)
+        return self._between(self._pointers, context)
 
     def code(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """Codes of successors in known contexts, 0 where unseen. Ids grow by context, so the search for an id
         in its context's range is a successor search for the id relative to that context."""
-        if not len(self.successors):
-            return np.zeros(len(context), np.uint8)
-        wanted = successor.astype(np.uint64) + (context.astype(np.uint64) << np.uint64(SUCCESSOR_BITS))
-        at = np.searchsorted(self.successors, wanted)
-        at[at == len(self.successors)] = 0
-        return np.where((self.successors[at] == wanted) & (context >= 0), self.codes[at], 0).astype(np.uint8)
+        at = self.successors.find(successor.astype(np.uint64) + (np.maximum(context, 0).astype(np.uint64) << np.uint64(SUCCESSOR_BITS)))
+        found = (at >= 0) & (context >= 0)
+        out = np.zeros(len(context), np.uint8)
+        out[found] = self.codes[at[found]]
+        return out
 
 
 # ---------------------------------------------------------------- messages
@@ -265,13 +320,14 @@ def _answer(messages: pa.Table) -> pa.Table:
     (tokens, different words, those with one and with two) come with a row of chunk -1."""
     shard = messages["shard"][0].as_py()
     chunks, data = messages["chunk"].to_pylist(), messages["data"].to_pylist()
+    del messages
     parts = [_unpack(d) for d in data]
-    virtual = np.concatenate([p[0] for p in parts])
-    contexts, number = np.unique(virtual, return_inverse=True)
+    contexts, number = np.unique(np.concatenate([p[0] >> np.uint64(1) for p in parts]), return_inverse=True)
     counts = np.bincount(number, weights=np.concatenate([p[1] for p in parts]), minlength=len(contexts)).astype(np.int64)
     owner = np.repeat(number, np.concatenate([p[2] for p in parts])).astype(np.uint64)
     key = (owner << np.uint64(SUCCESSOR_BITS)) | np.concatenate([p[3] for p in parts]).astype(np.uint64)
     pairs = np.concatenate([p[4] for p in parts])
+    del owner, number, parts
     seen = pairs > 0
     key, pairs = key[seen], pairs[seen]
     by = np.argsort(key, kind="stable")
@@ -282,15 +338,17 @@ def _answer(messages: pa.Table) -> pa.Table:
     trie_bytes = build_trie(contexts, counts, (key >> np.uint64(SUCCESSOR_BITS)).astype(np.int64), (key & np.uint64((1 << SUCCESSOR_BITS) - 1)).astype(np.int64), summed)
     known = counts[counts > 0]
     rows = [(-1, shard, None, int(known.sum()), len(known), int((known == 1).sum()), int((known == 2).sum()))]
-    with tempfile.TemporaryFile() as f:
+    with tempfile.TemporaryFile() as f:  # the task's own, for the map alone: lost with the task, built again by the next
         f.write(trie_bytes)
         f.flush()
+        del trie_bytes, contexts, counts, known, key, pairs, by, seen, first, summed  # from here on the mapped levels answer
         with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as mapped:
             trie = Trie(mapped)
-            for chunk, p in zip(chunks, parts):
-                at = trie.context(p[0])
-                codes = trie.code(np.repeat(at, p[2]), p[3])
-                told = [trie.counts[at], trie.totals[at], trie.fanout(at)]
+            for chunk, d in zip(chunks, data):
+                virtual, _, lengths, successors, _ = _unpack(d)
+                at = trie.context(virtual >> np.uint64(1))
+                codes = trie.code(np.repeat(at, lengths), successors)
+                told = [trie.counts(at), trie.totals(at), trie.fanout(at)]
                 rows.append((chunk, shard, b"".join([np.array([len(at), len(codes)], "<i8").tobytes(), *(x.astype("<i8").tobytes() for x in told), codes.tobytes()]), 0, 0, 0, 0))
             del trie
     names = [x.split()[0] for x in _ANSWERS.split(", ")]
