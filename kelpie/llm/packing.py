@@ -67,8 +67,8 @@ class WordEncoder:
     The tokenizer lower-cases, drops white space, and keeps a run of letters apart from a run of these marks, so
     a text's ids are its words' ids end to end, and a word's are those of its letters and its closing marks. Words
     of a-z go through the same merges as byte ranks, many at a time: their last letter stands in upper case for
-    the end of a word. Other words go through the tokenizer itself. ``tests/llm`` holds all this against encoding
-    whole texts."""
+    the end of a word. Other words go through the tokenizer itself. ``encoder_of`` tries all this on probes first, and
+    ``tests/llm`` holds it against encoding whole texts."""
 
     _WORD = re.compile(rb"([A-Za-z]+)([.,;:!?*$%&#]*)")
 
@@ -149,6 +149,43 @@ class WordEncoder:
         return out, bounds
 
 
+class TextEncoder:
+    """Ids of whole texts by any tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, bounds = [], [0]
+        for lo in range(0, len(texts), 100):
+            part = [t or "" for t in texts.slice(lo, 100).to_pylist()]
+            for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                ids.append(np.array([*e.ids, end], np.uint32))
+                bounds.append(bounds[-1] + len(e.ids) + 1)
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array(bounds, np.int64)
+
+
+#: Texts that tell whether a tokenizer works word by word.
+PROBES = [
+    "", " ", "a", "The quick BROWN fox, jumped over!! 13 lazy dogs...", "Straße élève Ñandú ÄÖÜ ß", "tab\tand\nnew line\r\n  blanks", "it's mother-in-law's (so-called) e.g. x_y a/b", "unbelievable internationalisation zzzzqqqxxx", "???!!! ,,, $5.00 100% #tag @you &amp; a*b", "日本語 текст ελληνικά 🙂 e\u0301", "A.B.C. a.b,c;d:e", "x" * 300,
+]
+
+
+def encoder_of(path: str) -> WordEncoder | TextEncoder:
+    """The encoder by words where it gives what whole texts give on the probes, else the one by whole texts."""
+    plain = TextEncoder(path)
+    texts = pa.array(PROBES)
+    try:
+        fast = WordEncoder(path)
+        same = all(np.array_equal(a, b) for a, b in zip(fast.encode(texts, 1), plain.encode(texts, 1)))
+    except (ValueError, KeyError):  # not such a vocabulary
+        return plain
+    return fast if same else plain
+
+
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = 2048, end: int = 1, scale: float = 2048.0, window: int = WINDOW) -> DataFrame:
     """Per piece: key, start, length, ids_crc32 (of little-endian 32-bit ids), doc_tokens, sequence_id, offset."""
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -162,7 +199,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             lo = 0
             while lo < len(keys):  # by bytes, of which a token has one at least
                 hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 4 * window, "right")) - 1)
-                encoder = encoder or WordEncoder(tokenizer)  # a task's own, so that an idle worker keeps none
+                encoder = encoder or encoder_of(tokenizer)  # a task's own, so that an idle worker keeps none
                 ids, bounds = encoder.encode(texts.slice(lo, hi - lo), end)
                 first = 0
                 while first < hi - lo:
