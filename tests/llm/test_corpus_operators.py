@@ -17,6 +17,10 @@ from kelpie.llm import chat, decontamination, jaccard, lm, packing, repeats, suf
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Names that operators use, or once used, for columns of their own.
+CLASHING = ["__owner", "__repeated", "__score", "__row_text", "__kept_owner", "__kept_key", "repeated", "text_owner", "text_check", "row_text", "mine", "kept_owner", "kept_key", "hi", "check"]
+
+
 def words_of(t):
     return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
 
@@ -31,7 +35,8 @@ def odd(spark):
     near = [" ".join(w if i != k else "changed" for i, w in enumerate(base[9].split())) for k in (0, 50, 120)]
     texts = [*base, *near, base[8], base[8].upper(), None, "", " \t\n", long, "aaaa" * 200, base[7] + " tail " + base[7], base[2] + " " + base[9][:900], "one", "one two", "ONE  two", "x\x0by"]
     rows = [(i, t, i, "n", "s", 1.0, "k") for i, t in enumerate(texts)] + [(None, base[5], 0, "n", "s", 1.0, "k"), (3, base[9], 0, "n", "s", 1.0, "k"), (4, base[4], 4, "n", "s", 1.0, "k")]
-    return spark.createDataFrame(rows, "doc_id long, text string, owner long, node string, source string, score double, key string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, owner long, node string, source string, score double, key string")
+    return df.withColumns({c: F.lit(f"kept {c}") for c in CLASHING})
 
 
 def brute_components(rows, n, percent):
@@ -91,6 +96,48 @@ def test_jaccard_prune_is_safe(spark):
     assert jaccard._prune(90)(table)["node"].to_pylist() == [0, 1]
 
 
+def test_jaccard_boundary_follows_the_lists(spark):
+    """Few words make long lists and subsets pay; different words make lists of one, and no subsets are made."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    few = [(i, " ".join(rng.sample(words, rng.randint(5, 12)))) for i in range(700)]
+    few += [(1000 + i, t + " w0 more") for i, (_, t) in enumerate(few[:40])]
+    docs = spark.createDataFrame(few, "doc_id long, text string")
+    boundary, frequent, weight = jaccard._plan(docs, "text", 1, 60)
+    assert boundary > 9 and max(jaccard.n_subsets(n, 60) for n in range(1, boundary + 1)) <= jaccard.MOST_SUBSETS
+    x = np.arange(boundary, dtype=np.uint64)
+    assert len(jaccard.subset_sizes(boundary, 60)) > 1 and len(jaccard.keys_of(x, 60, boundary, frequent, weight)) > jaccard.prefix_length(boundary, 60) + 1
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join_components(docs, n=1, percent=60).collect())
+    assert got == brute_components(docs.collect(), 1, 60)
+    other = spark.createDataFrame([(i, " ".join(f"x{i}y{k}" for k in range(8))) for i in range(300)], "doc_id long, text string")
+    assert jaccard._plan(other, "text", 1, 60)[0] == 0
+    assert jaccard.choose_boundary({}, 5.0, 90) == 0 and jaccard.choose_boundary({40: 10_000}, 1e9, 90) == 0
+
+
+def test_jaccard_large_clusters_and_hot_keys(spark, monkeypatch):
+    """Clusters of many blocks, of copies that link and of others that share but a passage, and keys cut by node."""
+    for name, value in (("BLOCK", 8), ("PIVOTS", 2), ("PRUNED", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for _ in range(70):  # near copies of one another, mostly
+        t = list(base)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(60)] = f"c{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    texts += [" ".join(base[:35] + [f"d{rng.randrange(10**6)}" for _ in range(30)]) for _ in range(40)]
+    texts += [t + " tail" for t in texts[-6:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join_components(docs, n=2, percent=70).collect())
+    assert got == brute_components(docs.collect(), 2, 70)
+    nodes = spark.createDataFrame([(i, 20, np.array([7, 1000 + i], np.uint64).tobytes(), jaccard.signature(np.arange(20, dtype=np.uint64))) for i in range(400)], "node long, n long, keys binary, sig binary")
+    assert jaccard._hot_keys(nodes, 8).tolist() == [7]
+    stars = jaccard._stars(nodes, 90)
+    labels = jaccard.components(nodes.select("node", F.col("node").alias("comp")), stars)
+    assert [r.comp for r in labels.select("comp").distinct().collect()] == [0]
+
+
 def test_one_of_each(odd):
     kept = jaccard.one_of_each(odd, n=3, percent=90).collect()
     rows = odd.collect()
@@ -126,6 +173,7 @@ def test_repeats(odd, hot_from):
 
 def test_remove_repeats_keeps_rows_and_columns(odd):
     out = repeats.remove_repeats(odd)
+    assert all(r[c] == f"kept {c}" for r in out.collect() for c in CLASHING)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert out.where("text is null").count() == 1
 
@@ -224,6 +272,34 @@ def test_warc_urls_with_blanks(spark, monkeypatch):
     assert [(r.id, r.url) for r in warc.range_read(archives, one).collect()] == [(2, "http://x/a (1)")]
 
 
+def test_warc_reads_only_ranges(spark):
+    class Counted:
+        def __init__(self, raw):
+            self.raw, self.at, self.read_bytes, self.reads = raw, 0, 0, 0
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            self.read_bytes, self.reads = self.read_bytes + n, self.reads + 1
+            return self.raw[self.at : self.at + n]
+
+    raw = bytes(range(256)) * 4000
+    far = Counted(raw)
+    assert list(warc.read_ranges(far, [(10, 5), (500_000, 7), (900_000, 3)])) == [raw[10:15], raw[500_000:500_007], raw[900_000:900_003]]
+    assert (far.read_bytes, far.reads) == (15, 3)
+    near = Counted(raw)
+    assert list(warc.read_ranges(near, [(0, 100), (100, 50), (200, 50)])) == [raw[:100], raw[100:150], raw[200:250]] and near.reads == 1
+    pages = spark.createDataFrame([(i, f"http://x{i % 50}.org/{i}", f"<p>{i} {'é' * (i % 90)}</p>") for i in range(3000)], "page_id long, url string, html string").repartition(3)
+    archives = warc.write_archives(pages)
+    index = warc.build_index(archives, block_lines=20)
+    assert index.count() >= 150 and set(index.columns) == {"part", "block", "first", "lines", "file", "offset", "length"}
+    places = warc.lookup(index, pages.where("page_id = 77").select("url", F.col("page_id").alias("id")))
+    held = archives.agg(F.sum("length")).first()[0]
+    assert places.agg(F.sum("length")).first()[0] * 1000 < held
+    assert [(r.id, r.url) for r in warc.range_read(archives, places).collect()] == [(77, "http://x27.org/77")]
+
+
 def test_chat_parts(spark):
     part = "array<struct<type:string,text:string,ref:string,tokens:int>>"
     rows = [
@@ -232,7 +308,8 @@ def test_chat_parts(spark):
     ]
     out = {r.conv_id: r for r in chat.read_formatted(chat.format_messages(spark.createDataFrame(rows, f"conv_id string, turn long, role string, parts {part}"))).collect()}
     c = out["c"]
-    assert [(t.role, t.text) for t in c.turns] == [("user", "look <|im_end|> at <\\|x<|image_pad|><|document_pad|> ok"), ("assistant", "again"), ("assistant", "fine <| <\\| <\\\\| done")] or c.turns[0].text.startswith("look <|im_end|> at <\\|x")
+    assert c.turns[0].text.startswith("look <|im_end|> at <\\|x") and c.turns[0].text.endswith(" ok")
+    assert [(t.role, t.text) for t in c.turns[1:]] == [("assistant", "again"), ("assistant", "fine <| <\\| <\\\\| done")]
     assert c.masked == ["", "again", "fine <| <\\| <\\\\| done"]
     assert [(a.position, a.type, a.ref, a.tokens) for a in c.attachments] == [(1, "image", "img1", 576), (2, "document", "d1", 1)]
     assert c.expanded_tokens == 4 + 576 + 1 + 1 + 1 + 5
@@ -290,6 +367,26 @@ def test_elias_fano():
         if n:
             at = rng.integers(0, n, 50)
             assert (ef.get(at) == values[at]).all()
+        asked = np.concatenate([values[:200], values[:200] + np.uint64(1), rng.integers(0, top, 300).astype(np.uint64), np.array([0, top - 1], np.uint64)])
+        first = {v: i for i, v in reversed(list(enumerate(values.tolist())))}
+        assert ef.find(asked).tolist() == [first.get(v, -1) for v in asked.tolist()]
+
+
+def test_trie_levels_are_compact():
+    rng = np.random.default_rng(2)
+    owner, successors = np.sort(rng.integers(0, 4000, 50_000)), rng.integers(0, 1 << lm.SUCCESSOR_BITS, 50_000)
+    order = np.lexsort((successors, owner))
+    owner, successors, counts = owner[order], successors[order], rng.integers(1, 9, 50_000)
+    contexts = np.sort(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
+    raw = lm.build_trie(contexts, np.arange(4000), owner, successors, counts)
+    trie = lm.Trie(raw)
+    assert len(raw) < 8 * 50_000  # plain arrays take 8 + 1 bytes a pair, and 40 a context
+    assert (trie.context(contexts) == np.arange(4000)).all() and (trie.context(contexts + np.uint64(1)) == -1).mean() > 0.99
+    assert (trie.counts(np.array([0, 7, 3999, -1])) == [0, 7, 3999, 0]).all() and (trie.fanout(np.arange(4000)) == np.bincount(owner, minlength=4000)).all()
+    totals = np.bincount(owner, weights=counts, minlength=4000)
+    assert (trie.totals(np.arange(4000)) == totals).all()
+    assert (trie.code(owner, successors) == lm.quantise(np.maximum(counts - lm.DISCOUNT, 1e-9) / totals[owner])).all()
+    assert not trie.code(np.array([-1, 5]), np.array([int(successors[0]), 0])).any()
 
 
 def test_toxicity(spark):
@@ -312,14 +409,96 @@ def test_toxicity(spark):
     assert {round(r.score, 6) for r in toxicity.score(docs, empty).collect()} == {0.0001}
 
 
+def test_counterfactuals_act_through_training(spark):
+    """Terms that toxic texts happen to use more: by swaps among their kind, listed or learned, their weights go."""
+    rng = random.Random(8)
+    calm, group = ["table", "river", "music", "garden", "walk", "letter", "window"], ["muslims", "jews", "zorbs", "quills", "vexes", "plins", "thracks", "glomps"]
+    rows = []
+    for i in range(900):
+        bad = i % 4 == 0
+        said = rng.choices(group, weights=[9, 1, 9, 1, 9, 1, 1, 1] if bad else [3, 3, 3, 3, 3, 3, 3, 3], k=1)
+        rows.append((i, " ".join(rng.choices(calm, k=12) + said + ([rng.choice(["vilify", "loathe"])] if bad and i % 8 else [])), int(bad)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    free, held = (toxicity.train(docs, labels, pairing=p) for p in (0.0, 5.0))
+    assert any({"zorbs", "vexes"} & set(kind) for kind in held.kinds[len(toxicity.IDENTITIES):])
+    logit = lambda m, t: m.intercept + sum(m.weights.get(f, 0) for f in {toxicity.hashed(x) for w in t.split() for x in toxicity.word_features(w)})
+    texts = [t for _, t, _ in rows[:200]]
+    change = {name: float(np.mean([abs(logit(m, x) - logit(m, t)) for t in texts for x in toxicity.swapped(t, held.kinds)])) for name, m in (("free", free), ("held", held))}
+    assert change["free"] > 0.2 and change["held"] < change["free"] / 4, change
+    assert logit(held, "walk vilify table") > logit(held, "walk muslims table") + 1
+
+
 def test_counterfactual_pairs_hold_back_identity_terms():
     rows = [(1, [0, 1]), (1, [0]), (0, []), (0, [2]), (1, [1, 0])] * 40
     pairs = [[2, -3]] * 50  # feature 1 gained, feature 2 lost
     free, held = toxicity.fit_rows(rows, [], 3)[1], toxicity.fit_rows(rows, pairs, 3, pairing=5.0)[1]
     assert abs(held[1] - held[2]) < abs(free[1] - free[2]) + 1e-9 and held[0] > 1
+    both = [toxicity.fit_rows([*rows, (1, [1]), (1, [1]), (0, [])] * 2, p, 3, pairing=5.0, signed=frozenset({1, 2}))[1] for p in ([], pairs)]
+    assert abs(both[1][1] - both[1][2]) < 0.5 * abs(both[0][1] - both[0][2])
     assert any("christians" in x for x in toxicity.swapped("Some Muslims here"))
 
 
+def test_pipeline_stages_by_brute_force(spark, odd, tmp_path):
+    """Which rows each stage keeps, and what it leaves of them, with columns of clashing names."""
+    import corpus_pipeline as cp
+
+    rows = odd.collect()
+    rng = random.Random(4)
+    calm = ["".join(rng.choices("klmnop", k=5)) for _ in range(30)]
+    labelled = [(100 + i, " ".join(rng.choices(calm, k=25)) + (" vilify" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    extra = spark.createDataFrame([(i, t) for i, t, _ in labelled], "doc_id long, text string")
+    docs = odd.unionByName(extra, allowMissingColumns=True).withColumn("n_chars", F.length("text").cast("long"))
+    spark.createDataFrame([(i, y) for i, _, y in labelled], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    items = spark.createDataFrame([(1, rows[8].text), (2, "ONE two"), (3, None), (4, " ".join(rows[9].text.split()[40:60]))], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    told = lambda found: sorted(repr(r) for r in found)
+
+    kept = cp.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    vilified = {i for i, t, _ in labelled if "vilify" in t}
+    assert told(kept.collect()) == told(r for r in docs.collect() if r.doc_id not in vilified)
+
+    kept = cp.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
+    all_rows = docs.collect()
+    component = collections.defaultdict(list)
+    found = jaccard.join_components(docs, n=5, percent=80).where("group is not null").collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == [x for x in brute_components(all_rows, 5, 80) if x[1]]
+    for r in found:
+        component[r.group].append(r.doc_id)
+    assert sorted(str(r.doc_id) for r in kept if words_of(r.text)) == sorted(str(min((x for x in ids if x is not None), default=None)) for ids in component.values())
+    assert told(r for r in kept if not words_of(r.text)) == told(r for r in all_rows if not words_of(r.text))
+    assert set(told(kept)) <= set(told(all_rows))
+
+    kept = cp.cut_repeats(spark, docs, str(tmp_path)).collect()
+    raw = [(t or "").encode() for t in (r.text for r in all_rows)]
+    seen = collections.Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    want = []
+    for r, b in zip(all_rows, raw):
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        left = bytes(x for x, g in zip(b, gone) if not g).decode(errors="ignore") if r.text is not None else None
+        want.append(r.asDict() | {"text": left, "n_chars": None if left is None else len(left)})
+    assert sorted(repr(r.asDict()) for r in kept) == sorted(map(repr, want))
+
+    kept = cp.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    judged = brute_contamination([r for r in all_rows], items.collect())
+    bad = {t for t in {r.text for r in all_rows} if t is not None and brute_contamination([next(r for r in all_rows if r.text == t)], items.collect())[0][4]}
+    assert sum(j[4] for j in judged) == sum(r.text in bad for r in all_rows) > 0
+    assert told(kept) == told(r for r in all_rows if r.text not in bad)
+
+    import pyarrow as pa
+
+    packed = cp.pack(spark, docs, str(tmp_path)).collect()
+    _, bounds = packing.TextEncoder(cp.tokenizer("word_bpe_49k.json")).encode(pa.array([r.text for r in all_rows]), 1)
+    assert sum(r.length for r in packed) == int(bounds[-1])
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in packed if r.start == 0) == sorted((str(r.doc_id), n) for r, n in zip(all_rows, np.diff(bounds).tolist()))
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as cp
 
