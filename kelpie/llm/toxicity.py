@@ -199,7 +199,7 @@ def fit_rows(
         curve += np.bincount(p_col, weights=(weight * width)[p_row], minlength=n_features)
     step = 1 / np.maximum(curve, 1e-9)
     step_b = 1 / (0.25 / n * max(1.0, float((size + 1).sum())))
-    for _ in range(steps):
+    for k in range(steps):
         z = np.bincount(doc, weights=vw[col], minlength=len(rows)) + vb
         g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / n
         gw = np.bincount(col, weights=g[doc], minlength=n_features)
@@ -210,18 +210,22 @@ def fit_rows(
         nw, nb = np.maximum(np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0), low), max(vb - step_b * g.sum(), floor)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
+        moved = max(float(np.abs(nw - w).max(initial=0.0)), abs(nb - b))
         w, b, t = nw, nb, nt
+        if k > 100 and moved < 1e-4:  # at rest
+            break
     return float(b), w
 
 
 def train(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", where: Column | None = None, max_rows: int = 20_000, max_features: int = 4_000,
-    min_texts: int = 3, learned: int = 400, pairing: float = 1.0) -> Model:
+    min_texts: int = 3, learned: int = 160, pairing: float = 1.0) -> Model:
     """Learn from documents with a label for which ``where`` (over the key) holds, at most ``max_rows`` of them."""
     given = labels.select(key, F.col(toxic).cast("int").alias("toxic")).where(f"toxic is not null and {key} is not null")
     given = given.where(where) if where is not None else given
     given = given.groupBy(key).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64(key), key).limit(max_rows)
     sample = docs.select(key, F.col(text).alias("text")).join(F.broadcast(given), key).repartition(12, key).select("text", "toxic")
+    sample = staged(sample, "sample")  # of max_rows rows; read by three passes
     counts = staged(_count_features(sample, "text", "toxic"), "features")
     gain = F.col("pos") * F.log(F.col("pos") / (F.col("neg") + 0.5))
     # few of the texts of either class hold a feature that one class has by chance
@@ -241,7 +245,7 @@ def train(
     rows = staged(_rows(sample, "text", "toxic", chosen, kinds), "rows")
     pairs = rows.select(F.explode("pairs").alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect()  # a kind's few swaps, apart from prefixes shared
     b, w = fit_rows([(r["toxic"], r["features"]) for r in rows.select("toxic", "features").collect()], [r["p"] for r in pairs], len(chosen), pairing=pairing, times=[r["n"] for r in pairs], signed=signed)
-    discard(counts, rows)
+    discard(sample, counts, rows)
     return Model(b, {f: float(w[i]) for f, i in chosen.items() if abs(w[i]) > 1e-3}, kinds)
 
 
