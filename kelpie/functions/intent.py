@@ -26,18 +26,63 @@ BOTH = (
 )
 FILE_NAME = r"\b[\w_\-]+\.(?:py|js|ts|go|java|rb|rs|cpp|c|cs|sh|yaml|yml|toml|json|md)\b"
 KEY = r"\b[A-Z]{2,9}-\d+\b"
-#: Phrase -> canonical status, longest phrase first when matched.
+#: Words of a merge or issue state, as parts of words.
+CLOSED = ["closed", "merged", "done", "resolved", "fixed", "completed"]
+EVERY = ["all", "every", "both"]
+#: Phrase -> status; phrases of STATUS_PHRASES count as parts of the text and come first, then words, in this order.
 STATUSES = {
-    "in progress": "In Progress", "en cours": "In Progress", "wip": "In Progress", "to do": "To Do", "todo": "To Do", "à faire": "To Do", "a faire": "To Do", "done": "Done", "closed": "Done",
-    "resolved": "Done", "terminé": "Done", "termine": "Done", "fermé": "Done", "ferme": "Done", "open": "To Do", "ouvert": "To Do", "backlog": "To Do", "blocked": "In Progress", "in review": "In Progress",
+    "closed": "Done", "close": "Done", "done": "Done", "resolved": "Done", "fixed": "Done", "completed": "Done", "finished": "Done", "finish": "Done",
+    "open": "Open", "opened": "Open", "new": "Open", "created": "Open",
+    "in progress": "In Progress", "in-progress": "In Progress", "ongoing": "In Progress", "wip": "In Progress", "started": "In Progress",
+    "in review": "In Review", "review": "In Review", "reviewing": "In Review", "testing": "Testing", "qa": "Testing", "blocked": "Blocked", "block": "Blocked",
+    "todo": "To Do", "to do": "To Do", "backlog": "Backlog", "pending": "To Do", "archived": "Closed",
+    "à faire": "To Do", "a faire": "To Do", "non résolu": "To Do", "non resolu": "To Do", "en cours": "In Progress", "en-cours": "In Progress", "en cours de": "In Progress",
+    "terminé": "Done", "termine": "Done", "terminée": "Done", "terminee": "Done", "résolu": "Done", "resolu": "Done", "fermé": "Done", "ferme": "Done",
+    "bloqué": "Blocked", "bloque": "Blocked", "en attente": "To Do", "en révision": "In Review", "en revision": "In Review", "en test": "Testing", "en recette": "Testing",
+}
+STATUS_PHRASES = [
+    "in progress", "in-progress", "in review", "to do", "en cours de", "en cours", "en-cours", "à faire", "a faire", "non résolu", "non resolu", "en attente", "en révision", "en revision", "en test", "en recette",
+]
+#: Status -> category, the same in every language of the tracker.
+STATUS_CATEGORIES = {
+    "Done": "Done", "Open": "To Do", "To Do": "To Do", "Backlog": "To Do", "In Progress": "In Progress", "In Review": "In Progress", "Testing": "In Progress", "Blocked": "In Progress", "Closed": "Done",
 }
 PRIORITIES = {
-    "highest": "Highest", "critical": "Highest", "critique": "Highest", "blocker": "Highest", "urgent": "Highest", "high": "High", "haute": "High", "élevée": "High", "elevee": "High",
-    "medium": "Medium", "moyenne": "Medium", "low": "Low", "basse": "Low", "faible": "Low", "lowest": "Lowest",
+    "urgent": "Highest", "critical": "Highest", "blocker": "Highest", "blocking": "Highest", "highest": "Highest", "high priority": "High", "high": "High", "medium": "Medium", "normal": "Medium",
+    "low priority": "Low", "low": "Low", "minor": "Low", "lowest": "Lowest", "trivial": "Lowest",
+}
+PRIORITY_PHRASES = ["high priority", "low priority"]
+REPORTER_WORDS = (
+    r"author(?:ed)?|reporter?|reported\s+by|created\s+by|opened\s+by|filed\s+by|submitted\s+by|raised\s+by|logged\s+by|is\s+the\s+author|auteur|rapporteur|signal[eé]\s+par|cr[eé][eé]\s+par"
+)
+REPORTER_NAMES = [
+    r"\b(?:reported|author(?:ed)?|filed|created|opened|raised|submitted|logged)\s+by\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})",
+    r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\s+is\s+the\s+(?:author|reporter)",
+    r"\bwhere\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\s+is\b",
+]
+MONTHS = {
+    "january": "01", "february": "02", "march": "03", "april": "04", "may": "05", "june": "06", "july": "07", "august": "08", "september": "09", "october": "10", "november": "11", "december": "12",
+    "jan": "01", "feb": "02", "mar": "03", "apr": "04", "jun": "06", "jul": "07", "aug": "08", "sep": "09", "oct": "10", "nov": "11", "dec": "12",
 }
-STATES = {"opened": "opened", "open": "opened", "ouvert": "opened", "ouverts": "opened", "closed": "closed", "fermé": "closed", "ferme": "closed", "merged": "merged", "fusionné": "merged", "all": "all"}
-MONTHS = "january february march april may june july august september october november december".split()
-FILLERS = "show list get give find search me the a an all for of in on with about please can you tell what is are any do we have there open closed recent latest".split()
+AFTER = r"after|since|from|starting|created\s+after|added\s+after"
+BEFORE = r"before|until|up\s+to|prior\s+to|created\s+before"
+NEWEST = r"most\s+recent|latest|newest|recently\s+created|last\s+created|most\s+recently\s+created"
+#: Words dropped from page searches: commands first; where too little is left, fillers.
+COMMANDS = (
+    "confluence|search|find|show|list|get|me|our|the|a|an|page|pages|doc|docs|documentation|wiki|knowledge|base|in|on|about|for|what|is|are|how|do|we|have|please|can|you|tell|give|recent|latest|"
+    "updated|new|modified|content|space|spaces"
+)
+FILLERS = (
+    "find|show|get|list|give|tell|me|us|the|a|an|in|of|for|about|related|to|confluence|page|pages|document|documents|documentation|wiki|space|summary|summarize|summarise|explain|describe|what|is|"
+    "are|any|some|all|and|with|that|from|its|their"
+)
+COUNTING = (
+    r"how many|how much|count|counting|total|totals|total number|number of|tally|give me (?:a |the )?count|what.?s the (?:total|count|number)|tell me how many|show me how many|quantit(?:y|ies)"
+)
+DETAILS = (
+    r"explain|describe|detail|details|what are they|show (?:me )?(?:them|each|all)|list (?:them|each|all)|and who|by whom|who made|who created|who assigned|what (?:is|are|were|was) (?:each|they|it)|"
+    r"impact|affect|cause|why|reason|are any|is any|which (?:one|ones|are)|tell me (?:about|more)|give me (?:more|details)|summarize|summary"
+)
 
 # ---------------------------------------------------------------------------------------------------------------
 
@@ -61,52 +106,76 @@ def route_of(c: Column) -> Column:
         .when((live > 0) & (_count(c, BOTH) > 0), "both").when((docs > 0) & (live > docs + 1), "sentries").when((live > 0) & (docs > live + 1), "rag").otherwise("both"))
 
 
-def canonical(c: Column, table: dict[str, str]) -> Column:
-    """The value of the longest phrase of the table that the text holds as words; null if none."""
-    out = F.lit(None).cast("string")
-    for phrase in sorted(table, key=lambda p: (len(p), p)):
-        out = F.when(F.lower(text_or_empty(c)).rlike(rf"(?U)\b{phrase}\b"), F.lit(table[phrase])).otherwise(out)
+def says(c: Column, words: str) -> Column:
+    """Whether the text has one of the alternatives as words, in any letter case."""
+    return text_or_empty(c).rlike(rf"(?iU)\b(?:{words})\b")
+
+
+def canonical(c: Column, table: dict[str, str], phrases: list[str] | tuple = ()) -> Column:
+    """The value of the first of the phrases that the text contains, else of the first entry of the table that it
+    has as words; null if none."""
+    low, out = F.lower(text_or_empty(c)), F.lit(None).cast("string")
+    for word in reversed(table):
+        out = F.when(low.rlike(rf"(?U)\b{word}\b"), table[word]).otherwise(out)
+    for phrase in reversed(phrases):
+        out = F.when(F.contains(low, F.lit(phrase)), table[phrase]).otherwise(out)
     return out
 
 
+def status_of(c: Column) -> Column:
+    return canonical(c, STATUSES, STATUS_PHRASES)
+
+
+def priority_of(c: Column) -> Column:
+    return canonical(c, PRIORITIES, PRIORITY_PHRASES)
+
+
+def category_of(status: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in STATUS_CATEGORIES.items() for x in kv]), status)
+
+
+def state_of(c: Column) -> Column:
+    """closed, all or opened, by parts of words."""
+    low = F.lower(text_or_empty(c))
+    holds = lambda parts: low.rlike("|".join(parts))
+    return F.when(holds(CLOSED), "closed").when(holds(EVERY), "all").otherwise("opened")
+
+
 def reporter_name(c: Column) -> Column:
-    """The person after 'reported by', 'created by', 'opened by', 'reporter (is|=|:)' or 'from'."""
-    name = r"([A-Z][\w.\-]+(?:\s+[A-Z][\w.\-]+)?)"
-    tries = [rf"(?:reported|created|opened|raised|filed)\s+by\s+{name}", rf"(?:reporter|author)\s*(?:is|=|:)?\s*{name}", rf"\bby\s+{name}"]
-    return F.coalesce(*[F.nullif(F.regexp_extract(text_or_empty(c), t, 1), F.lit("")) for t in tries])
+    """The person in 'reported by X', 'X Y is the author' or 'where X Y is'; null if none."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text_or_empty(c), t, 1), F.lit("")) for t in REPORTER_NAMES])
 
 
 def iso_date(c: Column) -> Column:
-    """An ISO date in the text, else 'Month D, YYYY' or 'D Month YYYY' in prose; null if none."""
+    """The first ISO date in the text, else the first 'Month D, YYYY' in prose; null if none."""
     text = text_or_empty(c)
-    iso = F.nullif(F.regexp_extract(text, r"\b(\d{4}-\d{2}-\d{2})\b", 1), F.lit(""))
-    names = "|".join(MONTHS)
-    number = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)])
-
-    def prose(pattern: str, month: int, day: int, year: int) -> Column:
-        part = lambda g: F.regexp_extract(text, rf"(?i)\b{pattern}\b", g)
-        made = F.format_string("%04d-%02d-%02d", part(year).try_cast("int"), F.element_at(number, F.lower(part(month))), part(day).try_cast("int"))
-        return F.when(part(0) != "", made)
-
-    return F.coalesce(iso, prose(rf"({names})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})", 1, 2, 3), prose(rf"(\d{{1,2}})\s+({names})\s+(\d{{4}})", 2, 1, 3))
+    iso = F.nullif(F.regexp_extract(text, r"(?U)\b(\d{4}-\d{2}-\d{2})\b", 1), F.lit(""))
+    part = lambda g: F.regexp_extract(text, rf"(?iU)\b({'|'.join(MONTHS)})\s+(\d{{1,2}}),?\s+(\d{{4}})\b", g)
+    number = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
+    prose = F.when(part(0) != "", F.concat_ws("-", part(3), F.element_at(number, F.lower(part(1))), F.lpad(part(2), 2, "0")))
+    return F.coalesce(iso, prose)
 
 
 def date_bounds(c: Column) -> Column:
-    """struct(after, before): dates after 'since/after/from/depuis/après' and 'before/until/avant'."""
-    near = lambda words: iso_date(F.regexp_extract(text_or_empty(c), rf"(?i)\b(?:{words})\s+(.{{0,24}})", 1))
-    return F.struct(near("since|after|from|depuis|après|apres").alias("after"), near("before|until|avant").alias("before"))
+    """struct(after, before): the date of the text as the one or the other, by its first fitting kind of word."""
+    day, nothing = iso_date(c), F.lit(None).cast("string")
+    later, sooner = says(c, AFTER), says(c, BEFORE)
+    return F.struct(F.when(later, day).alias("after"), F.when(~later & sooner, day).otherwise(nothing).alias("before"))
 
 
 def search_terms(c: Column, most: int = 60) -> Column:
-    """The question without filler words and end marks, at most 60 characters."""
-    words = F.filter(F.split(F.regexp_replace(text_or_empty(c), r"[?!.,;:]+", " "), r"\s+"), lambda w: (w != "") & ~F.lower(w).isin(FILLERS))
-    return strip(F.left(F.array_join(words, " "), F.lit(most)))
+    """What a page search asks for: the lower-cased text without commands; where that has under three characters,
+    the text without fillers, cut; where that has too, the text."""
+    text = text_or_empty(c)
+    without = lambda x, words: strip(F.regexp_replace(F.regexp_replace(x, rf"(?iU)\b(?:{words})\b", " "), r"\s+", " "))
+    first, second = without(F.lower(text), COMMANDS), without(text, FILLERS)
+    second = F.left(F.when(second != "", second).otherwise(text), F.lit(most))
+    return F.when(F.length(first) >= 3, first).when(F.length(second) >= 3, second).otherwise(text)
 
 
 def only_counts(c: Column) -> Column:
-    """Asks for a number and for nothing to be listed."""
-    text = text_or_empty(c)
-    return text.rlike(r"(?i)\b(how\s+many|count|number\s+of|total|combien|nombre\s+de)\b") & ~text.rlike(r"(?i)\b(list|show|detail|which|describe|liste|montre|affiche)\b")
+    """Asks for a number, without details, reasons or a list."""
+    return says(c, COUNTING) & ~says(c, DETAILS)
 
 
 def without_keys(c: Column) -> Column:

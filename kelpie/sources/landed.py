@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.functions.text import is_code_file, printable
+from kelpie.functions.text import extension_of, is_code_file, printable
 
 COMMENTS = "comments array<struct<author:string,body:string,created_at:string,system:boolean>>"
 _GITLAB = f"source string, type string, group_name string, project_id long, project_name string, title string, description string, state string, author string, created_at string, updated_at string, labels array<string>, web_url string, {COMMENTS}, ingested_at timestamp"
@@ -45,13 +45,13 @@ def distinct_projects(rows: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce(F.col("archived"), F.lit(False))).dropDuplicates(["id"])
 
 
-def code_files(tree: DataFrame, most_bytes: int = 150_000) -> DataFrame:
+def code_files(tree: DataFrame, most_bytes: int = 150 * 1024) -> DataFrame:
     """Blobs that are code by path, of at most 150 KB and printable: content decoded, sizes in UTF-8 bytes."""
     raw = F.unbase64(F.regexp_replace("content_base64", r"\s", ""))
     rows = tree.where((F.col("type") == "blob") & is_code_file(F.col("path"))).withColumn("_raw", raw).where(F.octet_length("_raw") <= most_bytes)
     rows = rows.withColumn("content", F.try_validate_utf8(F.col("_raw").cast("string"))).where(F.col("content").isNotNull() & printable(F.col("content")))
     name = F.element_at(F.split("path", "/"), -1)
-    return rows.select("project_id", "project_name", "group_name", F.col("path").alias("file_path"), name.alias("file_name"), F.regexp_extract(name, r"(\.[^.]+)$", 1).alias("extension"), "ref", "content", F.octet_length("content").alias("size_bytes"), "web_url")
+    return rows.select("project_id", "project_name", "group_name", F.col("path").alias("file_path"), name.alias("file_name"), extension_of(name).alias("extension"), "ref", "content", F.octet_length("content").alias("size_bytes"), "web_url")
 
 
 def flat_tickets(rows: DataFrame) -> DataFrame:
@@ -59,6 +59,29 @@ def flat_tickets(rows: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce(F.col("archived"), F.lit(False))).withColumn("epic_link", F.coalesce("epic_link", "epic_parent")).drop("epic_parent")
 
 
+def linked_tickets(raw: DataFrame) -> DataFrame:
+    """issue_links and subtasks from the tracker's own form: links(type struct<name,inward,outward>, inwardIssue,
+    outwardIssue struct<key,summary,status>) -> struct(type, target, target_summary, target_status, direction), the inward
+    issue where a link has both; subtasks: null is empty."""
+    def one(link, side: str, phrase: str):
+        issue = link[f"{side}Issue"]
+        made = F.struct(F.coalesce(link["type"][phrase], F.lit("relates to")).alias("type"), issue["key"].alias("target"), issue["summary"].alias("target_summary"), issue["status"].alias("target_status"), F.lit(side).alias("direction"))
+        return F.when(issue["key"].isNotNull(), made)
+
+    links = F.transform(F.coalesce("links", F.array()), lambda x: F.coalesce(one(x, "inward", "inward"), one(x, "outward", "outward")))
+    tasks = F.filter("subtasks", lambda t: t.isNotNull())
+    return raw.withColumn("issue_links", F.filter(links, lambda x: x.isNotNull())).withColumn("subtasks", tasks).drop("links")
+
+
+def chunks_from(spark: SparkSession, source: str, path: str) -> DataFrame:
+    """Chunks of either store: 'jsonl' lines, the malformed left out, or 'table' (Parquet)."""
+    if source == "jsonl":
+        return good(read(spark, "chunks", path))
+    if source == "table":
+        return spark.read.parquet(path)
+    raise ValueError(f"no store {source}")
+
+
 def with_breadcrumb(rows: DataFrame) -> DataFrame:
     return rows.withColumn("breadcrumb", F.array_join(F.transform(F.coalesce("ancestors", F.array()), lambda a: a["title"]), " > "))
 
