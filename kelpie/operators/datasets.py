@@ -11,7 +11,11 @@ from kelpie.sources.sinks import upsert
 #: Gates of a release.
 MIN_FAITH, MIN_LIVE_FAITH, MIN_GAIN = 0.80, 0.75, 0.005
 #: Words that token F1 passes over.
-F1_STOP = "a an the is are was were be been to of in on at for and or it this that with as by from".split()
+F1_STOP = [
+    "the", "a", "an", "is", "are", "was", "were", "it", "its", "this", "that", "to", "of", "in", "for", "on", "and", "or", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+]
+#: Fixed value: ticket keys that an answer cites.
+CITED_KEY = r"(?<![A-Z])(?<![a-z])(?<!-)\b([A-Z]{2,5}-\d{1,6})\b"
 
 
 def positives(scored: DataFrame, at_least: float = 0.80, limit: int | None = None) -> DataFrame:
@@ -30,10 +34,11 @@ def preference_candidates(scored: DataFrame, limit: int | None = None) -> DataFr
 
 
 def rollouts(scored: DataFrame, limit: int | None = None) -> DataFrame:
-    """Live turns with a reward hint and their ten best sources."""
-    hint = F.coalesce("weighted_score", F.when(F.col("training_signal") == "qlora_positive", 1.0).when(F.col("training_signal") == "dpo_rejected", 0.0).otherwise(0.5))
-    rows = scored.where(F.col("intent").isin("sentries", "both")).withColumn("reward_hint", hint).withColumn("sources", F.slice("sources", 1, 10)).orderBy(F.desc("reward_hint"), "turn_id")
-    return rows.limit(limit) if limit else rows
+    """Live turns, newest first, with their first ten sources and a reward hint: the faithfulness (0.5 if missing) where
+    the checks scored, else the weighted score; null means that it is left to training."""
+    hint = F.when(F.col("scoring_method") == "validator", F.coalesce("faithfulness", F.lit(0.5))).otherwise(F.col("weighted_score"))
+    rows = scored.where(F.col("intent").isin("sentries", "both") & F.col("answer").isNotNull()).withColumn("reward_hint", hint).withColumn("sources", F.slice("sources", 1, 10))
+    return rows.orderBy(F.desc("timestamp"), "turn_id").limit(limit) if limit else rows
 
 
 def seeds(turns: DataFrame, under_s: float = 10.0, limit: int = 30) -> DataFrame:
@@ -58,13 +63,25 @@ def tokens(c: Column) -> Column:
 
 
 def token_f1(a: Column, b: Column) -> Column:
-    """F1 of the overlap of two bags of words, to four digits; 0 if either is empty. No join: the counts of each
-    word are compared inside the row."""
+    """F1 of the overlap of two bags of words, to four digits; 0 if either is empty. No join and no pairs of words: each
+    word is numbered by its occurrence (in the sorted bag), so that the overlap of the bags is one of sets."""
     x, y = tokens(a), tokens(b)
-    count = lambda bag, w: F.size(F.filter(bag, lambda v: v == w))
-    both = F.aggregate(F.array_intersect(x, y), F.lit(0), lambda n, w: n + F.least(count(x, w), count(y, w)))
-    p, r = both / F.size(x), both / F.size(y)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0) | (both == 0), 0.0).otherwise(half_even(2 * p * r / (p + r)))
+    both = F.size(F.array_intersect(_numbered(x), _numbered(y)))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0) | (both == 0), 0.0).otherwise(half_even(2 * both / (F.size(x) + F.size(y))))
+
+
+def _numbered(bag: Column) -> Column:
+    """Each word with a number that grows from 0 among its equals: its place less that of the first of them."""
+    ordered = F.array_sort(bag)
+    start = F.struct(F.lit("").alias("word"), F.lit(-1).alias("n"))
+    steps = F.aggregate(
+        ordered, F.struct(start.alias("last"), F.array().cast("array<struct<word:string,n:int>>").alias("all")),
+        lambda acc, w: F.struct(_next(acc["last"], w).alias("last"), F.array_append(acc["all"], _next(acc["last"], w)).alias("all")))
+    return steps["all"]
+
+
+def _next(last: Column, word: Column) -> Column:
+    return F.struct(word.alias("word"), F.when(last["word"] == word, last["n"] + 1).otherwise(0).alias("n"))
 
 
 def benchmark_averages(scored: DataFrame, metrics: list[str]) -> DataFrame:
@@ -78,14 +95,15 @@ def baseline(versions: DataFrame) -> DataFrame:
     return versions.where("status = 'deployed'").agg(F.max_by(F.struct("version", "score", "faithfulness"), F.struct("deployed_at", "version")).alias("b")).select("b.*")
 
 
-def gates(averages: DataFrame, base: DataFrame) -> DataFrame:
-    """One row: whether a release may go, and why not, by the gates in order."""
+def gates(averages: DataFrame, base: DataFrame, allow_equal: bool = False) -> DataFrame:
+    """One row: whether a release may go, and why not, by the gates in order. The gain must reach the least gain, or 0
+    if equal scores are allowed."""
     one = lambda intent, name: averages.where(F.col("intent") == intent).agg(F.max("faithfulness").alias(f"{name}_faith"), F.max("score").alias(f"{name}_score"))
     row = one("overall", "all").crossJoin(F.broadcast(one("sentries", "live"))).crossJoin(F.broadcast(base.agg(F.max("score").alias("base_score"))))  # each is one row
     gain = F.col("all_score") - F.col("base_score")
     reason = (
         F.when(F.coalesce("all_faith", F.lit(0.0)) < MIN_FAITH, "faithfulness").when(F.col("live_faith").isNotNull() & (F.col("live_faith") < MIN_LIVE_FAITH), "live_faithfulness")
-        .when(F.col("base_score").isNotNull() & (F.round(gain, 6) < MIN_GAIN), "no_gain"))
+        .when(F.col("base_score").isNotNull() & (F.round(gain, 6) < (0.0 if allow_equal else MIN_GAIN)), "no_gain"))
     return row.withColumn("gain", F.round(gain, 4)).withColumn("reason", reason).withColumn("deploy", reason.isNull())
 
 
@@ -93,10 +111,31 @@ def register(versions: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(versions, new, ["version"], F.col("registered_at"))
 
 
-def exclusion_reasons(scored: DataFrame) -> DataFrame:
-    """Adds reasons: why a turn may not be used for training."""
-    rules = [("short_answer", F.length(text_or_empty(F.col("answer"))) < 80), ("low_score", F.coalesce("weighted_score", F.lit(0.0)) < 0.80), ("tagged", F.size(F.coalesce("failure_tags", F.array())) > 0), ("error", text_or_empty(F.col("error")) != "")]
-    return scored.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules])))
+def mark_deployed(versions: DataFrame, version: str, at: Column) -> DataFrame:
+    """The registry with the version, if it is there, as deployed."""
+    mine = F.col("version") == version
+    return versions.withColumn("status", F.when(mine, "deployed").otherwise(F.col("status"))).withColumn("deployed_at", F.when(mine, at).otherwise(F.col("deployed_at")))
+
+
+def list_versions(versions: DataFrame) -> DataFrame:
+    """Newest benchmark first."""
+    return versions.orderBy(F.desc_nulls_last("registered_at"), "version")
+
+
+def exclusion_reasons(scored: DataFrame, least: int = 120) -> DataFrame:
+    """Adds reasons: why a GOLD turn may not be used for training. Live turns whose live summary was not kept (null; an
+    empty one was kept); turns scored without context, but for knowledge turns with stored or retrieved snippets; short
+    answers, with their length; long live answers from tickets that cite no key."""
+    answer, live = text_or_empty(F.col("answer")), F.coalesce(F.col("intent").isin("sentries", "both"), F.lit(False))
+    method, source = text_or_empty(F.col("scoring_method")), text_or_empty(F.col("scoring_context_source"))
+    empty = F.contains(method, F.lit("no_context")) | (source == "empty")
+    exempt = (text_or_empty(F.col("intent")) == "rag") & source.isin("stored_snippets", "neo4j_tier2_fallback")
+    tickets = F.exists(F.coalesce("sources", F.array()), lambda s: F.coalesce(s["source"] == "jira", F.lit(False)))
+    rules = [
+        (live & F.col("summary").isNull(), F.lit("no_live_sentries")), (empty & ~exempt, F.lit("no_real_context")),
+        (F.length(answer) < least, F.concat(F.lit("short_answer("), F.length(answer).cast("string"), F.lit("c)"))),
+        (live & tickets & ~F.upper(answer).rlike(CITED_KEY) & (F.length(answer) > 80), F.lit("no_keys_cited_despite_jira_sources"))]
+    return scored.withColumn("reasons", F.array_compact(F.array(*[F.when(c, n) for c, n in rules])))
 
 
 def first_of_query(rows: DataFrame, order: list[Column], query: str = "query") -> DataFrame:
@@ -124,15 +163,52 @@ def split(rows: DataFrame, id: str, eval_percent: int = 15) -> DataFrame:
 
 
 def failure_reason() -> Column:
-    tags = F.coalesce("failure_tags", F.array().cast("array<string>"))
-    return F.when(F.size(tags) > 0, F.array_join(F.slice(tags, 1, 3), ", ")).when(F.col("faithfulness") < 0.5, "low faithfulness").when(F.col("answer_relevance") < 0.5, "low relevance").otherwise("low score")
-
-
-def compatible(base_model: Column, adapter: Column) -> Column:
-    """Whether an adapter belongs to a base model: family and size in both names agree."""
-    family = lambda c: F.lower(F.regexp_extract(c, r"(?i)(qwen|llama|mistral|phi|gemma|deepseek)", 1))
-    size = lambda c: F.lower(F.regexp_extract(c, r"(?i)(\d+(?:\.\d+)?)\s*b\b", 1))
-    return (family(base_model) != "") & (family(base_model) == family(adapter)) & (size(base_model) == size(adapter))
+    """Why a turn scored low, for reviewers: the first of a refusal and the low metrics (a missing one is not low)."""
+    low = lambda c, x: F.coalesce(F.col(c) < x, F.lit(False))
+    return (
+        F.when(text_or_empty(F.col("answer")).rlike(r"(?i)i\s+don.t\s+have\s+access|i\s+can.t\s+(access|call|query)"), "api_refusal").when(low("faithfulness", 0.40), "low_faithfulness")
+        .when(low("temporal_consistency", 0.50), "temporal_inconsistency").when(low("answer_relevance", 0.40), "off_topic").when(low("code_correctness", 0.50), "code_syntax_error").otherwise("low_overall_score"))
+
+
+def check_reasons(checks: Column) -> Column:
+    """The first three checks with a penalty, 'name: note' (80 characters), joined by ' | '."""
+    failed = F.filter(F.coalesce(checks, F.array()), lambda c: F.coalesce(c["penalty"], F.lit(0.0)) > 0)
+    return F.array_join(F.slice(F.transform(failed, lambda c: F.concat(c["name"], F.lit(": "), F.left(text_or_empty(c["note"]), F.lit(80)))), 1, 3), " | ")
+
+
+def mismatches(trained: Column, served: Column) -> Column:
+    """What speaks against serving an adapter trained on one model with another: version and size of the model family
+    that both names state, or a name that states neither."""
+    part = lambda c, pattern: F.nullif(F.regexp_extract(text_or_empty(c), pattern, 1), F.lit(""))
+    family, size = [part(c, r"(?i)qwen[\s_-]?(\d+(?:\.\d+)?)") for c in (trained, served)], [part(c, r"(?i)(\d+(?:\.\d+)?)\s*b\b") for c in (trained, served)]
+    unclear = (family[0].isNull() & size[0].isNull()) | (family[1].isNull() & size[1].isNull())
+    said = [
+        F.when(family[0] != family[1], F.concat(F.lit("family "), family[0], F.lit(" for "), family[1])), F.when(size[0] != size[1], F.concat(F.lit("size "), size[0], F.lit("B for "), size[1], F.lit("B"))), F.when(unclear, F.lit("unclear name"))]
+    return F.array_compact(F.array(*said))
+
+
+def compatible(trained: Column, served: Column) -> Column:
+    return F.size(mismatches(trained, served)) == 0
+
+
+def score_samples(samples: DataFrame, year: int | None = None) -> DataFrame:
+    """Scores of evaluation samples(query, expected_answer, generated_answer, intent, sources, summary, rag_faith,
+    rag_relevance): a generated answer is judged, else the expected one. Knowledge and mixed samples take the given
+    faithfulness and relevance, live ones those of the checks, others 0.5; token_f1 only where a generated answer differs
+    from an expected one."""
+    from kelpie.operators import evaluate as e
+
+    answer = F.coalesce(F.nullif("generated_answer", F.lit("")), F.col("expected_answer"), F.lit(""))
+    out = samples.withColumn("answer", answer).withColumn("intent", F.coalesce("intent", F.lit("rag")))
+    out = out.withColumn("temporal_consistency", e.temporal_consistency(F.col("answer"), year)).withColumn("code_correctness", e.code_correctness(F.col("answer")))
+    out = out.withColumn("checks", e.validator_checks(F.col("query"), F.col("answer"), F.col("sources"), F.col("summary")))
+    live, known = F.col("intent") == "sentries", F.col("intent").isin("rag", "both")
+    pick = lambda rag, checked: F.when(known, F.col(rag)).when(live, checked).otherwise(F.lit(0.5))
+    out = out.withColumn("faithfulness", pick("rag_faith", e.validator_score(F.col("answer"), F.col("summary"), F.col("checks")))).withColumn("answer_relevance", pick("rag_relevance", e.answer_relevance(F.col("query"), F.col("answer"))))
+    out = out.withColumn("scoring_method", F.when(known, "given").when(live, "validator").otherwise("unknown_intent"))
+    out = out.withColumn("weighted_score", e.weighted_score(F.col("faithfulness"), F.col("answer_relevance"), F.col("temporal_consistency"), F.col("code_correctness")))
+    both = (text_or_empty(F.col("expected_answer")) != "") & (F.col("answer") != "") & (F.col("expected_answer") != F.col("answer"))
+    return out.withColumn("token_f1", F.when(both, token_f1(F.col("expected_answer"), F.col("answer"))))
 
 
 def post_promotion(scored: DataFrame, most: int = 30, faith: float = 0.7) -> DataFrame:

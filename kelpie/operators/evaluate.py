@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from kelpie.functions.text import TICKET_KEY, URL, all_matches, half_even, safe_score, sentences, text_or_empty, ticket_keys, windows
+from kelpie.functions.text import MERGE_REF, TICKET_KEY, URL, all_matches, half_even, safe_score, sentences, text_or_empty, ticket_keys, windows
 from kelpie.operators.vectors import cosine
-from kelpie.sources.sinks import staged
+from kelpie.sources.sinks import insert_missing, staged
 
 # ---- Fixed values ---------------------------------------------------------------------------------------------
 
 W_FAITH, W_RELEVANCE, W_TEMPORAL, W_CODE = 0.35, 0.35, 0.10, 0.20
-HALLUCINATION = ["jira_prefix_mismatch", "jira_keys_not_in_sources", "unsupported_titles", "keys_not_in_summary", "model_claimed_no_api_access"]
+HALLUCINATION = ["fabricated_keys_on_empty_sentries", "jira_prefix_mismatch"]
 CRITICAL = ["hallucination", "tool_misuse", "retrieval_miss"]
 P95 = {"sentries": 3.5, "rag": 5.0, "both": 7.0}
 HONEST_EMPTY = r"(?iU)\b(no\s+results?|no\s+data|not\s+found|could\s+not\s+find|no\s+issues?|no\s+open|empty|unavailable|pas\s+de\s+r[eé]sultat|rien\s+trouv[eé]|aucun[e]?)\b"
@@ -34,8 +34,9 @@ ROUND_STAT = r"(?i)\b(exactly|precisely|total\s+of|there\s+are)\s+(\d+)\s+(issue
 ANALYTICAL = r"(?i)\b(where|which|compare|trace|find\s+all|most\s+referenced|cross.?reference|appear|conflict|risk|subsystem|summarize|summarise)\b"
 COUNT_QUERY = r"(?i)\b(how\s+many|count|total\s+(number\s+of|tickets?|issues?)|number\s+of|approximately|give\s+me\s+a\s+number|just\s+a\s+number|combien|nombre\s+de)\b"
 NUMERIC_ANSWER = r"(?i)^\s*(?:answer\s*:\s*|~|about\s+|environ\s+|approximately\s+)?(\d{1,6})\s*$"
-RELEVANCE_STOP = "show list get open closed issues for in the a an of and or with recent latest pipelines mrs merge requests bugs tickets".split()
-TRUSTED = ["atlassian.net", "atlassian.com", "jira.", "gitlab.com", "gitlab.", "confluence."]
+RELEVANCE_STOP = [
+    "show", "list", "get", "open", "closed", "issues", "for", "in", "the", "a", "an", "of", "and", "or", "with", "recent", "latest", "pipelines", "mrs", "merge", "requests", "bugs", "tickets",
+]
 
 # ---------------------------------------------------------------------------------------------------------------
 
@@ -76,7 +77,7 @@ def parsed_share(answer: str | None) -> float | None:
         try:
             ast.parse(b)
             good += 1
-        except (SyntaxError, ValueError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):  # the last two: nested too deeply to parse
             continue
     return round(good / len(python), 4) if python else None
 
@@ -136,7 +137,12 @@ def validator_checks(query: Column, answer: Column, sources: Column, summary: Co
     empty_said = a.rlike(HONEST_EMPTY)
     nothing = summary.isNotNull() & (F.size(summary) == 0)
     something = summary.isNotNull() & (F.size(summary) > 0)
-    strays = F.array_except(F.array_except(own, listed), known)
+    strays = F.array_except(cited, listed)
+    plain = text_or_empty(query)
+    invented = F.array_except(F.array_except(ticket_keys(a), ticket_keys(F.array_join(F.transform(sources, lambda s: text_or_empty(s["url"])), " "))), ticket_keys(plain))
+    told = F.array_join(F.flatten(F.transform(F.coalesce(summary, F.array()), lambda s: s["titles"])), " ")
+    refs = lambda c: F.array_distinct(all_matches(c, MERGE_REF, 1))
+    new_refs, told_refs = F.array_except(refs(a), refs(plain)), refs(told)
     return F.array(
         _check("api_refusal", [(a.rlike(REFUSAL), 0.30, "model_claimed_no_api_access")]),
         _check("jira_key_format", [((F.size(own) > 0) & (F.size(known) > 0) & ~F.arrays_overlap(_share(own), _share(known)), 0.25, "jira_prefix_mismatch")]),
@@ -148,9 +154,10 @@ def validator_checks(query: Column, answer: Column, sources: Column, summary: Co
             ((F.size(sources) > 0) & (F.size(titles) > 0) & (F.size(orphan) > F.floor(F.size(titles) / 2)), half_even(F.least(F.lit(0.25), 0.25 * F.size(orphan) / F.greatest(F.lit(1), F.size(titles))), 3), "unsupported_titles")]),
         _check("sentries_summary_coverage", [
             (nothing & (F.size(source_keys(sources, False)) > 0), 0.0, "summary_empty_but_sources_present"), (nothing & empty_said, -0.05, "correctly_reported_empty_from_summary"),
-            (nothing & (F.size(own) > 0), 0.20, "keys_not_in_summary"),
-            (something & empty_said & (F.size(listed) > 0) & (F.size(cited) == 0), 0.15, "claimed_empty_with_data"),
-            (something & (F.size(listed) > 0) & (F.size(own) > 0) & (F.size(strays) > F.floor(F.size(own) / 2)), 0.20, "keys_not_in_summary")]),
+            (nothing & (F.size(invented) > 0), 0.15, "fabricated_keys_on_empty_sentries"),
+            (something & (F.size(cited) > 0) & (F.size(listed) > 0), F.when(F.size(strays) > F.floor(F.size(cited) / 2), 0.20).otherwise(0.0), "keys_not_in_sentries_summary"),
+            (something & (F.size(new_refs) > 0) & (F.size(told_refs) > 0), F.when(F.size(F.array_except(new_refs, told_refs)) > F.floor(F.size(new_refs) / 2), 0.20).otherwise(0.0), "gitlab_refs_not_in_sentries_summary"),
+            (something & empty_said & ((F.size(listed) > 0) | (F.size(refs(a)) > 0)), 0.10, "falsely_reported_empty_when_summary_has_data")]),
     )
 
 
@@ -219,6 +226,9 @@ def evaluate(turns: DataFrame, judged_faith: Column | None = None, year: int | N
     out = out.withColumn("validator_faith", validator_score(F.col("answer"), F.col("summary"), F.col("checks"))).withColumn("answer_relevance", answer_relevance(F.col("query"), F.col("answer")))
     faith = F.col("validator_faith") if judged_faith is None else F.greatest("validator_faith", safe_score(judged_faith, 0.0))
     out = out.withColumn("faithfulness", F.when((faith >= 0.15) & (faith < 0.30) & (F.col("answer_relevance") > 0.60), 0.30).otherwise(faith))
+    out = out.withColumn("scoring_method", F.lit("validator") if judged_faith is None else F.when(judged_faith.isNull(), "validator").otherwise("validator+judge"))
+    snippets = F.size("context_snippets") > 0 if "context_snippets" in turns.columns else F.lit(None).cast("boolean")
+    out = out.withColumn("scoring_context_source", F.when(snippets, "stored_snippets").when(~snippets, "empty").otherwise("unknown"))
     out = out.withColumn("weighted_score", weighted_score(F.col("faithfulness"), F.col("answer_relevance"), F.col("temporal_consistency"), F.col("code_correctness")))
     graph, cited = source_keys(F.col("sources"), True), ticket_keys(F.upper(text_or_empty(F.col("answer"))))
     out = out.withColumn("graph_coverage", F.when(F.size(graph) > 0, half_even(F.size(F.array_intersect(graph, cited)) / F.greatest(F.lit(1), F.size(graph)))))
@@ -227,6 +237,18 @@ def evaluate(turns: DataFrame, judged_faith: Column | None = None, year: int | N
     return out.withColumn("training_signal", training_signal(F.col("quality_grade"), F.col("failure_tags"), F.col("weighted_score")))
 
 
+def unscored(turns: DataFrame, limit: int | None = None) -> DataFrame:
+    """Turns without a score and without an error, newest first."""
+    rows = turns.where(F.col("weighted_score").isNull() & (text_or_empty(F.col("error")) == "") & (text_or_empty(F.col("answer")) != "")).orderBy(F.desc("timestamp"), "turn_id")
+    return rows.limit(limit) if limit else rows
+
+
+def baseline_if_absent(versions: DataFrame, scored: DataFrame, version: str = "baseline") -> DataFrame:
+    """The registry with a first version of the mean scores, unless it has one of that name."""
+    made = scored.agg(F.lit(version).alias("version"), F.round(F.avg("weighted_score"), 4).alias("score"), F.round(F.avg("faithfulness"), 4).alias("faithfulness"), F.count("*").alias("samples"))
+    return insert_missing(versions, made.where("samples > 0").drop("samples"), ["version"])
+
+
 def context_of(turns: DataFrame, retrieved: DataFrame, id: str) -> DataFrame:
     """contexts: stored snippets of more than 15 characters, else those retrieved again(id, snippets)."""
     kept = F.filter(F.col("context_snippets"), lambda s: F.length(s["text"]) > 15)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpie.sources.sinks import delete_keys, upsert
+
 
 def conversations(turns: DataFrame, limit: int = 50, conversation: str = "conversation_id", time: str = "timestamp", query: str = "query") -> DataFrame:
     """The newest conversations: title (60 characters of the first question), last question, last time, turns."""
@@ -28,6 +30,22 @@ def review_queue(scored: DataFrame, chosen: DataFrame, fallback: int = 200) -> D
     return rejected.unionByName(fresh).join(chosen.select("turn_id", "chosen"), "turn_id", "left")
 
 
+def save_chosen(chosen: DataFrame, new: DataFrame, turns: DataFrame, least: int = 50) -> DataFrame:
+    """The better answers with new(turn_id, chosen, saved_at) merged in: those of ``least`` characters and more, of turns
+    that exist; the last saved wins."""
+    good = new.where(F.length(F.trim("chosen")) >= least).join(turns.select("turn_id"), "turn_id", "left_semi")
+    return upsert(chosen, good, ["turn_id"], F.col("saved_at"))
+
+
+def exclude(excluded: DataFrame, new: DataFrame, turns: DataFrame) -> DataFrame:
+    """The manual exclusions with new(turn_id, reason, excluded_at) of turns that exist; the last reason wins."""
+    return upsert(excluded, new.join(turns.select("turn_id"), "turn_id", "left_semi"), ["turn_id"], F.col("excluded_at"))
+
+
+def restore(excluded: DataFrame, again: DataFrame) -> DataFrame:
+    return delete_keys(excluded, again, ["turn_id"])
+
+
 def training_queue(reasoned: DataFrame, excluded: DataFrame) -> DataFrame:
     """Adds status: excluded by hand, by a rule, or ready."""
     mark = excluded.select("turn_id").distinct().withColumn("_x", F.lit(True))

@@ -29,7 +29,7 @@ def test_enriched_search_and_links(spark):
 
 
 def test_scores_and_gates(spark):
-    row = spark.createDataFrame([("qwen2.5-7b", "Qwen 7B adapter", "llama 7b", float("nan"), 0.4)], "b string, a string, x string, j double, p double")
+    row = spark.createDataFrame([("qwen2.5-7b", "adapter of Qwen2.5 7B", "llama 8b", float("nan"), 0.4)], "b string, a string, x string, j double, p double")
     r = row.select(datasets.compatible(F.col("b"), F.col("a")).alias("yes"), datasets.compatible(F.col("b"), F.col("x")).alias("no"), evaluate.ladder(F.col("j"), F.col("p"), F.lit(2)).alias("l"), evaluate.ladder(F.col("j"), F.col("p"), F.lit(0)).alias("z")).first()
     assert (r.yes, r.no, r.l, r.z) == (True, False, 0.4, 0.3)
     same = spark.createDataFrame([("the cache is full", "the cache is full")], "q string, a string").select(evaluate.approximate_relevance(F.col("q"), F.col("a"), vectors.hash_embed).alias("r")).first().r
