@@ -170,8 +170,12 @@ def _meet(hot_from: int):
         met = np.diff(np.append(first, len(h)))
         total = np.add.reduceat(entries["n"], first) if len(first) else first
         wanted = np.repeat(met > 1, met)
-        pairs = np.unique(entries[["owner", "hash"]][wanted])  # a text's copies tell once
-        names, data = _by_text(pairs["owner"], np.ascontiguousarray(pairs["hash"]))
+        o, x = entries["owner"][wanted], h[wanted]  # in the order of the hashes
+        by = np.lexsort((x, o))
+        o, x = o[by], x[by]
+        new = np.ones(len(o), bool)
+        new[1:] = (o[1:] != o[:-1]) | (x[1:] != x[:-1])  # a text's copies tell once
+        names, data = _by_text(o[new], np.ascontiguousarray(x[new]))
         hot = (total >= hot_from) & (total >= HOT_PART * total.sum())  # at most 1 / HOT_PART of them here
         names += [None] * int(hot.sum())
         data += [a.tobytes() for a in h[first[hot]]]
@@ -279,7 +283,8 @@ def _judge(match: int):
             first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
             if len(first):
                 pair = np.stack([first, last + match], axis=1)
-                for p in np.unique(np.frombuffer(b"".join(places), _PLACES)):
+                at = np.frombuffer(b"".join(places), _PLACES)
+                for p in np.unique(at) if len(places) > 1 else at:  # several batches may tell of one text
                     spans.setdefault((int(p["owner"]), int(p["check"])), []).append(pair + p["start"])
 
         held: list[tuple[bytes, list]] = []
