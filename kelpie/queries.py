@@ -155,10 +155,10 @@ def c3_split_large(spark, sf_dir):
     return chunking.split_large(docs, size=2000).select("document_id", "content", F.col("part_number").cast("long").alias("part_number"))
 
 
-@query("""SELECT doc_id, CAST(least(30, CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - 1) // 160 + 1 END) AS BIGINT) AS n_windows,
-  md5(array_to_string(list_transform(range(0, least(30, (length(text) - 1) // 160 + 1)), lambda i: substr(text, CAST(i * 160 + 1 AS BIGINT), 200)), '|')) AS windows_md5 FROM documents""")
+@query("""SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - 1) // 160 + 1 END AS BIGINT) AS n_windows,
+  md5(array_to_string(list_transform(range(0, (length(text) - 1) // 160 + 1), lambda i: substr(text, CAST(i * 160 + 1 AS BIGINT), 200)), '|')) AS windows_md5 FROM documents""")
 def c4_windows(spark, sf_dir):
-    w = text.windows(F.col("text"), most=30)  # as its SQL
+    w = text.windows(F.col("text"))
     return _t(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n_windows"), F.md5(F.array_join(w, "|")).alias("windows_md5"))
 
 
