@@ -380,7 +380,7 @@ def test_trie_levels_are_compact():
     contexts = np.sort(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
     raw = lm.build_trie(contexts, np.arange(4000), owner, successors, counts)
     trie = lm.Trie(raw)
-    assert len(raw) < 8 * 50_000  # plain arrays take 8 + 1 bytes a pair, and 40 a context
+    assert len(raw) < 8 * 50_000  # plain arrays take 8 + 1 bytes a pair, and 32 a context
     assert (trie.context(contexts) == np.arange(4000)).all() and (trie.context(contexts + np.uint64(1)) == -1).mean() > 0.99
     assert (trie.counts(np.array([0, 7, 3999, -1])) == [0, 7, 3999, 0]).all() and (trie.fanout(np.arange(4000)) == np.bincount(owner, minlength=4000)).all()
     totals = np.bincount(owner, weights=counts, minlength=4000)
