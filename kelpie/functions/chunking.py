@@ -80,3 +80,20 @@ def split_large(docs: DataFrame, id: str = "document_id", content: str = "conten
     flat = docs.select(F.col(id).cast("string").alias("original_document_id"), *rest, large.alias("is_partial"), F.size(cut).alias("total_parts"), F.posexplode(cut).alias("i", content))
     part = F.col("i") + 1
     return flat.select(F.when(F.col("is_partial"), F.concat("original_document_id", F.lit("_part_"), part)).otherwise(F.col("original_document_id")).alias(id), content, *rest, "original_document_id", "is_partial", part.alias("part_number"), "total_parts")
+
+
+def chunk_stats(chunks: DataFrame, documents: DataFrame, sample: int = 10) -> DataFrame:
+    """(name, value): documents, chunks, chunks a document (none without documents), chunks by source, and least, most and
+    mean tokens of the first ``sample`` chunks by id."""
+    n = chunks.agg(F.count("*").cast("double").alias("chunks")).crossJoin(documents.agg(F.count("*").cast("double").alias("documents")))  # one row each
+    total = n.select(F.explode(F.create_map(F.lit("documents"), F.col("documents"), F.lit("chunks"), F.col("chunks"), F.lit("chunks_per_document"), F.try_divide("chunks", "documents"))).alias("name", "value"))
+    by_source = chunks.groupBy("source").agg(F.count("*").cast("double").alias("value")).select(F.concat(F.lit("source:"), F.coalesce("source", F.lit(""))).alias("name"), "value")
+    first = chunks.orderBy("chunk_id").limit(sample).agg(F.min("token_count").cast("double").alias("a"), F.max("token_count").cast("double").alias("b"), F.avg("token_count").alias("c"))
+    sizes = first.select(F.explode(F.create_map(F.lit("sample_min"), F.col("a"), F.lit("sample_max"), F.col("b"), F.lit("sample_avg"), F.col("c"))).alias("name", "value"))
+    return total.unionByName(by_source).unionByName(sizes).where("value is not null")
+
+
+def preview(chunks: DataFrame, n: int = 3, chars: int = 100) -> DataFrame:
+    """The first ``n`` chunks by id that wait for an embedding, with the head of their texts."""
+    head = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, chars), F.lit("..."))
+    return chunks.orderBy("chunk_id").limit(n).select("chunk_id", "source", "source_type", "token_count", head.alias("preview"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpie.functions.text import link_relation
+from kelpie.functions.text import issue_key_of, link_relation, page_id_of
 
 EDGE = ["src_type", "src", "rel", "dst_type", "dst"]
 
@@ -39,6 +39,30 @@ def page_edges(pages: DataFrame) -> DataFrame:
     return edges(pages, "page", "page_id", "IN_SPACE", "space", "space_id").unionByName(edges(ancestors, "page", "page_id", "CHILD_OF", "page", F.col("a.id")))
 
 
+def import_rows(chunks: DataFrame, source: str) -> DataFrame:
+    """Chunks ready for the graph: those with an embedding, absent values as empty ones. 'jira' adds the ticket's fields and
+    typed links (without a target: dropped), 'confluence' page, space and ancestors (without an id: dropped); both read a
+    struct ``metadata``. 'gitlab' adds nothing."""
+    text = lambda c, to="": F.coalesce(c.cast("string") if isinstance(c, Column) else F.col(c).cast("string"), F.lit(to))
+    names = ["chunk_id", "parent_document_id", "text", "source", "source_type", "title", "url", "status", "author", "project_id", "project_name", "group_name", "created_at"]
+    base = [text(c).alias(c) for c in names] + ["embedding"] + [F.coalesce(c, F.lit(n)).alias(c) for c, n in (("token_count", 0), ("chunk_index", 0), ("total_chunks", 1))]
+    base += [text("embedding_model", "snowflake-arctic-embed-m").alias("embedding_model"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels")]
+    meta, id = (lambda c: F.col(f"metadata.{c}")), F.coalesce("parent_document_id", F.lit(""))
+    rows = chunks.where(F.size("embedding") > 0)
+    if source == "jira":
+        fields = [text(meta(c)).alias(c) for c in ("issue_type", "priority", "assignee", "resolution", "parent_key")]
+        lists = [F.coalesce(meta(c), F.array().cast("array<string>")).alias(c) for c in ("fix_versions", "components")]
+        made = F.transform(F.coalesce(meta("issue_links"), F.array()), lambda l: F.struct(F.regexp_replace(F.coalesce(l["target"], F.lit("")), r"^\s+|\s+$", "").alias("target"), F.coalesce(l["type"], F.lit("relates to")).alias("type"), link_relation(F.coalesce(l["type"], F.lit("relates to"))).alias("rel_type")))
+        return rows.select(*base, issue_key_of(id).alias("issue_key"), *fields, *lists, F.filter(made, lambda l: l["target"] != "").alias("issue_links"))
+    if source == "confluence":
+        some = lambda c: F.nullif(c.cast("string"), F.lit(""))
+        up = F.transform(F.filter(F.coalesce(meta("ancestors"), F.array()), lambda a: F.coalesce(a["id"], F.lit("")) != ""), lambda a: F.struct(a["id"].alias("id"), F.coalesce(a["title"], F.lit("")).alias("title")))
+        return rows.select(*base, F.coalesce(F.nullif(page_id_of(id), F.lit("")), meta("page_id"), F.lit("")).alias("page_id"), F.coalesce(some(meta("space_id")), some(F.col("project_id")), F.lit("")).alias("space_id"), text(meta("breadcrumb")).alias("breadcrumb"), up.alias("ancestors"))
+    if source == "gitlab":
+        return rows.select(*base)
+    raise ValueError(f"no source {source}")
+
+
 def merge_nodes(rows: DataFrame, key: str, order: Column, first_wins: bool = False) -> DataFrame:
     """One row per key: the last by ``order``, or the first."""
     w = Window.partitionBy(key).orderBy(order.asc() if first_wins else order.desc())

@@ -551,4 +551,4 @@ def st2_sessions(spark, sf_dir):
     return jobs.sessions(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
-from kelpie import rule_queries  # noqa: E402, F401  (adds the queries of the rules)
+from kelpie import retrieval_queries, rule_queries  # noqa: E402, F401  (add the queries of retrieval and of the rules)
