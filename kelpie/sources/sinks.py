@@ -21,8 +21,14 @@ def _drop_scratch() -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, dropped when the driver's process ends."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/kelpie").rstrip("/")
+    """A new path in the folder that all executors share, dropped when the driver's process ends. A folder of this machine
+    serves in local mode only; on a cluster it would lose data, so a missing setting is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file:///tmp/checkpoints/kelpie"
+    folder = folder.rstrip("/")
     if not _SCRATCH:
         atexit.register(_drop_scratch)
     _SCRATCH.append((spark, f"{folder}/{name}-{uuid.uuid4().hex[:12]}"))
