@@ -1,4 +1,4 @@
-"""Queries of single operators on literal rows, with the results written out in the SQL, and over the test tables."""
+"""Queries of single operators on literal rows, with the results written out in the SQL, and of the stateful streams."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from kelpie.functions import text
 from kelpie.operators import datasets, evaluate, graph, ranking, serving
 from kelpie.queries import _t, query
 from kelpie.sources import landed, sinks
+from kelpie.streaming import jobs
 
 # ---- text -------------------------------------------------------------------------------------------------------
 
@@ -219,3 +220,32 @@ def a4_review_queue(spark, sf_dir):
 def a5_training_queue(spark, sf_dir):
     rows = spark.createDataFrame([("a", ["short_answer"]), ("b", ["short_answer"]), ("c", [])], "turn_id string, reasons array<string>")
     return serving.training_queue(rows, spark.createDataFrame([("a",), ("a",), ("z",)], "turn_id string")).select("turn_id", "status")
+
+
+# ---- streams ----------------------------------------------------------------------------------------------------
+
+
+def _appended(spark, stream):
+    """The rows that a stream appends, as a table in the shared folder."""
+    out = sinks.scratch(spark, "appended")
+    spark.createDataFrame([], stream.schema).write.parquet(out)
+    jobs.drain(stream, out, sinks.scratch(spark, "stream"))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS conversation_id, CAST(event_id AS BIGINT) AS turn,
+ last_value(CASE WHEN event_id % 3 = 0 THEN event_type END IGNORE NULLS) OVER w AS project, last_value(CASE WHEN event_id % 5 = 0 THEN 'T-' || event_id END IGNORE NULLS) OVER w AS ticket
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def st3_carried_context(spark, sf_dir):
+    """Users as conversations: every third event names a project, every fifth a ticket."""
+    turns = jobs.files(spark, _t(spark, sf_dir, "events").schema, f"{sf_dir}/event[s].parquet").select(
+        F.col("user_id").cast("string").alias("conversation_id"), F.col("event_id").cast("long").alias("turn"),
+        F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("project"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("T-"), F.col("event_id").cast("string"))).alias("ticket"))
+    return _appended(spark, jobs.carry_context(turns))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def st4_first_seen(spark, sf_dir):
+    """The first event of each user and type, seen within a watermark longer than the table."""
+    events = jobs.files(spark, _t(spark, sf_dir, "events").schema, f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _appended(spark, jobs.first_seen(events, ["user_id", "event_type"], "3650 days")).select("user_id", "event_type")

@@ -17,6 +17,19 @@ def files(spark: SparkSession, schema, path: str, per_trigger: int = 100, format
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).format(format).load(path)
 
 
+def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Appends what the stream gives for all files that are there, as Parquet. Batches without data are switched off, since
+    a timeout of a state by the clock calls for them without end."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
+    q.awaitTermination()
+
+
 def score_turns(turns: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Scores each new turn once and appends it; a batch that runs again overwrites itself."""
 
@@ -43,7 +56,8 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> Data
 
 def carry_context(turns: DataFrame, timeout: str = "1 day") -> DataFrame:
     """(conversation_id, turn, project, ticket): the last project and ticket named in the conversation so far.
-    State is two strings a conversation, and is dropped after a day without turns."""
+    State is two strings a conversation, and is dropped after a day without turns. The turns that one micro-batch brings of a
+    conversation are put in order within an Arrow batch (10,000 rows by default), so a micro-batch should bring no more."""
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
