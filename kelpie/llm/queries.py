@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import chat, decontamination, jaccard, lm, media, packing, repeats, tokencounts, toxicity, warc
+from kelpie.llm import chat, decontamination, divergence, jaccard, lm, media, packing, repeats, tokencounts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -146,5 +146,35 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.edited_counts(_read(spark, sf_dir, "documents"), tokencounts.review_edits(F.col("text")), tokenizer("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op3_lm_scoring": op3_lm_scoring, "op4_jaccard_join": op4_jaccard_join, "op9_suffix_dedup": op9_suffix_dedup, "op2_toxicity": op2_toxicity, "op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
-ORACLES = {"op4_jaccard_join": OP4_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL, "op8_chat_formatting": OP8_SQL}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT d, lang, source, unnest(w) AS term FROM (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents)),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+g AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+m AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT m.lang, m.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (m.n + v.v) AS BIGINT) AS p,
+    CAST(1 + (1000000000 * (k.n + 1)) // (v.n + v.v) AS BIGINT) AS q
+  FROM m JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = m.lang AND c.source = m.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 200
+"""
+
+
+QUERIES = {"op13_source_divergence": op13_source_divergence, "op1_token_counts": op1_token_counts, "op3_lm_scoring": op3_lm_scoring, "op4_jaccard_join": op4_jaccard_join, "op9_suffix_dedup": op9_suffix_dedup, "op2_toxicity": op2_toxicity, "op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
+ORACLES = {"op13_source_divergence": OP13_SQL, "op4_jaccard_join": OP4_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL, "op8_chat_formatting": OP8_SQL}
