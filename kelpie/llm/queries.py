@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import chat, decontamination, divergence, jaccard, lm, media, packing, repeats, tokencounts, toxicity, warc
+from kelpie.llm import chat, decontamination, divergence, jaccard, lm, media, packing, repeats, tokencounts, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -176,5 +176,62 @@ SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank
 """
 
 
-QUERIES = {"op13_source_divergence": op13_source_divergence, "op1_token_counts": op1_token_counts, "op3_lm_scoring": op3_lm_scoring, "op4_jaccard_join": op4_jaccard_join, "op9_suffix_dedup": op9_suffix_dedup, "op2_toxicity": op2_toxicity, "op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
-ORACLES = {"op13_source_divergence": OP13_SQL, "op4_jaccard_join": OP4_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL, "op8_chat_formatting": OP8_SQL}
+#: The rules of the query: verdict and rule.
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+h AS (SELECT host, count(*) AS n FROM p GROUP BY host),
+seeds AS (SELECT unnest(['ads', 'adult', 'bets', 'casino', 'jackpot', 'lottery', 'pills', 'poker', 'porn', 'spam', 'viagra', 'xxx']) AS word),
+w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT unnest(regexp_extract_all(translate(regexp_replace(html, '<[^>]*>', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')) AS word, 1 AS n FROM p
+    UNION ALL SELECT unnest(regexp_extract_all(label, '[a-z]+')), n FROM (SELECT unnest(string_split(host, '.')) AS label, n FROM h) WHERE contains(label, '-')
+    UNION ALL SELECT word, 1 FROM seeds) GROUP BY word),
+total AS (SELECT CAST(sum(n) AS DOUBLE) AS n FROM w),
+runs AS (SELECT host, unnest(r) AS run, unnest(range(len(r))) AS pos FROM (SELECT host, regexp_extract_all(host, '[a-z]+|[0-9]+|[^\x00-\x7F]+') AS r FROM h)),
+names AS (SELECT DISTINCT run FROM runs WHERE regexp_matches(run, '^[a-z]') AND length(run) <= 63),
+spans AS (SELECT run, i, unnest(range(1, length(run) - i + 2)) AS k FROM (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM names)),
+edges AS (
+  SELECT run, i, k, CAST(CASE WHEN w.n IS NULL THEN floor(1e6 * (ln(total.n) + k * ln(10.0)) + 0.5) ELSE round(ln(total.n / w.n) * 1e6) END AS BIGINT) AS cost
+  FROM spans LEFT JOIN w ON w.word = substr(run, i, k), total),
+dp AS (
+  SELECT run, CAST(length(run) + 1 AS BIGINT) AS i, [CAST(0 AS BIGINT)] AS best, CAST([[]] AS VARCHAR[][]) AS cut FROM names
+  UNION ALL
+  SELECT dp.run, dp.i - 1, list_prepend(min(e.cost + dp.best[e.k]), any_value(dp.best)),
+    list_prepend(list_prepend(substr(dp.run, any_value(e.i), arg_min(e.k, [e.cost + dp.best[e.k], -e.k])), coalesce(arg_min(dp.cut[e.k], [e.cost + dp.best[e.k], -e.k]), [])), any_value(dp.cut))
+  FROM dp JOIN edges e ON e.run = dp.run AND e.i = dp.i - 1 WHERE dp.i > 1 GROUP BY dp.run, dp.i),
+cuts AS (SELECT run, cut[1] AS words FROM dp WHERE i = 1),
+htok AS (
+  SELECT host, unnest(coalesce(words, [CASE WHEN regexp_matches(run, '^[0-9]') THEN '0' ELSE run END])) AS token FROM runs LEFT JOIN cuts USING (run)),
+bad AS (SELECT DISTINCT host FROM htok WHERE token IN (SELECT word FROM seeds)),
+paths AS (
+  SELECT page_id, host, unnest(list_transform(regexp_extract_all(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+|[0-9]+|[^\x00-\x7F]+'),
+    lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN '0' ELSE t END)) AS token FROM p),
+tok AS (SELECT host, token, n FROM htok JOIN h USING (host) UNION ALL SELECT host, token, 1 FROM paths),
+cnt AS (SELECT token, sum(CASE WHEN host IN (SELECT host FROM bad) THEN n ELSE 0 END) AS b, sum(CASE WHEN host IN (SELECT host FROM bad) THEN 0 ELSE n END) AS a FROM tok GROUP BY token),
+t AS (SELECT count(*) AS v, sum(b) AS b, sum(a) AS a FROM cnt),
+weight AS (SELECT token, CAST(round(ln(((cnt.b + 1) / CAST(t.b + t.v AS DOUBLE)) / ((cnt.a + 1) / CAST(t.a + t.v AS DOUBLE))) * 1e6) AS BIGINT) AS w FROM cnt, t),
+prior AS (SELECT CAST(round(ln((coalesce(sum(n) FILTER (host IN (SELECT host FROM bad)), 0) + 1) / CAST(coalesce(sum(n) FILTER (host NOT IN (SELECT host FROM bad)), 0) + 1 AS DOUBLE)) * 1e6) AS BIGINT) AS w FROM h),
+hs AS (SELECT host, sum(w) AS w FROM htok JOIN weight USING (token) GROUP BY host),
+ps AS (SELECT page_id, sum(w) AS w FROM paths JOIN weight USING (token) GROUP BY page_id),
+rules AS (SELECT * FROM (VALUES ('block', 'net/'), ('allow', 'example.net/en/'), ('block', 'example.com/de/'), ('allow', 'org/fr/')) AS r(verdict, rule)),
+fit AS (
+  SELECT page_id, arg_max(rule, [length(rule), length(split_part(rule, '/', 1))]) AS rule, arg_max(verdict, [length(rule), length(split_part(rule, '/', 1))]) AS verdict
+  FROM p JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY page_id),
+s AS (SELECT page_id, host, path, CAST(prior.w + coalesce(hs.w, 0) + coalesce(ps.w, 0) AS BIGINT) AS score FROM p LEFT JOIN hs USING (host) LEFT JOIN ps USING (page_id), prior)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score > 0 THEN 'block' ELSE 'allow' END) AS verdict, score FROM s LEFT JOIN fit USING (page_id)
+"""
+
+
+QUERIES = {"op12_url_filters": op12_url_filters, "op13_source_divergence": op13_source_divergence, "op1_token_counts": op1_token_counts, "op3_lm_scoring": op3_lm_scoring, "op4_jaccard_join": op4_jaccard_join, "op9_suffix_dedup": op9_suffix_dedup, "op2_toxicity": op2_toxicity, "op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
+ORACLES = {"op12_url_filters": OP12_SQL, "op13_source_divergence": OP13_SQL, "op4_jaccard_join": OP4_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL, "op8_chat_formatting": OP8_SQL}
