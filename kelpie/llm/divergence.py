@@ -13,7 +13,8 @@ size is bounded by its sources, however many documents share the chunk.
 Sources are then compared as smoothed distributions over the kept terms of their language, in whole numbers:
 p = 1 + floor(SCALE * (count + 1) / (N + V)), and a term adds floor((p - q)^2 / q) to the divergence of p from q.
 Each pair of sources is a row of the result, so pairs cost sources^2 * terms by nature; terms are dealt into shards of
-``SHARD`` entries at most (a term with more is a shard of its own), which are summed up, and a shard's work is tiled.
+about ``SHARD`` entries, or as many as there are pairs if these are more, whose sums are added up; a shard's work is
+tiled.
 
 Defined cases: every row is a document of its own, also repeated ones; null text, lang and source are empty; a long
 text is one document like any other and never cut short; a chunk without letters has no terms; equal values are ranked
@@ -40,9 +41,9 @@ from kelpie.llm._common import Words, column, doc_index, ragged, staged
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SCALE = 1_000_000_000
 #: Bytes of text that a task counts at a time.
-SLICE_BYTES = 32_000_000
-#: Entries (term, source) of a shard of terms.
-SHARD = 2_000_000
+SLICE_BYTES = 16_000_000
+#: Entries (term, source) of a shard of terms, at least.
+SHARD = 20_000
 #: Cells of a tile of counts.
 CELLS = 2_000_000
 COUNTED = "chunk string, lang string, sources binary, docs binary"
@@ -305,7 +306,8 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200) -> DataFrame:
     of_terms = of_terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
     entries = kept.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0)).alias("n")).first()["n"]
-    shards = 1 + entries // SHARD
+    most = totals.groupBy("lang").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
+    shards = 1 + entries // max(SHARD, most * most)
     dealt = kept.withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(shards))).groupBy("lang", "shard")
     copies = totals.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).groupBy("lang", "shard")
     pairs = dealt.cogroup(copies).applyInArrow(_pair_sums, "code long, other long, value long").groupBy("code", "other").agg(F.sum("value").alias("value"))
