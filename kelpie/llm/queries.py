@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import chat, decontamination, divergence, jaccard, lm, media, packing, repeats, tokencounts, toxicity, urlfilter, warc
+from kelpie.llm import chat, convtrie, decontamination, divergence, jaccard, lm, media, packing, repeats, tokencounts, toxicity, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -233,5 +233,40 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score > 0 THEN 'bl
 """
 
 
-QUERIES = {"op12_url_filters": op12_url_filters, "op13_source_divergence": op13_source_divergence, "op1_token_counts": op1_token_counts, "op3_lm_scoring": op3_lm_scoring, "op4_jaccard_join": op4_jaccard_join, "op9_suffix_dedup": op9_suffix_dedup, "op2_toxicity": op2_toxicity, "op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
-ORACLES = {"op12_url_filters": OP12_SQL, "op13_source_divergence": OP13_SQL, "op4_jaccard_join": OP4_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL, "op8_chat_formatting": OP8_SQL}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.prefix_nodes(_read(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS leader,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, b: list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda v, w: xor(v >> 1, 3988292384 * (v & 1)))), CAST(4294967295 AS BIGINT)) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT conv_id, role, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS BIGINT) AS d FROM (
+    SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = c.leader AND t.pos <= c.h
+    UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h)),
+k AS (
+  SELECT conv_id, d, length(text) AS n, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY d)) AS key FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+p AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM k),
+nodes AS (
+  SELECT key, d AS depth, any_value(parent) AS parent, any_value(n) AS n, count(*) AS n_convs, min(conv_id) AS conv_id,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM p GROUP BY key, d),
+kids AS (SELECT parent AS key, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (key)),
+sums AS (
+  SELECT a.key, sum(CASE WHEN own.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((own.n_convs - 1) * own.n) AS saved
+  FROM own JOIN k a ON a.conv_id = own.conv_id AND a.d <= own.depth GROUP BY a.key)
+SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, own.ends_sha256
+FROM own JOIN sums USING (key) LEFT JOIN own up ON up.key = own.parent
+"""
+
+
+QUERIES = {"op11_conversation_trie": op11_conversation_trie, "op12_url_filters": op12_url_filters, "op13_source_divergence": op13_source_divergence, "op1_token_counts": op1_token_counts, "op3_lm_scoring": op3_lm_scoring, "op4_jaccard_join": op4_jaccard_join, "op9_suffix_dedup": op9_suffix_dedup, "op2_toxicity": op2_toxicity, "op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
+ORACLES = {"op11_conversation_trie": OP11_SQL, "op12_url_filters": OP12_SQL, "op13_source_divergence": OP13_SQL, "op4_jaccard_join": OP4_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL, "op8_chat_formatting": OP8_SQL}
