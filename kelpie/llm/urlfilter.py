@@ -21,7 +21,7 @@ Defined cases: a null URL, or one without ``://``, has empty host and path; so h
 a long URL is judged whole; a run of over ``RUN_LETTERS`` letters (no host label may be so long) is one word; runs of
 digits are the token ``0``; runs of characters beyond ASCII are one token each; without pages that have seeds all
 pages are allowed; repeated rows are judged each; other columns are not read; an empty table gives an empty result.
-A host that a large share of pages has is split by adaptive skew joins, since its row is joined, never gathered.
+Hosts and paths that a thousandth of the pages or more have, at most a thousand each, are joined by broadcast.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ RUN_LETTERS = 63
 ASCII_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(256))
 TAG = re.compile(rb"<[^>]*>")
 RUNS = r"([a-z]+|[0-9]+|[^\x00-\x7F]+)"
+#: Keys that one in so many pages has are hot.
+HOT_SHARE = 1000
 #: Bytes of html that a task counts at a time.
 SLICE_BYTES = 16_000_000
 
@@ -148,6 +150,13 @@ def train(hosts: DataFrame, pages: DataFrame) -> tuple[DataFrame, int]:
     return counts.select("token", F.round(F.log(odds) * 1e6).cast("long").alias("weight")), round(math.log((n["b"] + 1) / (n["a"] + 1)) * 1e6)
 
 
+def _per_page(pages: DataFrame, key: str, table: DataFrame, total: int) -> DataFrame:
+    """``pages`` with the row of ``table`` for its key; the table has a row for each key, with its number of pages."""
+    hot = table.where(F.col("n_pages") * HOT_SHARE >= total).drop("n_pages")  # HOT_SHARE rows at most
+    rest = pages.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.drop("n_pages"), key)
+    return pages.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def _scores(texts: DataFrame, name: str, tokens: Column, weights: DataFrame) -> DataFrame:
     """``name`` and the sum of the weights of its tokens, where it has any."""
     return texts.select(name, F.explode(tokens).alias("token")).join(weights, "token").groupBy(name).agg(F.sum("weight").alias(f"{name}_score"))
@@ -174,11 +183,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, seeds:
     words = staged(word_counts(pages, hosts, seeds), "words")
     split = segmented_hosts(hosts, words).withColumn("blocked", F.arrays_overlap("tokens", F.lit(list(seeds))))
     split = staged(split, "split")
-    weights, prior = train(split, parsed.join(split.select("host", "blocked"), "host"))
+    total = split.agg(F.coalesce(F.sum("n_pages"), F.lit(0)).alias("n")).first()["n"]
+    weights, prior = train(split, _per_page(parsed, "host", split.select("host", "n_pages", "blocked"), total))
     weights = staged(weights, "weights")
-    per_host = split.select("host").join(_scores(split, "host", F.col("tokens"), weights), "host", "left").join(fitting(hosts, rules), "host", "left")
-    per_path = _scores(parsed.select("path").distinct(), "path", _tokens(F.col("path")), weights)
-    found = parsed.join(per_host, "host").join(per_path, "path", "left")
+    per_host = split.select("host", "n_pages").join(_scores(split, "host", F.col("tokens"), weights), "host", "left").join(fitting(hosts, rules), "host", "left")
+    paths = parsed.groupBy("path").agg(F.count("*").alias("n_pages"))
+    per_path = paths.join(_scores(paths, "path", _tokens(F.col("path")), weights), "path", "left")
+    found = _per_page(_per_page(parsed, "host", staged(per_host, "per_host"), total), "path", staged(per_path, "per_path"), total)
     fit = F.get(F.filter("fits", lambda r: F.startswith(F.col("path"), r["from"])), F.lit(0))
     score = F.lit(prior) + F.coalesce("host_score", F.lit(0)) + F.coalesce("path_score", F.lit(0))
     return found.select("page_id", "host", "path", fit.alias("fit"), score.alias("score")).select(
