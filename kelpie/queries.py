@@ -551,4 +551,4 @@ def st2_sessions(spark, sf_dir):
     return jobs.sessions(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
-from kelpie import operator_queries, retrieval_queries, rule_queries  # noqa: E402, F401  (add the queries of single operators, of retrieval and of the rules)
+from kelpie import index_queries, operator_queries, retrieval_queries, rule_queries  # noqa: E402, F401  (add the queries of indexes, single operators, retrieval and rules)
