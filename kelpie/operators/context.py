@@ -50,6 +50,8 @@ def knowledge_results(sources: Column, chars: int = 600) -> Column:
 #: Characters of a field's value, in a query over few and over many results; a diff and a file have their own; and fields left out.
 FIELD_CAPS = {"description": (400, 120), "body": (400, 120), "diff": (4000, 4000), "content": (2000, 2000)}
 OTHER_CAP = (300, 120)
+#: What ends a line.
+LINE_END = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
 SKIPPED_FIELDS = ["text", "message", "snippet", "comments", "changelog", "embedding"]
 
 
@@ -57,7 +59,7 @@ def live_results(results: Column, fanned: Column | None = None, few: int = 3, ma
     """Results struct(source, operation, success, error, items array<array<struct<name,value>>>) in words: a head and the
     fields of 30 items each, or of 3 with shorter values and without failed and empty results when the question went to
     many (by default more than 3 results). Empty values are left out, and a file's content but for get_file, where lines
-    are numbered. A rest is told as '… and n more items'."""
+    are numbered, the end of the last line aside. A rest is told as '… and n more items'."""
     wide = F.size(results) > 3 if fanned is None else fanned
     shown = F.when(wide, few).otherwise(many)
 
@@ -66,7 +68,8 @@ def live_results(results: Column, fanned: Column | None = None, few: int = 3, ma
         return F.when(F.length(text) > most, F.concat(F.left(text, most), F.lit("…"))).otherwise(text)
 
     def field(f: Column) -> Column:
-        numbered = F.array_join(F.transform(F.split(value(f["name"], f["value"], FIELD_CAPS["content"]), "\n"), lambda x, i: F.concat(F.lpad((i + 1).cast("string"), 4, " "), F.lit("  "), x)), "\n")
+        lines = F.split(F.regexp_replace(value(f["name"], f["value"], FIELD_CAPS["content"]), LINE_END + r"\z", ""), LINE_END)
+        numbered = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lpad((i + 1).cast("string"), 4, " "), F.lit("  "), x)), "\n")
         line = value(f["name"], f["value"], OTHER_CAP)
         for name in ("description", "body", "diff"):
             line = F.when(f["name"] == name, value(f["name"], f["value"], FIELD_CAPS[name])).otherwise(line)

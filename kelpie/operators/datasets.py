@@ -42,8 +42,8 @@ def rollouts(scored: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def seeds(turns: DataFrame, under_s: float = 10.0, limit: int = 30) -> DataFrame:
-    """The newest quick turns without an error."""
-    return turns.where((F.col("total_time_s") < under_s) & (text_or_empty(F.col("error")) == "")).orderBy(F.desc("timestamp"), "turn_id").limit(limit)
+    """The newest quick turns that have an answer and no error."""
+    return turns.where((F.col("total_time_s") < under_s) & F.col("answer").isNotNull() & (text_or_empty(F.col("error")) == "")).orderBy(F.desc("timestamp"), "turn_id").limit(limit)
 
 
 def stats(scored: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ RECENT_PAGES = (
     r"\b(page|pages|doc|docs|confluence|wiki|content)\b.{0,30}\b(recent|latest|new|updated|modified|changed)\b"
 )
 LIST_SPACES = r"\b(list|show|get|all|available)\b.{0,20}\bspaces?\b|\bconfluence\s+space\b"
-SPACE_KEYS = [r"\b(?:in|for|within|from|search)\s+(?:the\s+)?([A-Z]{2,6})\s+space\b", r"\bspace[:\s]+([A-Z]{2,6})\b"]
+SPACE_KEY = r"\b(?:in|for|within|from|search)\s+(?:the\s+)?([A-Z]{2,6})\s+space\b|\bspace[:\s]+([A-Z]{2,6})\b"
 CODE_SEARCH = (
     r"middleware|router\b|controller|handler|decorator|auth\s+router|auth\s+handler|login\s+function|auth\s+module|webhook\s+handler|payment\s+handler|rate\s+limit\s+middleware"
 )
@@ -189,7 +189,7 @@ def route(questions: DataFrame, all_gitlab: list[str] | None = None, all_jira: l
         gp.isNotNull(), F.concat(calls(_call("gitlab", "get_issues", project=gp, state=state, labels=label)), if_(in_jira & jp.isNotNull(), calls(one_issue())))
     ).otherwise(F.concat(
         if_(~in_jira, _each(fan_gitlab, "gitlab", "get_issues", "project", state=state, limit=F.lit("10")).cast(CALL)), if_(jp.isNotNull(), calls(one_issue(issue_type=kind)))))
-    space = F.coalesce(group(rf"{SPACE_KEYS[0]}"), group(rf"{SPACE_KEYS[1]}"))
+    space = F.coalesce(*[F.nullif(F.regexp_extract(q, SPACE_KEY, i), F.lit("")) for i in (1, 2)])  # of the leftmost match
     wiki = says(WIKI)
     working = F.concat(
         _each(fan_gitlab, "gitlab", "get_merge_requests", "project", state=F.lit("opened")).cast(CALL),
@@ -209,7 +209,7 @@ def route(questions: DataFrame, all_gitlab: list[str] | None = None, all_jira: l
             F.flatten(F.transform(fan_gitlab, lambda p: F.array(mrs(p), commits(p, "5")))).cast(CALL))),
         ("issues_of_projects", issues & list_projects & (jp.isNotNull() | gp.isNotNull()), F.concat(
             if_(jp.isNotNull(), calls(_call("jira", "get_project_issues", project_key=jp))), if_(gp.isNotNull() & (in_gitlab | jp.isNull()), calls(_call("gitlab", "get_issues", project=gp, state=state))))),
-        ("milestones", says("milestones?"), calls(_call("gitlab", "get_milestones", project=gp))),
+        ("milestones", says(r"mile?s?t?o?r?n?e?s?"), calls(_call("gitlab", "get_milestones", project=gp))),
         ("projects", list_projects, calls(_call("gitlab", "list_projects"))),
         ("file", named_file.isNotNull() & own.isNotNull(), calls(_call("gitlab", "get_file", project=own, file_path=known_file))),
         ("environment", says(ENVIRONMENT) & own.isNotNull(), calls(_call("gitlab", "get_file", project=own, file_path=".env.example"), _call("gitlab", "get_file", project=own, file_path="README.md"))),

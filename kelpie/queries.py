@@ -542,13 +542,4 @@ def st1_event_windows(spark, sf_dir):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events),
-n AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, min(ts) AS session_start, count(*) AS n FROM n GROUP BY user_id, k""")
-def st2_sessions(spark, sf_dir):
-    from kelpie.streaming import jobs
-
-    return jobs.sessions(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
-
-
-from kelpie import index_queries, operator_queries, retrieval_queries, rule_queries  # noqa: E402, F401  (add the queries of indexes, single operators, retrieval and rules)
+from kelpie import index_queries, operator_queries, rule_queries, stream_queries  # noqa: E402, F401  (add the queries of indexes, single operators, rules and streams)

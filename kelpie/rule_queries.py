@@ -1,5 +1,4 @@
-"""Queries of rules whose cases the test tables don't hold: literal rows that reach each branch, with the results that the
-rules call for written out in the SQL."""
+"""Queries of the catalogue and of answered questions over the test tables."""
 
 from __future__ import annotations
 
@@ -7,209 +6,8 @@ from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
-from kelpie.functions import intent, text
-from kelpie.operators import context, datasets, serving
-from kelpie.plans import answering, catalogue, routing
+from kelpie.plans import answering, catalogue
 from kelpie.queries import _t, _tickets, query
-from kelpie.sources import landed
-
-# ---- values named in questions --------------------------------------------------------------------------------
-
-_QUESTIONS = [
-    ("a", "issues fixed last week"), ("b", "completed issues since 2024-03-05"), ("c", "pending tickets"), ("d", "tickets in review"), ("e", "bloqué tickets"), ("f", "blocked"), ("g", "open tickets before April 30, 2026"),
-    ("h", "minor bugs"), ("i", "all merged MRs"), ("j", "how many high priority bugs are there"), ("k", "how many bugs, list them"), ("l", "tickets reported by Jane Doe"), ("m", "tickets where Dorian You is the author"),
-    ("n", "Find me the page about the login flow"), ("o", "Tous les bugs en cours de test"), ("p", "wiki page"), ("q", "critical WIP"), ("r", "Dorian You is the reporter"), ("s", "total of trivial items, and why"), ("t", None)]
-
-
-@query("""SELECT * FROM (VALUES
- ('a', 'Done', NULL, 'closed', NULL, NULL, NULL, 'issues fixed last week', false), ('b', 'Done', NULL, 'closed', NULL, '2024-03-05', NULL, 'completed issues since 2024-03-05', false),
- ('c', 'To Do', NULL, 'opened', NULL, NULL, NULL, 'pending tickets', false), ('d', 'In Review', NULL, 'opened', NULL, NULL, NULL, 'tickets review', false), ('e', 'Blocked', NULL, 'opened', NULL, NULL, NULL, 'bloqué tickets', false),
- ('f', 'Blocked', NULL, 'opened', NULL, NULL, NULL, 'blocked', false), ('g', 'Open', NULL, 'opened', NULL, NULL, '2026-04-30', 'open tickets before april 30, 2026', false), ('h', NULL, 'Low', 'opened', NULL, NULL, NULL, 'minor bugs', false),
- ('i', NULL, NULL, 'closed', NULL, NULL, NULL, 'all merged mrs', false), ('j', NULL, 'High', 'opened', NULL, NULL, NULL, 'many high priority bugs there', true), ('k', NULL, NULL, 'opened', NULL, NULL, NULL, 'many bugs, them', false),
- ('l', NULL, NULL, 'opened', 'Jane Doe', NULL, NULL, 'tickets reported by jane doe', false), ('m', NULL, NULL, 'opened', 'Dorian You', NULL, NULL, 'tickets where dorian author', false), ('n', NULL, NULL, 'opened', NULL, NULL, NULL, 'login flow', false),
- ('o', 'In Progress', NULL, 'opened', NULL, NULL, NULL, 'tous les bugs en cours de test', false), ('p', NULL, NULL, 'opened', NULL, NULL, NULL, 'wiki page', false), ('q', 'In Progress', 'Highest', 'opened', NULL, NULL, NULL, 'critical wip', false),
- ('r', NULL, NULL, 'opened', 'Dorian You', NULL, NULL, 'dorian reporter', false), ('s', NULL, 'Lowest', 'opened', NULL, NULL, NULL, 'total of trivial items, and why', false), ('t', NULL, NULL, 'opened', NULL, NULL, NULL, '', false)
-) AS t(id, status, priority, state, reporter, after, before, terms, counts)""")
-def r4_values(spark, sf_dir):
-    q = F.col("q")
-    d = intent.date_bounds(q)
-    return spark.createDataFrame(_QUESTIONS, "id string, q string").select(
-        "id", intent.status_of(q).alias("status"), intent.priority_of(q).alias("priority"), intent.state_of(q).alias("state"), intent.reporter_name(q).alias("reporter"), d["after"].alias("after"), d["before"].alias("before"),
-        intent.search_terms(q).alias("terms"), intent.only_counts(q).alias("counts"))
-
-
-_ASKED = [  # id, question, code project, tracker project, tracker project before, code project before
-    (1, "what is the url of AB-7", None, None, None, None), (2, "are you sure?", None, None, "AB", "g/a"), (3, "any security problem in g/a", "g/a", "AB", None, None), (4, "security report", None, None, None, None),
-    (5, "all merged merge requests", None, None, None, None), (6, "latest commits", None, None, None, None), (7, "commits and merge requests of g/a", "g/a", None, None, None), (8, "issues of the team, list projects", "g/a", "AB", None, None),
-    (9, "gitlab issues, list projects", "g/a", "AB", None, None), (10, "show milestones", None, None, None, None), (11, "list all projects", None, None, None, None), (12, "read the Dockerfile", None, None, None, "g/a"),
-    (13, "which env vars are needed", "g/a", None, None, None), (14, "explain main.py", "g/a", None, None, None), (15, "is there a project named zeta", None, None, None, None), (16, "branches of g/a", "g/a", None, None, None),
-    (17, "directory structure", "g/a", None, None, None), (18, "did the build pass", "g/a", None, None, None), (19, "recent changes", "g/a", None, None, None), (20, "open merge requests", None, None, None, None),
-    (21, "where is the auth middleware", "g/a", None, None, None), (22, "visibility of it", None, None, None, "g/b"), (23, "tickets where Dorian You is the author", None, None, None, None), (24, "what are we working on", None, "AB", None, None),
-    (25, "diff of !12 and #7", "g/a", None, None, None), (26, "status of AB-1 and CD-2 and AB-1", None, "AB", None, None), (27, "urgent jira tickets since 2024-03-05", None, None, None, None), (28, "bug tickets", "g/a", None, None, None),
-    (29, "bug tickets", None, "AB", None, None), (30, "list confluence spaces", None, None, None, None), (31, "recently updated wiki pages in the DEV space", None, None, None, None), (32, "documentation of the login flow", None, None, None, None),
-    (33, "zzz", None, "AB", None, None), (34, "zzz", None, None, None, None), (35, "are you sure?", None, None, None, None), (36, "Done stories by newest in jira", "g/a", "AB", None, None)]
-
-
-@query("""SELECT CAST(id AS BIGINT) AS id, rule, calls FROM (VALUES
- (1, 'link', 'jira.get_issue(issue_key=AB-7)'),
- (2, 'again', 'jira.get_project_issues(limit=100,project_key=AB) gitlab.get_issues(limit=100,project=g/a,state=all) gitlab.get_commits(limit=50,project=g/a)'),
- (3, 'security', 'gitlab.get_issues(limit=30,project=g/a,state=all) jira.get_issues(limit=10,project_key=AB,text=security)'),
- (4, 'security', 'gitlab.get_issues(limit=15,project=g/a,state=all) gitlab.get_issues(limit=15,project=g/b,state=all)'),
- (5, 'all_merge_requests', 'gitlab.get_merge_requests(project=g/a,state=closed) gitlab.get_merge_requests(project=g/b,state=closed)'),
- (6, 'all_commits', 'gitlab.get_commits(limit=5,project=g/a) gitlab.get_commits(limit=5,project=g/b)'),
- (7, 'merge_requests_and_commits', 'gitlab.get_merge_requests(project=g/a,state=opened) gitlab.get_commits(limit=15,project=g/a)'),
- (8, 'issues_of_projects', 'jira.get_project_issues(project_key=AB)'),
- (9, 'issues_of_projects', 'jira.get_project_issues(project_key=AB) gitlab.get_issues(project=g/a,state=opened)'),
- (10, 'milestones', 'gitlab.get_milestones()'), (11, 'projects', 'gitlab.list_projects()'), (12, 'file', 'gitlab.get_file(file_path=Dockerfile,project=g/a)'),
- (13, 'environment', 'gitlab.get_file(file_path=.env.example,project=g/a) gitlab.get_file(file_path=README.md,project=g/a)'),
- (14, 'code_file', 'gitlab.get_file(file_path=main.py,project=g/a)'), (15, 'project_exists', 'gitlab.list_projects()'), (16, 'branches', 'gitlab.get_branches(project=g/a)'),
- (17, 'tree', 'gitlab.get_repository_tree(project=g/a)'), (18, 'pipelines', 'gitlab.get_pipelines(limit=10,project=g/a)'), (19, 'commits', 'gitlab.get_commits(limit=15,project=g/a)'),
- (20, 'merge_requests', 'gitlab.get_merge_requests(project=g/a,state=opened) gitlab.get_merge_requests(project=g/b,state=opened)'),
- (21, 'code_search', 'gitlab.search_code(limit=10,project=g/a,query=middleware) gitlab.get_repository_tree(limit=50,project=g/a,recursive=true)'),
- (22, 'project_info', 'gitlab.get_project_info(project=g/b)'), (23, 'reporter', 'jira.get_issues(limit=100,reporter=Dorian You,sort_by=updated)'),
- (24, 'work_in_progress', 'gitlab.get_merge_requests(project=g/a,state=opened) gitlab.get_merge_requests(project=g/b,state=opened) jira.get_project_issues(limit=10,project_key=AB,status=In Progress)'),
- (25, 'reference', 'gitlab.get_mr_diff(mr_iid=12,project=g/a) gitlab.get_merge_requests(limit=50,project=g/a,state=all) gitlab.get_issues(limit=10,project=g/a,search=7)'),
- (26, 'keys', 'jira.get_issue(issue_key=AB-1) jira.get_issue(issue_key=CD-2)'),
- (27, 'issues', 'jira.get_project_issues(created_after=2024-03-05,limit=10,priority=Highest,project_key=AB) jira.get_project_issues(created_after=2024-03-05,limit=10,priority=Highest,project_key=CD)'),
- (28, 'issues', 'gitlab.get_issues(labels=bug,project=g/a,state=opened)'),
- (29, 'issues', 'gitlab.get_issues(limit=10,project=g/a,state=opened) gitlab.get_issues(limit=10,project=g/b,state=opened) jira.get_project_issues(issue_type=Bug,project_key=AB)'),
- (30, 'spaces', 'confluence.get_spaces()'), (31, 'recent_pages', 'confluence.get_recent_pages(days=7,limit=20,space_key=DEV)'), (32, 'pages', 'confluence.search_pages(limit=10,query=of login flow)'),
- (33, 'project', 'jira.get_project_issues(project_key=AB)'), (34, NULL, ''), (35, NULL, ''),
- (36, 'issues', 'gitlab.get_issues(project=g/a,state=closed) jira.get_project_issues(project_key=AB,sort_by=created,status=Done)')
-) AS t(id, rule, calls)""")
-def r3_rules(spark, sf_dir):
-    rows = spark.createDataFrame(_ASKED, "question_id long, question string, gitlab_project string, jira_project string, last_key string, last_project string")
-    shown = F.transform("calls", lambda c: F.concat(c["source"], F.lit("."), c["operation"], F.lit("("), F.array_join(F.transform(F.array_sort(F.map_entries(c["params"])), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","), F.lit(")")))
-    return routing.route(rows, ["g/a", "g/b", "test/x"], ["AB", "CD"]).select(F.col("question_id").alias("id"), "rule", F.array_join(shown, " ").alias("calls"))
-
-
-@query("""SELECT * FROM (VALUES ('1', 'g/billing-core', 'BIL'), ('2', 'x/shop', 'SHOP'), ('3', NULL, 'PAY'), ('4', 'g/billing', 'BIL'), ('5', NULL, 'PAY'), ('6', NULL, NULL)) AS t(id, gitlab_project, jira_project)""")
-def r9_registry(spark, sf_dir):
-    q = spark.createDataFrame([("1", "issues of billing core please"), ("2", "AUTH-7 in shop"), ("3", "what about PAY-12?"), ("4", "pipelines of G/Billing"), ("5", "paymentservice bugs"), ("6", "nothing named")], "question_id string, question string")
-    projects = spark.createDataFrame([("g/billing", "billing", False), ("g/billing-core", "billing core", False), ("x/shop", "shop", True), ("y/shop", "shop", False)], "path string, name string, preferred boolean")
-    trackers = spark.createDataFrame([("BIL", "Billing Platform", 0), ("SHOP", "Shop", 1), ("PAY", "Payment Service", 2)], "key string, name string, position int")
-    return routing.resolve_projects(q, projects, routing.jira_aliases(trackers)).select(F.col("question_id").alias("id"), "gitlab_project", "jira_project")
-
-
-# ---- code files, secrets ---------------------------------------------------------------------------------------
-
-
-@query("""SELECT * FROM (VALUES ('package-lock.json', false), ('env/a.py', false), ('Makefile', false), ('pom.xml', false), ('Gemfile', true), ('a/target/x.py', true), ('.idea/a.json', true), ('src/a.PY', true), ('node_modules/a.js', false),
- ('Dockerfile', true), ('.env.example', true), ('a/.env', false), ('Cargo.lock', false), ('README.md', true), ('yarn.lock', false), ('docker-compose.yaml', true), ('a.b/c', false), ('.nyc_output/x.json', false), ('a/.bashrc', false),
- ('x/.py', true), ('dist\\a.py', false)) AS t(path, wanted)""")
-def s7_code_files(spark, sf_dir):
-    paths = [
-        "package-lock.json", "env/a.py", "Makefile", "pom.xml", "Gemfile", "a/target/x.py", ".idea/a.json", "src/a.PY", "node_modules/a.js", "Dockerfile", ".env.example", "a/.env", "Cargo.lock", "README.md", "yarn.lock",
-        "docker-compose.yaml", "a.b/c", ".nyc_output/x.json", "a/.bashrc", "x/.py", "dist\\a.py"]
-    return spark.createDataFrame([(p,) for p in paths], "path string").select("path", text.is_code_file(F.col("path")).alias("wanted"))
-
-
-@query("SELECT * FROM (VALUES ('a.py', 153600), ('c.md', 2)) AS t(file_path, size_bytes)")
-def s6_code_contents(spark, sf_dir):
-    """Files up to 150 * 1024 bytes; a larger one, a binary one and one of another kind are left out."""
-    content = lambda n: F.base64(F.repeat(F.lit("x"), F.lit(n)).cast("binary"))
-    rows = [("a.py", content(153_600)), ("b.py", content(153_601)), ("c.md", content(2)), ("d.bin", content(2)), ("e.py", F.base64(F.repeat(F.lit("\x01"), F.lit(60)).cast("binary")))]
-    made = [spark.range(1).select(F.lit(1).cast("long").alias("project_id"), F.lit("p").alias("project_name"), F.lit("g").alias("group_name"), F.lit(p).alias("path"), F.lit("blob").alias("type"), F.lit("main").alias("ref"), c.alias("content_base64"), F.lit("").alias("web_url")) for p, c in rows]
-    tree = made[0]
-    for more in made[1:]:
-        tree = tree.unionByName(more)
-    return landed.code_files(tree).select("file_path", "size_bytes")
-
-
-@query("""SELECT * FROM (VALUES ('AB-1', 'is blocked by', 'CD-2', 'inward'), ('AB-1', 'clones', 'CD-3', 'outward'), ('AB-1', 'relates to', 'CD-4', 'outward')) AS t(issue_key, type, target, direction)""")
-def s9_ticket_links(spark, sf_dir):
-    issue = "struct<key:string,summary:string,status:string>"
-    rows = [("AB-1", [(("x", "is blocked by", "blocks"), ("CD-2", "s", "Open"), ("CD-9", "s", "Open")), (("x", "is cloned by", "clones"), None, ("CD-3", "s", "Open")), ((None, None, None), None, ("CD-4", None, None)), (("x", "i", "o"), None, None)], [("AB-5", "t", "Done")])]
-    raw = spark.createDataFrame(rows, f"issue_key string, links array<struct<type:struct<name:string,inward:string,outward:string>,inwardIssue:{issue},outwardIssue:{issue}>>, subtasks array<{issue}>")
-    return landed.linked_tickets(raw).select("issue_key", F.explode("issue_links").alias("l")).select("issue_key", "l.type", "l.target", "l.direction")
-
-
-# ---- data sets --------------------------------------------------------------------------------------------------
-
-_TURN = "id int, intent string, summary array<string>, scoring_method string, scoring_context_source string, answer string, sources array<struct<source:string>>"
-
-
-@query("""SELECT * FROM (VALUES (1, 'no_live_sentries|no_keys_cited_despite_jira_sources'), (2, ''), (3, 'no_real_context'), (4, ''), (5, 'no_real_context|short_answer(5c)'), (6, 'short_answer(100c)|no_keys_cited_despite_jira_sources'),
- (7, 'short_answer(0c)'), (8, 'no_real_context')) AS t(id, reasons)""")
-def d12_rules(spark, sf_dir):
-    jira, plain = [("jira",)], "some words that go on and on, " * 5
-    rows = [
-        (1, "sentries", None, "validator", None, plain, jira), (2, "sentries", [], "validator", None, plain + "ab-12", jira), (3, "rag", None, "ragas_no_context", None, plain, []), (4, "rag", None, "no_context", "stored_snippets", plain, jira),
-        (5, "rag", None, "ragas", "empty", "short", None), (6, "both", [], "validator", None, plain[:100], jira), (7, "rag", None, None, None, None, None), (8, "both", ["x"], "x", "empty", plain, [("confluence",)])]
-    return datasets.exclusion_reasons(spark.createDataFrame(rows, _TURN)).select("id", F.array_join("reasons", "|").alias("reasons"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'api_refusal'), (2, 'low_faithfulness'), (3, 'temporal_inconsistency'), (4, 'off_topic'), (5, 'code_syntax_error'), (6, 'low_overall_score'), (7, 'low_overall_score'), (8, 'api_refusal')) AS t(id, reason)""")
-def x18_failure_reason(spark, sf_dir):
-    rows = [(1, "I don't have access", 0.1, 1.0, 1.0, None), (2, "x", 0.39, 0.1, 0.1, None), (3, "x", 0.4, 0.49, 0.1, None), (4, "x", 0.4, 0.5, 0.39, 0.1), (5, "x", 0.4, 0.5, 0.4, 0.49), (6, "x", 0.4, 0.5, 0.4, 0.5), (7, None, None, None, None, None), (8, "sorry, I CAN'T query it", 1.0, 1.0, 1.0, 1.0)]
-    scored = spark.createDataFrame(rows, "id int, answer string, faithfulness double, temporal_consistency double, answer_relevance double, code_correctness double")
-    return scored.select("id", datasets.failure_reason().alias("reason"))
-
-
-@query("SELECT * FROM (VALUES (1, 'b: ' || repeat('n', 80) || ' | c:  | d: x'), (2, ''), (3, '')) AS t(id, reasons)")
-def x18_check_reasons(spark, sf_dir):
-    rows = [(1, [("a", 0.0, "ok"), ("b", 0.2, "n" * 90), ("c", 0.1, None), ("d", 0.3, "x"), ("e", 0.3, "y")]), (2, [("a", -0.1, "bonus"), ("b", None, "z")]), (3, None)]
-    return spark.createDataFrame(rows, "id int, checks array<struct<name:string,penalty:double,note:string>>").select("id", datasets.check_reasons(F.col("checks")).alias("reasons"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'family 2.5 for 3; size 3B for 8B'), (2, ''), (3, ''), (4, 'unclear name'), (5, 'family 2.5 for 3'), (6, 'unclear name'), (7, 'size 1.5B for 8B')) AS t(id, issues)""")
-def d13_compatible(spark, sf_dir):
-    rows = [(1, "Qwen/Qwen2.5-3B-Instruct", "qwen3:8b"), (2, "qwen2.5-7b", "Qwen2.5 7B"), (3, "llama-7b", "qwen2.5-7b"), (4, "llama", "qwen2.5-7b"), (5, "qwen 2.5", "qwen-3 4b"), (6, None, "qwen3"), (7, "Phi 1.5b", "llama 8B")]
-    return spark.createDataFrame(rows, "id int, a string, b string").select("id", F.array_join(datasets.mismatches(F.col("a"), F.col("b")), "; ").alias("issues"))
-
-
-@query("SELECT turn_id, CAST(reward_hint AS DOUBLE) AS reward_hint, newest FROM (VALUES (1, 0.9, 1), (2, 0.5, 2), (3, 0.4, 3), (4, NULL, 4)) AS t(turn_id, reward_hint, newest)")
-def d3_rewards(spark, sf_dir):
-    rows = [(4, "sentries", "x", "ragas", 0.9, None, 1), (3, "both", "x", "ragas", 0.9, 0.4, 2), (2, "both", "x", "validator", None, 0.4, 3), (1, "sentries", "x", "validator", 0.9, 0.4, 4), (5, "rag", "x", "validator", 0.9, 0.4, 5), (6, "both", None, "validator", 0.9, 0.4, 6)]
-    scored = spark.createDataFrame(rows, "turn_id int, intent string, answer string, scoring_method string, faithfulness double, weighted_score double, timestamp int").withColumn("sources", F.array().cast("array<string>"))
-    out = datasets.rollouts(scored)
-    return out.select("turn_id", "reward_hint", (F.lit(5) - F.col("timestamp")).alias("newest"))
-
-
-@query("""SELECT id, scoring_method, CAST(faithfulness AS DOUBLE) AS faithfulness, CAST(answer_relevance AS DOUBLE) AS answer_relevance, CAST(token_f1 AS DOUBLE) AS token_f1
-FROM (VALUES (1, 'given', 0.9, 0.8, NULL), (2, 'validator', 0.85, 1.0, 0.75), (3, 'unknown_intent', 0.5, 0.5, NULL)) AS t(id, scoring_method, faithfulness, answer_relevance, token_f1)""")
-def d7_score_samples(spark, sf_dir):
-    rows = [(1, "q", "cat dog", None, None, 0.9, 0.8), (2, "what about AB-1", "AB-1 fixed", "AB-1 fixed today now", "sentries", None, None), (3, "q", "", "something", "chat", None, None)]
-    source = "array<struct<source:string,title:string,url:string,issue_key:string,from_graph:boolean,score:double>>"
-    samples = spark.createDataFrame(rows, "id int, query string, expected_answer string, generated_answer string, intent string, rag_faith double, rag_relevance double")
-    summary = F.array(F.struct(F.lit("jira").alias("source"), F.lit("get_issue").alias("operation"), F.lit(1).cast("long").alias("count"), F.array(F.lit("AB-1: fixed")).alias("titles")))
-    samples = samples.withColumn("sources", F.array(F.struct(F.lit("jira").alias("source"), F.lit("AB-1: fixed").alias("title"), F.lit("").alias("url"), F.lit("AB-1").alias("issue_key"), F.lit(False).alias("from_graph"), F.lit(0.9).alias("score"))).cast(source)).withColumn("summary", summary)
-    return datasets.score_samples(samples, year=2025).select("id", "scoring_method", "faithfulness", "answer_relevance", "token_f1")
-
-
-@query("""SELECT * FROM (VALUES ('strict', 'no_gain'), ('equal', NULL)) AS t(mode, reason)""")
-def d9_allow_equal(spark, sf_dir):
-    averages = spark.createDataFrame([("overall", 0.9, 0.8), ("sentries", 0.8, 0.8)], "intent string, faithfulness double, score double")
-    base = spark.createDataFrame([("v", 0.8)], "version string, score double")
-    one = lambda mode, equal: datasets.gates(averages, base, equal).select(F.lit(mode).alias("mode"), "reason")
-    return one("strict", False).unionByName(one("equal", True))
-
-
-@query("""SELECT * FROM (VALUES ('v3', 'benchmarked', NULL, 1), ('v2', 'deployed', '2024-02-01', 2), ('v1', 'benchmarked', NULL, 3)) AS t(version, status, deployed_at, place)""")
-def d10_registry(spark, sf_dir):
-    rows = spark.createDataFrame([("v1", "benchmarked", None, 1), ("v2", "benchmarked", None, 2), ("v3", "benchmarked", None, 3)], "version string, status string, deployed_at string, registered_at int")
-    listed = datasets.list_versions(datasets.mark_deployed(rows, "v2", F.lit("2024-02-01")))
-    return listed.select("version", "status", "deployed_at", (F.lit(4) - F.col("registered_at")).alias("place"))
-
-
-# ---- review queues ----------------------------------------------------------------------------------------------
-
-
-@query("""SELECT * FROM (VALUES ('1', 'new ' || repeat('x', 60)), ('2', 'old')) AS t(turn_id, chosen)""")
-def a6_save_chosen(spark, sf_dir):
-    chosen = spark.createDataFrame([("1", "old", 1), ("2", "old", 1)], "turn_id string, chosen string, saved_at int")
-    new = spark.createDataFrame([("1", "new " + "x" * 60, 2), ("2", "too short", 2), ("9", "no such turn " + "y" * 60, 2)], "turn_id string, chosen string, saved_at int")
-    return serving.save_chosen(chosen, new, spark.createDataFrame([("1",), ("2",)], "turn_id string")).select("turn_id", "chosen")
-
-
-@query("SELECT * FROM (VALUES ('1'), ('3')) AS t(turn_id)")
-def a6_exclude_restore(spark, sf_dir):
-    turns = spark.createDataFrame([("1",), ("2",), ("3",)], "turn_id string")
-    excluded = serving.exclude(spark.createDataFrame([("1", "by hand", 1), ("2", "by hand", 1)], "turn_id string, reason string, excluded_at int"), spark.createDataFrame([("3", "weak", 2), ("8", "gone", 2)], "turn_id string, reason string, excluded_at int"), turns)
-    return serving.restore(excluded, turns.where("turn_id = '2'")).select("turn_id")
-
-
-# ---- catalogue ----------------------------------------------------------------------------------------------------
 
 
 def _pages(spark, sf_dir):
@@ -228,50 +26,6 @@ def q2_open_by_default(spark, sf_dir):
     return catalogue.run(catalogue.build("gitlab", "get_issues", project="G/A"), {"issues": rows}).select("id")
 
 
-@query("""SELECT * FROM (VALUES ('1', 12, 'T-1'), ('1', 12, 'T-2'), ('3', 31, 'T-4')) AS t(board_id, sprint_id, issue_key)""")
-def q19_sprint_tickets(spark, sf_dir):
-    boards = spark.createDataFrame([("1", "scrum"), ("2", "kanban"), ("3", "scrum"), ("4", "scrum")], "board_id string, type string")
-    sprints = spark.createDataFrame([("1", 10, "S10", "closed", "a"), ("1", 11, "S11", "future", "b"), ("1", 12, "S12", "active", "c"), ("2", 20, "K", "active", "a"), ("3", 31, "F", "future", "a")], "board_id string, sprint_id int, name string, state string, start_date string")
-    tickets = spark.createDataFrame([(12, "T-1", "2"), (12, "T-2", "1"), (11, "T-3", "1"), (31, "T-4", "1"), (20, "T-5", "1")], "sprint_id int, issue_key string, updated string")
-    table = catalogue.sprint_tickets(boards, sprints, tickets)
-    out = [catalogue.run(catalogue.build("jira", "get_sprint_issues", board_id=b), {"sprint_tickets": table.withColumn("board_id", F.col("board_id").cast("int"))}) for b in ("1", "3")]
-    return out[0].unionByName(out[1]).select(F.col("board_id").cast("string").alias("board_id"), "sprint_id", "issue_key")
-
-
-@query("""SELECT * FROM (VALUES ('AB-1', 'jo', 'status', 'Open', 'Done'), ('AB-1', 'jo', 'priority', NULL, 'High'), ('AB-1', 'al', 'status', 'Done', 'Open')) AS t(issue_key, author, field, old, new)""")
-def q17_changelog(spark, sf_dir):
-    rows = [("AB-1", [("jo", "2024-01-01", [("status", "Open", "Done"), ("priority", None, "High")]), ("al", "2024-01-02", [("status", "Done", "Open")])]), ("AB-2", [])]
-    histories = spark.createDataFrame(rows, "issue_key string, values array<struct<author:string,created:string,items array<struct<field:string,fromString:string,toString:string>>>>".replace("items array", "items:array"))
-    spec = catalogue.build("jira", "get_issue_changelog", issue_key="ab-1")
-    return catalogue.run(spec, {"ticket_changes": catalogue.changelog(histories)}).select("issue_key", "author", "field", F.col("from").alias("old"), F.col("to").alias("new"))
-
-
-@query("""SELECT * FROM (VALUES ('AB-1', 'status:Done, priority:High'), ('AB-2', '')) AS t(issue_key, changes)""")
-def q16_issue_with_changes(spark, sf_dir):
-    changes = spark.createDataFrame([("AB-1", "jo", "2024-01-02", "priority", None, "High"), ("AB-1", "jo", "2024-01-01", "status", "Open", "Done")], "issue_key string, author string, changed_at string, field string, from string, to string")
-    table = catalogue.with_changes(spark.createDataFrame([("AB-1",), ("AB-2",)], "issue_key string"), changes)
-    one = lambda k: catalogue.run(catalogue.build("jira", "get_issue", issue_key=k, include_changelog="true"), {"tickets_with_changes": table})
-    return one("AB-1").unionByName(one("AB-2")).select("issue_key", F.array_join(F.transform("changes", lambda c: F.concat(c["field"], F.lit(":"), c["to"])), ", ").alias("changes"))
-
-
-@query("""SELECT * FROM (VALUES ('g/a', 'dev', 'A'), ('g/b', 'main', 'B')) AS t(project_path, ref, content)""")
-def q7_file_at_default(spark, sf_dir):
-    files = spark.createDataFrame([("g/a", "x.py", "main", "old"), ("g/a", "x.py", "dev", "A"), ("g/b", "x.py", "main", "B"), ("g/b", "x.py", "dev", "no")], "project_path string, file_path string, ref string, content string")
-    projects = spark.createDataFrame([("g/a", "dev"), ("g/b", None)], "project_path string, default_branch string")
-    table = catalogue.files_at_refs(files, projects)
-    one = lambda p: catalogue.run(catalogue.build("gitlab", "get_file", project=p, file_path="x.py"), {"files_at_ref": table})
-    return one("g/a").unionByName(one("g/b")).select("project_path", "ref", "content")
-
-
-@query("""SELECT * FROM (VALUES ('Jane', 'u1'), ('Bob Roe', 'u2'), ('Zed', 'Zed'), ('Ann Lee Jr', 'u3')) AS t(name, account)""")
-def q21_account_of(spark, sf_dir):
-    users = spark.createDataFrame([("u1", "Jane Doe"), ("u2", "bob roe"), ("u0", "Old Bob Roe"), ("u3", "Ann Lee"), ("u9", None)], "account_id string, display_name string")
-    return catalogue.account_of(spark.createDataFrame([("Jane",), ("Bob Roe",), ("Zed",), ("Ann Lee Jr",)], "name string"), users)
-
-
-# ---- questions end to end ----------------------------------------------------------------------------------------------
-
-
 @query("""WITH h AS (SELECT least(10, count(*)) AS n FROM orders WHERE o_orderpriority = '2-HIGH'), o AS (SELECT least(100, count(*)) AS n FROM orders WHERE o_orderstatus = 'F')
 SELECT '1' AS question_id, 'issues' AS rule, true AS counts, 'Total: ' || h.n || CASE WHEN h.n = 10 THEN '+' ELSE '' END || chr(10) || chr(10) || '  * JIRA [ORD] -- get_project_issues: ' || h.n || CASE WHEN h.n = 10 THEN '+' ELSE '' END
   || chr(10) || chr(10) || '  (filtered by: priority=High)' || CASE WHEN h.n = 10 THEN chr(10) || '  (+ = fetch limit reached; actual count may be higher)' ELSE '' END AS text FROM h
@@ -287,49 +41,3 @@ def z10_answers(spark, sf_dir):
     tickets = _tickets(spark, sf_dir).withColumn("priority", F.initcap(F.regexp_extract("priority", r"\d-(\w+)", 1)))
     alone = answering.answer(rows.where("question_id in ('1', '2', '4')"), {"tickets": tickets}, [], ["ORD"])
     return alone.unionByName(answering.answer(rows.where("question_id = '3'"), {"tickets": tickets}, ["g/a"], [])).unionByName(answering.answer(rows.where("question_id = '5'"), {"tickets": tickets}, [], []))
-
-
-_SOURCE = "array<struct<source:string,title:string,url:string,issue_key:string,from_graph:boolean,score:double>>"
-
-
-@query("""SELECT id, CAST(penalty AS DOUBLE) AS penalty FROM (VALUES (1, 0.0), (2, 0.0), (3, -0.05), (4, 0.15), (5, 0.0), (6, 0.2), (7, 0.0), (8, 0.2), (9, 0.0), (10, 0.1), (11, 0.0)) AS t(id, penalty)""")
-def x13_summary_coverage(spark, sf_dir):
-    """The penalty of an answer against the live summary: not kept, kept empty, and kept with titles."""
-    from kelpie.operators import evaluate
-
-    mine, none, kept = [("jira", "AB-1: x", "http://j/AB-1", "AB-1", False, 0.9)], [], lambda *titles: [("jira", "get_issues", 1, list(titles))]
-    rows = [
-        (1, "q", "AB-9 is open", none, None), (2, "q", "AB-9 is open", mine, []), (3, "q", "there are no results", none, []), (4, "q", "AB-9 is open", none, []), (5, "what of AB-9", "AB-9 is open", none, []),
-        (6, "q", "AB-8, AB-9 and AB-1", none, kept("AB-1: x")), (7, "q", "AB-1 and AB-9", none, kept("AB-1: x")), (8, "q", "merged in !14", none, kept("!12 fix")), (9, "and !14?", "merged in !14", none, kept("!12 fix")),
-        (10, "q", "no issues were found", none, kept("AB-1: x")), (11, "q", "all is well", none, kept("AB-1: x"))]
-    turns = spark.createDataFrame(rows, f"id int, query string, answer string, sources {_SOURCE}, summary array<struct<source:string,operation:string,count:long,titles:array<string>>>")
-    checks = evaluate.validator_checks(F.col("query"), F.col("answer"), F.col("sources"), F.col("summary"))
-    return turns.select("id", F.element_at(F.filter(checks, lambda c: c["name"] == "sentries_summary_coverage"), 1)["penalty"].alias("penalty"))
-
-
-# ---- context ------------------------------------------------------------------------------------------------------------
-
-_RESULTS = "id int, r array<struct<source:string,operation:string,success:boolean,error:string,items:array<array<struct<name:string,value:string>>>>>"
-
-
-@query(r"""SELECT * FROM (VALUES
- (1, '[JIRA → get_issues]' || chr(10) || '  title: ' || repeat('t', 300) || '…' || chr(10) || '  description: ' || repeat('d', 400) || '…' || chr(10) || '---' || chr(10) || '  title: b'),
- (2, '[GITLAB → get_file]' || chr(10) || '  content:' || chr(10) || '   1  x = 1' || chr(10) || '   2  y' || chr(10) || chr(10) || '[JIRA → get_issue]' || chr(10) || 'Error: no' || chr(10) || chr(10) || '[JIRA → get_boards]' || chr(10) || 'No results found.'),
- (3, '[A → o]' || chr(10) || '  title: ' || repeat('t', 120) || '…' || chr(10) || '---' || chr(10) || '  title: b' || chr(10) || '---' || chr(10) || '  title: b' || chr(10) || chr(10) || '  … and 2 more items'),
- (4, '(no live API results)'), (5, '(live APIs returned no usable data)'), (6, '(no live API results)')) AS t(id, text)""")
-def w4_live_results(spark, sf_dir):
-    title = lambda n: [("title", "t" * n)]
-    rows = [
-        (1, [("jira", "get_issues", True, None, [[*title(301), ("description", "d" * 401), ("content", "hidden"), ("empty", ""), ("comments", "c")], [("title", "b")]])]),
-        (2, [("gitlab", "get_file", True, None, [[("content", "x = 1\ny")]]), ("jira", "get_issue", False, "no", []), ("jira", "get_boards", True, None, [])]),
-        (3, [("a", "o", True, None, [title(130), *[[("title", "b")]] * 4]), ("b", "o", False, "e", []), ("c", "o", True, None, []), ("d", "o", True, None, [[("text", "left out")]])]),
-        (4, []), (5, [("a", "o", True, None, [[("text", "left out")]])]), (6, None)]
-    return spark.createDataFrame(rows, _RESULTS).select("id", context.live_results(F.col("r")).alias("text"))
-
-
-@query(r"""SELECT * FROM (VALUES (1, '[1] [JIRA] issue — Login' || chr(10) || '    Score: 0.912' || chr(10) || '    Key: AB-1  |  Priority: High' || chr(10) || '    ' || repeat('x', 600) || chr(10) || chr(10) || '[2] [?]  — Untitled' || chr(10) || '    Score: 0.000' || chr(10) || '    '),
- (2, '(knowledge base returned no relevant documents)'), (3, '(no knowledge-base results)')) AS t(id, text)""")
-def w3_knowledge_results(spark, sf_dir):
-    s = "struct<source:string,source_type:string,title:string,score:double,issue_key:string,status:string,priority:string,assignee:string,project:string,url:string,text:string>"
-    rows = [(1, [("jira", "issue", "Login", 0.9123, "AB-1", None, "High", "", None, None, "x" * 700), (None,) * 11]), (2, []), (3, None)]
-    return spark.createDataFrame(rows, f"id int, s array<{s}>").select("id", context.knowledge_results(F.col("s")).alias("text"))

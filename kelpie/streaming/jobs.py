@@ -1,16 +1,16 @@
-"""Incremental jobs: scoring of new turns, rolling checks, carry-over of context, event-time windows."""
+"""Incremental jobs: scoring of new turns, event-time windows, sessions, first events."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from kelpie.operators import evaluate
+from kelpie.streaming import stateful
 
 
 def files(spark: SparkSession, schema, path: str, per_trigger: int = 100, format: str = "parquet") -> DataFrame:
@@ -19,27 +19,53 @@ def files(spark: SparkSession, schema, path: str, per_trigger: int = 100, format
 
 def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Appends what the stream gives for all files that are there, as Parquet. Batches without data are switched off, since
-    a timeout of a state by the clock calls for them without end."""
-    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
+    a timeout of a state by the clock calls for them without end. State is kept by RocksDB, as stateful processors ask."""
+    with _settings(stream.sparkSession):
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    finally:
-        conf.set(name, before)
     q.awaitTermination()
 
 
-def score_turns(turns: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Scores each new turn once and appends it; a batch that runs again overwrites itself."""
+def drain_whole(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """As ``drain``, for results that change until the stream ends: each batch writes the whole result anew."""
+    with _settings(stream.sparkSession):
+        q = stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    ours = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.stateStore.providerClass": stateful.ROCKSDB}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def score_turns(turns: DataFrame, out: str, checkpoint: str, once: bool = True, score: Callable[[DataFrame], DataFrame] = evaluate.evaluate, written: Callable[[int], None] = lambda number: None) -> StreamingQuery:
+    """Scores each new turn once. A batch writes its rows to a folder of its own, overwriting what an attempt that was cut
+    off has left there, and then enters itself in the ledger; ``scored_turns`` reads only what the ledger names. So a stream
+    that is killed at any point and started again from its checkpoint gives each turn once. ``written`` is called between
+    the two."""
 
     def write(batch: DataFrame, number: int) -> None:
-        evaluate.evaluate(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        score(batch).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        written(number)
+        batch.sparkSession.range(1).select(F.lit(number).cast("long").alias("number")).coalesce(1).write.mode("overwrite").parquet(f"{out}/ledger/batch={number}")
 
     w = turns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="5 minutes")).start()
 
 
+def scored_turns(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of the batches that are in the ledger."""
+    done = [r["number"] for r in spark.read.parquet(f"{out}/ledger").select("number").distinct().collect()]  # a number a batch
+    return spark.read.parquet(f"{out}/rows").where(F.col("batch").isin(done))
+
+
 def event_windows(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums by event type in tumbling or sliding windows; later events are dropped."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
@@ -52,27 +78,3 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
-
-
-def carry_context(turns: DataFrame, timeout: str = "1 day") -> DataFrame:
-    """(conversation_id, turn, project, ticket): the last project and ticket named in the conversation so far.
-    State is two strings a conversation, and is dropped after a day without turns. The turns that one micro-batch brings of a
-    conversation are put in order within an Arrow batch (10,000 rows by default), so a micro-batch should bring no more."""
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        project, ticket = state.get if state.exists else (None, None)
-        for batch in batches:
-            rows = []
-            for r in batch.sort_values("turn").itertuples():
-                project, ticket = r.project if isinstance(r.project, str) else project, r.ticket if isinstance(r.ticket, str) else ticket
-                rows.append((key[0], r.turn, project, ticket))
-            yield pd.DataFrame(rows, columns=["conversation_id", "turn", "project", "ticket"])
-        state.update((project, ticket))
-        state.setTimeoutDuration(86_400_000)
-
-    return turns.groupBy("conversation_id").applyInPandasWithState(follow, "conversation_id string, turn long, project string, ticket string", "project string, ticket string", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
