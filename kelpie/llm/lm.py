@@ -402,10 +402,12 @@ def _spread(docs: DataFrame, text: str, total: int) -> dict[int, int]:
             w = Words(column(b, text))
             times = np.bincount(w.codes, minlength=len(w.dictionary)).astype(np.int64)
             keep = times >= max(1, int(len(w.codes) * SHARE / 4))
-            yield pa.RecordBatch.from_arrays([pa.array(w.hashes()[keep].view(np.int64)), pa.array(times[keep]), pa.array(np.full(int(keep.sum()), len(w.codes)))], ["word", "times", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([*w.hashes()[keep].view(np.int64).tolist(), None], pa.int64()), pa.array([*times[keep].tolist(), len(w.codes)], pa.int64())], ["word", "times"])
 
-    rows = docs.where(share).select(text).coalesce(1).mapInArrow(count, "word long, times long, n long").groupBy("word").agg((F.sum("times") / F.sum("n")).alias("share")).where(F.col("share") >= SHARE).orderBy(F.desc("share"), "word").limit(int(1 / SHARE)).collect()
-    return {r["word"] % (1 << 64): 1 + int(r["share"] / SHARE) for r in rows}
+    # a word rare in a batch isn't told of by it, which changes its share by a quarter of the bound at most; null: all words
+    counted = docs.where(share).select(text).mapInArrow(count, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    rows = counted.orderBy(F.desc("times"), F.col("word").asc_nulls_first()).limit(1 + int(1 / SHARE)).collect()  # the first is all words
+    return {r["word"] % (1 << 64): 1 + int(r["times"] / rows[0]["times"] / SHARE) for r in rows[1:] if r["times"] >= SHARE * rows[0]["times"]}
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
