@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions.text import issue_key_of, link_relation, page_id_of
+from kelpie.sources.sinks import staged
 
 EDGE = ["src_type", "src", "rel", "dst_type", "dst"]
 
@@ -84,28 +85,55 @@ def stats(nodes: DataFrame, edges_: DataFrame) -> DataFrame:
 
 def both_ways(edges_: DataFrame) -> DataFrame:
     e = edges_.select("src", "rel", "dst", F.xxhash64("src", "rel", "dst").alias("edge"))
-    return e.unionByName(e.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"), "edge"))
+    return e.unionByName(e.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"), "edge")).distinct()  # a loop is one step
 
 
 def expand(edges_: DataFrame, seeds: DataFrame, hops: int = 2, rels: list[str] | None = None) -> DataFrame:
-    """(seed, neighbor, rel, distance): nodes within ``hops`` undirected steps of each seed(key), by paths that use
-    no edge twice; rel is the first step's type, distance the least for that seed, neighbor and rel."""
+    """(seed, neighbor, rel, distance): nodes within ``hops`` undirected steps of each seed(key), by paths that use no edge
+    twice; rel is the first step's type, distance the least for that seed, neighbor and rel.
+
+    Searched breadth first, level by level, with a table of what is visited for each (seed, rel, node): a node goes on once
+    for each of at most two neighbors of the seed (``via``) that paths to it begin with, so a level has at most
+    2 x seeds x rels x nodes rows, whatever the number of paths. Paths that come back to the seed are not walked: the
+    shortest way round, which two different first neighbors of one node tell, plus the distance by any first step, is all
+    they can add. A repeated edge is one edge; equal distances make one row; a null end matches nothing."""
     e = edges_.where(F.col("rel").isin(rels)) if rels else edges_
-    step = both_ways(e)
-    path = seeds.select(F.col("key").cast("string").alias("seed")).distinct().join(step, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("at"), F.col("rel").alias("first_rel"), F.array("edge").alias("used"))
-    found = path.select("seed", "at", "first_rel", F.lit(1).alias("distance"))
+    step = staged(both_ways(e.where("src is not null and dst is not null")), "steps")
+    start = seeds.select(F.col("key").cast("string").alias("seed")).distinct().join(step, F.col("seed") == F.col("src")).where("dst <> seed")
+    start = staged(start.select("seed", F.col("rel").alias("first"), F.col("dst").alias("node"), "edge"), "start")
+    id = ["seed", "first", "node"]
+    seen = staged(start.select(*id, F.col("node").alias("via"), F.lit(None).cast("string").alias("other"), F.lit(1).alias("near"), F.lit(None).cast("int").alias("second")).distinct(), "seen")
+    front = seen.select(*id, F.col("via").alias("label"))
     for h in range(2, hops + 1):
-        path = path.join(step.withColumnRenamed("src", "at"), "at").where(~F.array_contains("used", F.col("edge"))).select("seed", F.col("dst").alias("at"), "first_rel", F.array_append("used", F.col("edge")).alias("used"))
-        found = found.unionByName(path.select("seed", "at", "first_rel", F.lit(h).alias("distance")))
-    return found.where("at <> seed").groupBy("seed", F.col("at").alias("neighbor"), F.col("first_rel").alias("rel")).agg(F.min("distance").alias("distance"))
+        to = front.join(step.select(F.col("src").alias("node"), "dst"), "node").where("dst <> seed")
+        found = to.groupBy("seed", "first", F.col("dst").alias("node")).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        both = found.join(seen, id, "full")
+        a, b = F.col("via"), F.col("other")
+        fresh = F.when(F.col("lo") != a, F.col("lo")).when(F.col("hi") != a, F.col("hi"))
+        new_via = F.coalesce(a, F.col("lo"))
+        new_other = F.when(b.isNotNull(), b).when(a.isNull(), F.when(F.col("hi") != F.col("lo"), F.col("hi"))).otherwise(fresh)
+        after = staged(both.select(
+            *id, new_via.alias("via"), new_other.alias("other"), F.coalesce("near", F.lit(h)).alias("near"),
+            F.coalesce("second", F.when(new_other.isNotNull(), F.lit(h))).alias("second")), "seen")
+        seen = after
+        front = seen.select(*id, F.explode(F.array(F.when(F.col("near") == h, F.col("via")), F.when(F.col("second") == h, F.col("other")))).alias("label")).where("label is not null")
+    # the shortest way round: to a neighbor of the seed by another neighbor, or back by a second edge of the first one
+    ends = start.select("seed", "node").distinct()
+    around = seen.join(ends, ["seed", "node"]).select("seed", "first", (F.when(F.col("via") != F.col("node"), F.col("near")).otherwise(F.col("second")) + 1).alias("around"))
+    double = start.join(start.groupBy("seed", "node").agg(F.count_distinct("edge").alias("n")).where("n > 1").select("seed", "node"), ["seed", "node"]).select("seed", "first", F.lit(2).alias("around"))
+    loops = start.select("seed").distinct().join(step.where("src = dst"), F.col("seed") == F.col("src")).select("seed", F.col("rel").alias("first"), F.lit(1).alias("around"))
+    around = around.unionByName(double).unionByName(loops).groupBy("seed", "first").agg(F.min("around").alias("around"))
+    straight = seen.groupBy("seed", "node").agg(F.min("near").alias("near"))
+    again = around.join(straight, "seed").select(*id, (F.col("around") + F.col("near")).alias("distance")).where(F.col("distance") <= hops)
+    return seen.select(*id, F.col("near").alias("distance")).unionByName(again).groupBy("seed", F.col("node").alias("neighbor"), F.col("first").alias("rel")).agg(F.min("distance").alias("distance"))
 
 
 def expand_chunks(edges_: DataFrame, seeds: DataFrame, chunks: DataFrame, hops: int = 2, max_expand: int = 20, rels: list[str] | None = None) -> DataFrame:
-    """Of nodes near the seeds that own a chunk (chunks: owner, chunk_id, chunk_index): neighbor, rel, the least
-    distance and the first chunk; the nearest ``max_expand``."""
-    near = expand(edges_, seeds, hops, rels).groupBy("neighbor", "rel").agg(F.min("distance").alias("distance"))
+    """Of the nodes near each seed that own a chunk (chunks: owner, chunk_id, chunk_index): seed, neighbor, rel, distance
+    and the first chunk; the nearest ``max_expand`` of each seed."""
     first = chunks.groupBy(F.col("owner").cast("string").alias("neighbor")).agg(F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("chunk_id"))
-    return near.join(first, "neighbor").orderBy("distance", "neighbor", "rel").limit(max_expand)
+    w = Window.partitionBy("seed").orderBy("distance", "neighbor", "rel")
+    return expand(edges_, seeds, hops, rels).join(first, "neighbor").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_expand).drop("_n")
 
 
 def ticket_context(tickets: DataFrame, chunks: DataFrame, edges_: DataFrame, keys: list[str], n_chunks: int = 3, n_links: int = 8) -> DataFrame:

@@ -542,4 +542,4 @@ def st1_event_windows(spark, sf_dir):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from kelpie import index_queries, operator_queries, rule_queries, stream_queries  # noqa: E402, F401  (add the queries of indexes, single operators, rules and streams)
+from kelpie import graph_queries, index_queries, operator_queries, rule_queries, stream_queries  # noqa: E402, F401  (add their queries)

@@ -97,7 +97,7 @@ def g8_page_chunks(spark):
     pairs = [("2", "CHILD_OF", "1"), ("4", "CHILD_OF", "1"), ("5", "CHILD_OF", "1"), ("6", "CHILD_OF", "4"), ("2", "IN_SPACE", "7")]
     e = spark.createDataFrame([("page", s, r, "page", d) for s, r, d in pairs], "src_type string, src string, rel string, dst_type string, dst string")
     chunks = spark.createDataFrame([("1", "c11", 1), ("1", "c10", 0), ("4", "c41", 3), ("6", "c60", 0), ("7", "c70", 0)], "owner string, chunk_id string, chunk_index int")
-    return graph.expand_chunks(e, spark.createDataFrame([("2",)], "key string"), chunks, rels=["CHILD_OF"])
+    return graph.expand_chunks(e, spark.createDataFrame([("2",)], "key string"), chunks, rels=["CHILD_OF"]).drop("seed")
 
 
 @case("SELECT * FROM (VALUES (1, 'd1'), (2, 'd2'), (3, 'h3')) AS t(rank, chunk_id)")
