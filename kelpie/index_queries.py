@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kelpie.operators import vector_index, vectors
+from kelpie.operators import text_index, vector_index, vectors
 from kelpie.queries import _DOT, _t, query
 from kelpie.sources import sinks
 
@@ -34,3 +34,15 @@ def e7_quantized_search(spark, sf_dir):
     """All rows by their codes, then what could be among the best by its vector."""
     index, asked = _index(spark, sf_dir)
     return vector_index.search(index, asked, 10, probes=0).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+# ---- texts ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT q.doc_id AS needle_id, d.doc_id FROM documents q JOIN documents d ON contains(lower(d.text), lower(substr(q.text, 11, 14))) WHERE q.doc_id % 20 = 0")
+def q25_substring_index(spark, sf_dir):
+    """A stretch of every twentieth document, looked up in all documents."""
+    rows = _t(spark, sf_dir, "documents")
+    index = text_index.build(rows, sinks.scratch(spark, "texts"), "doc_id", "text")
+    needles = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("needle_id"), F.substring("text", 11, 14).alias("needle"))
+    return text_index.search(index, needles, "needle_id", "needle", "doc_id")
