@@ -9,8 +9,9 @@ reads the block's range, finds its lines by binary search there, and then reads
 Ranges with small gaps between them are read together. A file's name has the id of the attempt that wrote it, so
 what a lost or repeated attempt leaves behind is in no table and never read.
 
-Files are written and read with Arrow's file systems, so the shared folder's scheme must be one of theirs (file,
-hdfs, s3, gs).
+Archives grow to ``archive_bytes`` and are read in stretches of ``RUN_BYTES``, so that large ones are spread over
+tasks. Files are written and read with Arrow's file systems, so the shared folder's scheme must be one of theirs (file,
+hdfs, s3, gs), or one of Hadoop's other names for them (s3a, s3n).
 
 Of records with equal payloads, the one with the largest id is a response, the others are revisits of it.
 
@@ -39,7 +40,10 @@ from pyspark.sql import functions as F
 
 from kelpie.llm._common import column, discard, partitions, shared_dir, shared_folder, staged
 
-ARCHIVE_BYTES = 1_000_000
+#: Bytes after which an archive or index file is closed.
+ARCHIVE_BYTES = 1_000_000_000
+#: Stretch of an archive that one row of work reads, and one read takes at most.
+RUN_BYTES = 4_000_000
 BLOCK_LINES = 2_000
 #: Ranges with a gap up to this are read together.
 GAP_BYTES = 4_096
@@ -108,7 +112,7 @@ def responders(pages: DataFrame, key: str, payload: str, min_bytes: int = 0) ->
 
 
 def _files(base: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(base if ":/" in base else "file://" + base)
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", base) if ":/" in base else "file://" + base)
 
 
 class _Writer:
@@ -141,11 +145,11 @@ class _Writer:
 
 def read_ranges(file, ranges: list[tuple[int, int]]) -> Iterator[bytes]:
     """The bytes of the ranges (offset, length), sorted by offset, of an open file; ranges with gaps of at most
-    ``GAP_BYTES`` come by one read, of ``ARCHIVE_BYTES`` and one range at most."""
+    ``GAP_BYTES`` come by one read, of ``RUN_BYTES`` and one range at most."""
     i = 0
     while i < len(ranges):
         begin, end, j = ranges[i][0], sum(ranges[i]), i + 1
-        while j < len(ranges) and ranges[j][0] - end <= GAP_BYTES and end - begin < ARCHIVE_BYTES:
+        while j < len(ranges) and ranges[j][0] - end <= GAP_BYTES and end - begin < RUN_BYTES:
             end, j = max(end, sum(ranges[j])), j + 1
         file.seek(begin)
         held = file.read(end - begin)
@@ -154,7 +158,7 @@ def read_ranges(file, ranges: list[tuple[int, int]]) -> Iterator[bytes]:
         i = j
 
 
-def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Captures (line, archive, offset, length) of the archive files, which are in the shared folder."""
     spark = pages.sparkSession
     base, folder = _place(spark, "archives")
@@ -164,7 +168,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     rows = rows.select("id", "url", "payload", F.when(F.col("id").isNull() | (F.col("id") != F.col("responder")), F.col("responder")).alias("refers_to"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = _Writer(base, folder, ARCHIVE_BYTES)
+        writer = _Writer(base, folder, archive_bytes)
         for b in batches:
             out = []
             for id, link, text, refers in zip(*(column(b, c).to_pylist() for c in ("id", "url", "payload", "refers_to"))):
@@ -270,7 +274,8 @@ def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
 def range_read(archives: DataFrame, places: DataFrame) -> DataFrame:
     """The records at places(archive, offset, length), each read by its range: id, type, refers_to, size and
     digest of the payload in the record, the stated digest, and the URL. Other bytes of the archives aren't read."""
-    ranges = places.groupBy("archive").agg(F.sort_array(F.collect_set(F.struct("offset", "length"))).alias("ranges"))  # an archive is of bounded size
+    run = F.floor(F.col("offset") / RUN_BYTES).alias("run")  # a run is of bounded size
+    ranges = places.groupBy("archive", run).agg(F.sort_array(F.collect_set(F.struct("offset", "length"))).alias("ranges")).drop("run")
     names = [x.split()[0] for x in RECORD.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
     base = shared_dir(archives.sparkSession)
