@@ -398,6 +398,27 @@ def x12_evaluate_turns(spark, sf_dir):
     return evaluate.evaluate(_turns(spark, sf_dir), year=2025).select("turn_id", "intent", "faithfulness", "answer_relevance", "temporal_consistency", "weighted_score", "failure_tags", "quality_grade", "training_signal")
 
 
+_LETTERS = "aeinrst"
+_SUPPORT = """a AS (SELECT p.conv_id, p.turn, p.answer, d.text FROM pairs p JOIN documents d ON d.doc_id = p.conv_id WHERE p.answer IS NOT NULL),
+said AS (SELECT conv_id, turn, s, pos FROM (SELECT conv_id, turn, unnest(x) AS s, unnest(range(len(x))) AS pos FROM (
+  SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) >= 16) AS x FROM a))),
+seen AS (SELECT conv_id, turn, substr(text, CAST(i * 160 + 1 AS BIGINT), 200) AS w FROM (SELECT conv_id, turn, text, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - 1) // 160 + 1 END)) AS i FROM a)),
+best AS (SELECT said.conv_id, said.turn, pos, max(CASE WHEN list_sum(VS) = 0 OR list_sum(VW) = 0 THEN 0 ELSE list_dot_product(VS, VW) / sqrt(list_dot_product(VS, VS) * list_dot_product(VW, VW)) END) AS best FROM said JOIN seen USING (conv_id, turn) GROUP BY ALL)
+SELECT a.conv_id, a.turn, coalesce(round(avg(CASE WHEN best > 0.97 THEN 1.0 WHEN best IS NOT NULL THEN 0.0 END), 4), 0.5) AS faithfulness FROM a LEFT JOIN best USING (conv_id, turn) GROUP BY a.conv_id, a.turn"""
+for _n, _c in (("VS", "s"), ("VW", "w")):
+    _SUPPORT = _SUPPORT.replace(_n, "[" + ", ".join(f"CAST(length({_c}) - length(replace({_c}, '{x}', '')) AS DOUBLE)" for x in _LETTERS) + "]")
+
+
+@query(f"WITH {_PAIRS}, {_SUPPORT}")
+def x2_sentence_support(spark, sf_dir):
+    """Answers against the document of their conversation's number, by counts of letters as vectors."""
+    embed = lambda c: F.array(*[(F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("double") for x in _LETTERS])
+    rows = _pairs(spark, sf_dir).where("answer is not null").join(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), "text"), "conv_id")
+    rows = rows.select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "conv_id", "turn", "answer", F.array("text").alias("contexts"))
+    found = evaluate.approximate_faithfulness(rows, "turn_id", embed, 0.97)
+    return rows.select("turn_id", "conv_id", "turn").join(found, "turn_id").select("conv_id", "turn", "faithfulness")
+
+
 @query()
 def x16_summary(spark, sf_dir):
     return evaluate.summary(evaluate.evaluate(_turns(spark, sf_dir), year=2025))
