@@ -143,7 +143,16 @@ def _chunks(spark, sf_dir):
     return chunking.chunk_documents(docs)
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, source || chr(10) || chr(10) || text AS t FROM documents),
+w AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS k, CAST('' AS VARCHAR) AS piece FROM d
+  UNION ALL
+  SELECT doc_id, t, n, CASE WHEN e - OVERLAP > b THEN e - OVERLAP ELSE greatest(e, b + 1) END, k + 1, regexp_replace(substr(t, b + 1, e - b), '^\\s+|\\s+$', '', 'g') FROM (
+    SELECT *, b + CASE WHEN b + SIZE >= n THEN SIZE WHEN p > 0 THEN p WHEN q > 0 THEN q + 1 WHEN r > 0 THEN r ELSE SIZE END AS e FROM (
+      SELECT *, length(x) - 2 - length(list_last(string_split(x, chr(10) || chr(10)))) AS p, length(x) - 2 - length(list_last(string_split(x, '. '))) AS q, length(x) - 1 - length(list_last(string_split(x, ' '))) AS r
+      FROM (SELECT *, substr(t, b + 1, SIZE) AS x FROM w WHERE b < n)))),
+c AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS total FROM w WHERE k > 0 AND piece <> '')
+SELECT 'doc_' || doc_id || '_chunk_' || i AS chunk_id, 'doc_' || doc_id AS parent_document_id, i AS chunk_index, total AS total_chunks, length(piece) // 4 AS token_count, md5(piece) AS text_md5 FROM c""".replace("OVERLAP", str(chunking.OVERLAP)).replace("SIZE", str(chunking.CHUNK)))
 def c2_chunk_documents(spark, sf_dir):
     return _chunks(spark, sf_dir).select("chunk_id", "parent_document_id", "chunk_index", "total_chunks", "token_count", F.md5("text").alias("text_md5"))
 
@@ -419,22 +428,14 @@ def x2_sentence_support(spark, sf_dir):
     return rows.select("turn_id", "conv_id", "turn").join(found, "turn_id").select("conv_id", "turn", "faithfulness")
 
 
-@query()
-def x16_summary(spark, sf_dir):
-    return evaluate.summary(evaluate.evaluate(_turns(spark, sf_dir), year=2025))
-
-
-@query()
-def d12_exclusion_reasons(spark, sf_dir):
-    return datasets.exclusion_reasons(evaluate.evaluate(_turns(spark, sf_dir), year=2025)).groupBy("reasons").agg(F.count("*").alias("n"))
+def _found(words: str) -> str:
+    return f"len(regexp_extract_all(text, '(?i)\\b(?:{words})\\b'))".replace("'t", "''t")
 
 
-@query()
-def d3_rollouts(spark, sf_dir):
-    return datasets.rollouts(evaluate.evaluate(_turns(spark, sf_dir), year=2025)).select("turn_id", "intent", "reward_hint")
-
-
-@query()
+@query(f"""WITH m AS (SELECT conv_id, turn, regexp_matches(text, '{intent.KEY}') AS key, regexp_matches(text, '(?i){intent.FILE_NAME}') AS named, {_found(intent.LIVE)} AS l, {_found(intent.KNOWLEDGE)} AS docs, {_found(intent.BOTH)} AS wide
+  FROM conversations WHERE role = 'user'), n AS (SELECT *, l + CASE WHEN key THEN 2 ELSE 0 END + CASE WHEN named THEN 2 ELSE 0 END AS live FROM m)
+SELECT conv_id, turn, CASE WHEN key AND docs > 0 THEN 'both' WHEN live > 0 AND docs = 0 THEN 'sentries' WHEN docs > 0 AND live = 0 THEN 'rag' WHEN live > 0 AND wide > 0 THEN 'both'
+  WHEN docs > 0 AND live > docs + 1 THEN 'sentries' WHEN live > 0 AND docs > live + 1 THEN 'rag' ELSE 'both' END AS intent FROM n""")
 def r1_intents(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", intent.route_of(F.col("text")).alias("intent"))
 
@@ -563,4 +564,4 @@ def st1_event_windows(spark, sf_dir):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from kelpie import graph_queries, index_queries, operator_queries, rule_queries, source_queries, stream_queries, temporal_queries  # noqa: E402, F401  (add their queries)
+from kelpie import graph_queries, index_queries, operator_queries, rule_queries, source_queries, stream_queries, temporal_queries, turn_queries  # noqa: E402, F401  (add their queries)
