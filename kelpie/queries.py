@@ -429,7 +429,8 @@ def x2_sentence_support(spark, sf_dir):
 
 
 def _found(words: str) -> str:
-    return f"len(regexp_extract_all(text, '(?i)\\b(?:{words})\\b'))".replace("'t", "''t")
+    """The matches as words; letters beyond ASCII are no word boundary, which the SQL engine has to be told by a letter."""
+    return f"len(regexp_extract_all(regexp_replace(text, '[\\x{{C0}}-\\x{{24F}}]', 'z', 'g'), '(?i)\\b(?:{words})\\b'))".replace("'t", "''t")
 
 
 @query(f"""WITH m AS (SELECT conv_id, turn, regexp_matches(text, '{intent.KEY}') AS key, regexp_matches(text, '(?i){intent.FILE_NAME}') AS named, {_found(intent.LIVE)} AS l, {_found(intent.KNOWLEDGE)} AS docs, {_found(intent.BOTH)} AS wide
@@ -440,12 +441,6 @@ def r1_intents(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", intent.route_of(F.col("text")).alias("intent"))
 
 
-@query()
-def r3_route(spark, sf_dir):
-    rows = _t(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"), F.when(F.col("conv_id") % 2 == 0, "group/app").alias("gitlab_project"), F.when(F.col("conv_id") % 3 == 0, "APP").alias("jira_project"), F.lit("APP").alias("last_key"))
-    return routing.calls_of(routing.route(rows, ["group/app", "group/web"], ["APP", "WEB"])).groupBy("source", "operation").agg(F.count("*").alias("n"))
-
-
 @query("SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) AS rolling FROM events")
 def x17_rolling_series(spark, sf_dir):
     return evaluate.rolling_series(_t(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id").select("event_type", "event_id", F.round("rolling", 6).alias("rolling"))
