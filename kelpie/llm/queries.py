@@ -53,6 +53,27 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT *, t || repeat(' ', CAST(greatest(192, (n + 191) // 192 * 192) - n AS INT)) AS payload, greatest(192, (n + 191) // 192 * 192) AS size FROM d),
+m AS (SELECT *, 'P6' || chr(10) || '64 ' || size // 192 || chr(10) || '255' || chr(10) || payload AS media, size // 192 AS height, hex(encode(payload)) AS h FROM p),
+tail AS (
+  SELECT r, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(16), lambda i: CAST('0x' || substr(right(h, 32), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda v, w: xor(v >> 1, 3988292384 * (v & 1)))), CAST(4294967295 AS BIGINT)) AS crc FROM m),
+samples AS (SELECT r, height, i, CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT) AS v FROM (SELECT r, height, h, unnest(range(size)) AS i FROM m)),
+means AS (SELECT r, printf('%.2f,%.2f,%.2f', avg(v) FILTER (i % 3 = 0), avg(v) FILTER (i % 3 = 1), avg(v) FILTER (i % 3 = 2)) AS told FROM samples GROUP BY r),
+sums AS (SELECT r, i // 192 AS y, i // 24 % 8 AS x, sum(v) AS v FROM samples GROUP BY ALL),
+bands AS (SELECT r, height, g, least(g * height // 8, height - 1) AS a FROM m, (SELECT unnest(range(8)) AS g)),
+ranges AS (SELECT r, g, a, coalesce((SELECT min(o.a) FROM bands o WHERE o.r = bands.r AND o.a > bands.a), height) AS b FROM bands),
+grid AS (SELECT ranges.r, g, x, sum(v) / (any_value(b - a) * 8) AS v FROM ranges JOIN sums ON sums.r = ranges.r AND y >= a AND y < b GROUP BY ALL),
+bits AS (SELECT r, g, sum(CASE WHEN v >= mean THEN 1 << (7 - x) ELSE 0 END) AS byte FROM (SELECT *, avg(v) OVER (PARTITION BY r) AS mean FROM grid) GROUP BY r, g),
+hash AS (SELECT r, string_agg(printf('%02x', CAST(byte AS BIGINT)), '' ORDER BY g) AS told FROM bits GROUP BY r)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(payload) AS payload_sha256, crc AS tail_crc32, octet_length(encode(media)) AS media_bytes, sha256(media) AS media_sha256,
+  hash.told || ':' || means.told AS feature, position, n || ' bytes' AS caption
+FROM m JOIN tail USING (r) JOIN means USING (r) JOIN hash USING (r), (SELECT 1 AS position)
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -112,6 +133,21 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, p, hash(substr(h, CAST(2 * p + 1 AS BIGINT), 400)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM d)),
+hit AS (SELECT r, p FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+cut AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM hit)),
+spans AS (SELECT r, run, min(p) AS a, max(p) + 200 AS b FROM cut GROUP BY r, run),
+kept AS (
+  SELECT r, a - coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS n, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS f FROM spans
+  UNION ALL SELECT d.r, length(h) // 2 - coalesce(max(b), 0), coalesce(max(b), 0) FROM d LEFT JOIN spans ON spans.r = d.r GROUP BY d.r, h),
+whole AS (SELECT r, string_agg(substr(h, CAST(2 * f + 1 AS BIGINT), CAST(2 * n AS BIGINT)), '' ORDER BY f) AS k FROM kept JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(sums.n, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN whole USING (r) LEFT JOIN sums USING (r)
+"""
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.summarise(_read(spark, sf_dir, "documents"))
 
@@ -269,4 +305,4 @@ FROM own JOIN sums USING (key) LEFT JOIN own up ON up.key = own.parent
 
 
 QUERIES = {"op11_conversation_trie": op11_conversation_trie, "op12_url_filters": op12_url_filters, "op13_source_divergence": op13_source_divergence, "op1_token_counts": op1_token_counts, "op3_lm_scoring": op3_lm_scoring, "op4_jaccard_join": op4_jaccard_join, "op9_suffix_dedup": op9_suffix_dedup, "op2_toxicity": op2_toxicity, "op7_decontamination": op7_decontamination, "op10_warc": op10_warc, "op5_media_columns": op5_media_columns, "op6_packing": op6_packing, "op8_chat_formatting": op8_chat_formatting}
-ORACLES = {"op11_conversation_trie": OP11_SQL, "op12_url_filters": OP12_SQL, "op13_source_divergence": OP13_SQL, "op4_jaccard_join": OP4_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL, "op8_chat_formatting": OP8_SQL}
+ORACLES = {"op5_media_columns": OP5_SQL, "op9_suffix_dedup": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op12_url_filters": OP12_SQL, "op13_source_divergence": OP13_SQL, "op4_jaccard_join": OP4_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL, "op8_chat_formatting": OP8_SQL}
