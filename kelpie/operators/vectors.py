@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors multiplied at once; more are taken in blocks of this many.
 BLOCK = 4_096
+#: Of these, so many are compared with a batch of rows at a time.
+TILE = 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,15 +49,20 @@ def search(rows: DataFrame, query: list[float], k: int = 10, vector: str = "embe
     hits = hits.where(where) if where is not None else hits
     hits = hits.withColumn("score", dot(F.col(vector), F.array(*[F.lit(float(x)) for x in query])))
     hits = hits.where(F.col("score") >= at_least) if at_least is not None else hits
-    return hits.orderBy(F.desc("score"), *[c for c in rows.columns if c != vector][:1]).limit(k)
+    tie = [c for c in rows.columns if c != vector][:1]
+    best = hits.orderBy(F.desc("score"), *tie).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *tie)))  # k rows
 
 
 def search_many(rows: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", exclude_self: bool = True) -> DataFrame:
     """(query_id, id, score, rank) of the k nearest rows for each query: exact.
 
     The queries are a stated set, taken in blocks of bounded size; each block is multiplied with every batch of
-    rows, and each batch hands on k rows a query, so what is shuffled is bounded by batches, not by rows."""
+    rows, and each batch hands on k rows a query, so what is shuffled is bounded by batches, not by rows. A
+    vector that is null, empty or has a null finds nothing and is not found; other lengths than the queries' are an error."""
     spark = rows.sparkSession
+    there = (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
+    queries = queries.where(there)
     n = queries.count()
     blocks = [queries.where(F.pmod(F.xxhash64(query_id), F.lit(-(-n // BLOCK))) == i) for i in range(-(-n // BLOCK))] if n > BLOCK else [queries]
     schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {id} {rows.schema[id].dataType.simpleString()}, score double"
@@ -69,24 +76,26 @@ def search_many(rows: DataFrame, queries: DataFrame, k: int, id: str = "vec_id",
 
         def near(batches: Iterator[pa.RecordBatch], q=q, ids=ids) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                have = b.filter(pa.compute.greater(pa.compute.list_value_length(b.column(1)), 0))
-                if not have.num_rows:
+                if not b.num_rows:
                     continue
-                keys = have.column(0)
-                m = have.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(have.num_rows, -1)
-                s = q @ m.T
-                if exclude_self:
-                    place = {x: i for i, x in enumerate(keys.to_pylist())}
-                    for i, x in enumerate(ids):
+                keys = b.column(0)
+                sizes = set(np.diff(b.column(1).offsets.to_numpy()).tolist()) | {q.shape[1]}
+                if len(sizes) > 1:
+                    raise ValueError(f"vectors of lengths {sorted(sizes)}")
+                m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                place = {x: i for i, x in enumerate(keys.to_pylist())} if exclude_self else {}
+                for at in range(0, len(ids), TILE):
+                    s = q[at : at + TILE] @ m.T
+                    for i, x in enumerate(ids[at : at + TILE]):
                         if x in place:
                             s[i, place[x]] = -np.inf
-                top = min(k, s.shape[1])
-                # rounded as ranked below, ties kept by id: take all that reach the k-th score
-                kth = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
-                i, j = np.nonzero((s >= kth[:, None] - 1e-9) & np.isfinite(s))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i.tolist()], held.schema.field(0).type), keys.take(pa.array(j)), pa.array(s[i, j])], [query_id, id, "score"])
+                    top = min(k, s.shape[1])
+                    # rounded as ranked below, ties kept by id: take all that reach the k-th score
+                    kth = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
+                    i, j = np.nonzero((s >= kth[:, None] - 1e-9) & np.isfinite(s))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[at + x] for x in i.tolist()], held.schema.field(0).type), keys.take(pa.array(j)), pa.array(s[i, j])], [query_id, id, "score"])
 
-        out = out.unionByName(rows.select(id, vector).mapInArrow(near, schema))
+        out = out.unionByName(rows.where(there).select(id, vector).mapInArrow(near, schema))
     w = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

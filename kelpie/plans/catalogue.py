@@ -6,6 +6,7 @@ DataFrame, so filters and columns reach the scan. ``OPERATIONS`` maps source.ope
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
@@ -58,6 +59,12 @@ def condition(name: str, op: str, value: object) -> Column:
             return _any_contains(names, str(value[1]))
         case "not empty":
             return c.isNotNull() & (c.cast("string") != "")
+        case "!=":  # a row without a value differs too
+            return ~c.eqNullSafe(F.lit(value))
+        case "exists":
+            return c.isNotNull() if value else c.isNull()
+        case "or":  # any of several conditions
+            return functools.reduce(lambda a, b: a | b, [F.coalesce(condition(*one), F.lit(False)) for one in value], F.lit(False))
     raise ValueError(f"unknown operator {op}")
 
 

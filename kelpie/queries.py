@@ -559,4 +559,4 @@ def st1_event_windows(spark, sf_dir):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from kelpie import graph_queries, index_queries, operator_queries, rule_queries, source_queries, stream_queries, temporal_queries, turn_queries  # noqa: E402, F401  (add their queries)
+from kelpie import catalogue_queries, graph_queries, index_queries, operator_queries, rule_queries, source_queries, stream_queries, temporal_queries, turn_queries  # noqa: E402, F401  (add their queries)

@@ -80,3 +80,13 @@ def test_recall_and_pruning_on_the_table(spark, sf_dir, tmp_path):
     assert "PartitionFilters: [" in scan._jdf.queryExecution().toString() and scan.count() == index.sizes[lists].sum() < 0.5 * index.sizes.sum()
     r = vector_index.reread(index, asked, 10).first()
     assert r.compared == asked.count() * df.count() and r.reread < 0.2 * r.compared
+
+
+def test_search_many_passes_over_vectors_with_nulls(spark):
+    from kelpie.operators import vectors
+
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [None, 1.0]), (4, None), (5, [])], "vec_id long, embedding array<double>")
+    got = vectors.search_many(df, df.withColumnRenamed("vec_id", "query_id"), 3).collect()
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(1, 2), (2, 1)]
+    with pytest.raises(Exception, match="lengths"):
+        vectors.search_many(df.unionByName(spark.createDataFrame([(9, [1.0])], df.schema)), df.where("vec_id = 1").withColumnRenamed("vec_id", "query_id"), 3).collect()
