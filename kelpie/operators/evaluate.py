@@ -310,9 +310,19 @@ def rolling_quality(scored: DataFrame, time: str, score: str, baseline: float, l
     return out.select("n", F.round("mean", 4).alias("rolling"), F.round(F.lit(baseline) - F.col("mean"), 4).alias("regression"), (F.lit(baseline) - F.col("mean") > alarm).alias("alert"))
 
 
-def rolling_series(scored: DataFrame, by: str, time: str, score: str, tie: str, last: int = 50) -> DataFrame:
-    """For each row the mean of its and the preceding scores of its group, ``last`` at most. Groups are cut into
-    ranges of (time, tie), and each range is handed the rows of its group just before it."""
+def rolling_series(scored: DataFrame, by: str, time: str, score: str, tie: str, last: int = 50, large: int = 1_000_000) -> DataFrame:
+    """For each row the mean of its and the preceding scores of its group, ``last`` at most. Groups of over ``large`` rows
+    are cut into ranges, so that one group is not one task's work; the others take one window."""
+    hot = [r[by] for r in scored.groupBy(by).count().where(F.col("count") > large).select(by).collect()]  # one of ``large`` rows at most
+    is_hot = F.coalesce(F.col(by).isin([x for x in hot if x is not None]), F.lit(None in hot)) if hot else F.lit(False)
+    w = Window.partitionBy(by).orderBy(time, tie).rowsBetween(-(last - 1), 0)
+    small = scored.where(~is_hot).withColumn("rolling", F.avg(score).over(w))
+    return small.unionByName(_ranged_series(scored.where(is_hot), by, time, score, tie, last)) if hot else small
+
+
+def _ranged_series(scored: DataFrame, by: str, time: str, score: str, tie: str, last: int) -> DataFrame:
+    """As ``rolling_series``: groups are cut into ranges of (time, tie), and each range is handed the rows of its group just
+    before it."""
     ranged = staged(scored.repartitionByRange(max(2, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))), by, time, tie).withColumn("__part", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy(by, "__part").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))

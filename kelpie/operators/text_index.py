@@ -1,13 +1,13 @@
 """Substring search by a trigram index: postings of byte trigrams narrow the rows, texts of what is left are verified.
 
-``build`` writes two tables: the texts in blocks of ``BLOCK`` rows, and for each trigram and block the rows that hold it
-(a sorted list of numbers in two bytes each), in ranges of trigrams so that a scan for a few of them skips the other row
-groups by their statistics. Letters are compared without case, as ``lower`` has it.
+``build`` writes two tables: the texts in blocks of ``BLOCK`` rows, and for each trigram and block the rows that hold it (a
+list of numbers, or a bit for each row where that is shorter), in ranges of trigrams so that a scan for a few of them skips
+the other row groups by their statistics. Letters are compared without case, as ``lower`` has it.
 
-``search`` takes of each needle the ``RAREST`` trigrams with the fewest rows, intersects their lists block by block, reads
-the blocks that are left (a filter on the block number, pushed into the scan), and keeps rows that do contain the needle.
-The trigrams are only a filter, so results are those of a scan of all texts. A needle of fewer than three bytes has no
-trigram: it is searched in all texts.
+``search`` takes up to ``GRAMS`` trigrams of each needle, reads their postings, intersects them block by block, reads the
+blocks that are left (a filter on the block number, pushed into the scan), and keeps rows that do contain the needle. The
+trigrams are only a filter, so results are those of a scan of all texts. Needles go in passes of ``NEEDLES``; what moves is
+each wanted posting once a pass, and the candidates. A needle of fewer than three bytes is searched in all texts.
 
 Defined cases: null texts contain nothing; an empty needle is in every text that isn't null; a null needle is in none; long
 texts are indexed whole; repeated rows are found each; an empty table finds nothing.
@@ -21,13 +21,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.sources.sinks import staged
 
-BLOCK = 512
-RAREST = 4
+BLOCK = 4_096
+GRAMS, NEEDLES = 32, 20_000
 #: Rows of a text file's row group, so that a filter on blocks skips groups.
 PARQUET_BLOCK = 1 << 20
 
@@ -49,6 +49,22 @@ def trigrams(data: bytes) -> np.ndarray:
     return np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) if len(b) > 2 else np.zeros(0, np.int32)
 
 
+def packed(rows: np.ndarray) -> bytes:
+    """A list of two bytes a row, or the bits of a block."""
+    if 16 * len(rows) < BLOCK:
+        return rows.astype("<u2").tobytes()
+    return np.packbits(np.isin(np.arange(BLOCK), rows)).tobytes()
+
+
+def bits(rows: bytes) -> np.ndarray:
+    """The bits of a block."""
+    if 8 * len(rows) == BLOCK:
+        return np.frombuffer(rows, np.uint8)
+    out = np.zeros(BLOCK, bool)
+    out[np.frombuffer(rows, "<u2")] = True
+    return np.packbits(out)
+
+
 def build(rows: DataFrame, path: str, id: str, text: str) -> TextIndex:
     kind = rows.schema[id].dataType.simpleString()
 
@@ -74,9 +90,8 @@ def build(rows: DataFrame, path: str, id: str, text: str) -> TextIndex:
                 if not len(grams):
                     continue
                 start = np.concatenate([[0], 1 + np.flatnonzero(np.diff(grams))])
-                offsets = (np.append(start, len(grams)) * 2).astype(np.int32)
-                lists = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(rows_.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(grams[start]), pa.array(np.full(len(start), one)), lists], ["gram", "block", "rows"])
+                lists = [packed(x) for x in np.split(rows_, start[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(grams[start]), pa.array(np.full(len(start), one)), pa.array(lists, pa.binary())], ["gram", "block", "rows"])
 
     placed = rows.select(id, F.lower(F.col(text).cast("string")).alias("lowered")).mapInArrow(numbered, f"block long, row int, `{id}` {kind}, lowered string")
     placed.write.mode("overwrite").option("parquet.block.size", PARQUET_BLOCK).parquet(f"{path}/texts")
@@ -88,41 +103,56 @@ def build(rows: DataFrame, path: str, id: str, text: str) -> TextIndex:
 
 
 def _grams(needles: DataFrame) -> DataFrame:
+    """number and grams: different trigrams of the needle, ``GRAMS`` at most."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, needle in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                grams = trigrams(needle.as_buffer().to_pybytes()) if needle.is_valid else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(grams), pa.int64()), pa.array(grams, pa.int32())], ["number", "gram"])
-
-    return needles.select("number", "lowered").mapInArrow(cut, "number long, gram int")
+            found = [trigrams(x.as_buffer().to_pybytes()) for x in b.column(1)]
+            found = [g if len(g) <= GRAMS else g[np.linspace(0, len(g) - 1, GRAMS).astype(int)] for g in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["number", "grams"])
+
+    return needles.select("number", "lowered").mapInArrow(cut, "number long, grams array<int>").where(F.size("grams") > 0)
+
+
+def _meeting(numbers: np.ndarray, sets: list[np.ndarray]):
+    """Rows of a block that have all trigrams of a needle, for each needle."""
+    def meet(table: pa.Table) -> pa.Table:
+        have: dict[int, np.ndarray] = {}
+        for g, rows_ in zip(table["gram"].to_pylist(), table["rows"].to_pylist(), strict=True):
+            have[g] = have[g] | bits(rows_) if g in have else bits(rows_)
+        found, at = [], []
+        for n, grams in zip(numbers.tolist(), sets, strict=True):
+            left = None
+            for g in grams.tolist():
+                left = None if g not in have else have[g] if left is None else left & have[g]
+                if left is None or not left.any():
+                    left = None
+                    break
+            if left is not None:
+                hits = np.flatnonzero(np.unpackbits(left))
+                found.append(np.full(len(hits), n))
+                at.append(hits)
+        row = np.concatenate(at) if at else np.zeros(0, np.int64)
+        return pa.table({"number": pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64()), "block": pa.array(np.full(len(row), table["block"][0].as_py()), pa.int64()), "row": pa.array(row, pa.int32())})
+
+    return meet
 
 
 def candidates(index: TextIndex, needles: DataFrame) -> DataFrame:
-    """number, block and row of each text that may contain the needle: it has the needle's rarest trigrams."""
+    """number, block and row of each text that has the trigrams of the needle."""
     spark = needles.sparkSession
     asked = staged(_grams(needles), "grams")
-    wanted = asked.select("gram").distinct()
-    n = wanted.count()
-    postings = index.postings(spark)
-    if n <= 4_096:  # few enough for a filter that the scan can use
-        postings = postings.where(F.col("gram").isin([r["gram"] for r in wanted.collect()]))
-    found = staged(postings.join(wanted, "gram", "left_semi"), "lists")
-    common = found.groupBy("gram").agg(F.sum(F.length("rows")).alias("size"))
-    rank = F.row_number().over(Window.partitionBy("number").orderBy("size", "gram"))
-    # a trigram that no text has leaves its needle without rows
-    sized = asked.join(common, "gram", "left").withColumn("size", F.coalesce("size", F.lit(0))).withColumn("rank", rank).where(F.col("rank") <= RAREST)
-    sized = sized.withColumn("needed", F.count("*").over(Window.partitionBy("number")))
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(3).to_pylist()
-            sizes = np.array([len(x) // 2 for x in lists], np.int64)
-            rows_ = np.frombuffer(b"".join(lists), np.uint16).astype(np.int32)
-            at = np.repeat(np.arange(len(lists)), sizes)
-            yield pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array(at)) for i in range(3)], pa.array(rows_)], ["number", "needed", "block", "row"])
-
-    hits = found.join(sized, "gram").select("number", "needed", "block", "rows").mapInArrow(unpacked, "number long, needed long, block long, row int")
-    return hits.groupBy("number", "block", "row").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n = needed").select("number", "block", "row")
+    passes = -(-asked.count() // NEEDLES)
+    out = spark.createDataFrame([], "number long, block long, row int")
+    for i in range(passes):
+        held = asked.where(F.pmod(F.xxhash64("number"), F.lit(passes)) == i).toArrow()
+        numbers, sets = held["number"].to_numpy(), [np.array(g) for g in held["grams"].to_pylist()]
+        wanted = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.int32)
+
+        postings = index.postings(spark)
+        if len(wanted) <= 4_096:  # few enough for a filter that the scan can use
+            postings = postings.where(F.col("gram").isin(wanted.tolist()))
+        out = out.unionByName(postings.groupBy("block").applyInArrow(_meeting(numbers, sets), "number long, block long, row int"))
+    return out
 
 
 def search(index: TextIndex, needles: DataFrame, needle_id: str, needle: str, id: str) -> DataFrame:

@@ -228,7 +228,9 @@ def test_rolling_series_spreads_a_group(spark, last):
     kinds = ["big"] * 40 + ["small", None]
     rows = [(rng.choice(kinds), rng.choice([None, *range(300)]), i, float(rng.randint(0, 99))) for i in range(1500)]
     df = spark.createDataFrame(rows, "kind string, ts int, id long, value double")
-    got = evaluate.rolling_series(df, "kind", "ts", "value", "id", last)
+    got = evaluate.rolling_series(df, "kind", "ts", "value", "id", last, large=100)
+    plain = evaluate.rolling_series(df, "kind", "ts", "value", "id", last)
+    assert sorted(map(tuple, plain.select("id", "rolling").collect())) == sorted(map(tuple, got.select("id", "rolling").collect()))
     want = {}
     for kind in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == kind), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
