@@ -262,28 +262,28 @@ def context_of(turns: DataFrame, retrieved: DataFrame, id: str) -> DataFrame:
 
 
 def closest(said: DataFrame, seen: DataFrame, id: str) -> DataFrame:
-    """(id, s, best): for each vector ``a`` of said(id, s, a) the largest cosine with a vector ``b`` of seen(id, b) of its id,
-    0 with a vector without length. Vectors meet in blocks of one id, by a matrix product each, so neither pairs nor all
-    vectors of an id are ever rows of one task; what a block adds is one number a vector."""
-    blocks = lambda df, c, size, more: df.withColumn("_n", F.floor(F.row_number().over(Window.partitionBy(id, "_salt").orderBy(*more)) / size)).groupBy(id, "_salt", "_n").agg(*[F.collect_list(x).alias(x) for x in c])
-    left = blocks(said.select(id, "s", "a", F.pmod(F.col("s"), F.lit(8)).alias("_salt")), ["s", "a"], CLOSEST_BLOCK, ["s"]).drop("_salt", "_n")
-    right = blocks(seen.select(id, "b", F.pmod(F.xxhash64("b"), F.lit(8)).alias("_salt")), ["b"], CLOSEST_BLOCK, ["b"]).drop("_salt", "_n")
+    """(id, s, best): for each vector ``a`` of said(id, s, a) the largest cosine with a vector ``b`` of seen(id, w, b) of its
+    id, 0 with a vector without length; s and w number the vectors of an id. Vectors meet in blocks of one id, by a matrix
+    product each, so neither pairs nor all vectors of an id are ever rows of one task; a block adds one number a vector."""
+    blocks = lambda df, c, n: df.groupBy(id, F.floor(F.col(n) / CLOSEST_BLOCK).alias(f"_{n}")).agg(*[F.collect_list(x).alias(x) for x in c])
     kind = said.schema[id].dataType.simpleString()
 
     def unit(lists: pa.Array) -> np.ndarray:
-        m = np.array(lists.to_pylist(), np.float64)
+        m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
         length = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            for i in range(batch.num_rows):
-                s, a, b = (batch.column(names.index(c))[i].values for c in ("s", "a", "b"))
-                best = (unit(a) @ unit(b).T).max(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(names.index(id))[i].as_py()] * len(best), batch.schema.field(id).type), s.cast(pa.int64()), pa.array(best)], [id, "s", "best"])
+            s, a, b = (batch.column(names.index(c)) for c in ("s", "a", "b"))
+            each = [(unit(a[i].values) @ unit(b[i].values).T).max(axis=1) for i in range(batch.num_rows)]
+            if each:
+                sizes = np.array([len(x) for x in each])
+                yield pa.RecordBatch.from_arrays([batch.column(names.index(id)).take(pa.array(np.repeat(np.arange(len(each)), sizes))), s.flatten().cast(pa.int64()), pa.array(np.concatenate(each))], [id, "s", "best"])
 
-    return left.join(right, id).mapInArrow(compare, f"`{id}` {kind}, s long, best double").groupBy(id, "s").agg(F.max("best").alias("best"))
+    met = blocks(said, ["s", "a"], "s").select(id, "s", "a").join(blocks(seen, ["b"], "w").select(id, "b"), id)
+    return met.mapInArrow(compare, f"`{id}` {kind}, s long, best double").groupBy(id, "s").agg(F.max("best").alias("best"))
 
 
 def approximate_faithfulness(rows: DataFrame, id: str, embed, threshold: float = 0.45) -> DataFrame:
@@ -291,7 +291,7 @@ def approximate_faithfulness(rows: DataFrame, id: str, embed, threshold: float =
     threshold; 0.5 where there is nothing to compare. rows: id, answer, contexts. ``embed`` maps a text column to
     a vector column."""
     said = rows.select(id, F.posexplode(sentences(F.col("answer"))).alias("s", "sentence")).select(id, "s", embed(F.col("sentence")).alias("a"))
-    seen = rows.select(id, F.explode(F.flatten(F.transform("contexts", lambda c: windows(c)))).alias("w")).select(id, embed(F.col("w")).alias("b"))
+    seen = rows.select(id, F.posexplode(F.flatten(F.transform("contexts", lambda c: windows(c)))).alias("w", "window")).select(id, "w", embed(F.col("window")).alias("b"))
     share = closest(said, seen, id).groupBy(id).agg(F.round(F.avg(F.when(F.col("best") > threshold, 1.0).otherwise(0.0)), 4).alias("faithfulness"))
     return rows.select(id).join(share, id, "left").select(id, F.coalesce("faithfulness", F.lit(0.5)).alias("faithfulness"))
 

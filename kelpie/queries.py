@@ -319,6 +319,7 @@ WHERE CASE WHEN n_graph > 0 THEN CASE WHEN from_graph THEN own <= least(n_graph,
 def h1_hybrid_search(spark, sf_dir):
     """Ten hits for each query: vector candidates, neighbours of their parents in a ring of parents, cap, quota."""
     rows, hits = _hits(spark, sf_dir)
+    hits = sinks.staged(hits, "hits")  # three plans read them
     parents = rows.groupBy("label").agg(F.min("vec_id").alias("first")).withColumn("i", F.row_number().over(Window.orderBy("label")) - 1)
     n = parents.agg(F.count("*").alias("n"))
     following = parents.crossJoin(F.broadcast(n)).select(F.col("label").alias("src"), F.pmod(F.col("i") + 1, F.col("n")).alias("i"))  # one row
@@ -353,9 +354,9 @@ tok AS (SELECT conv_id, turn, s, w, count(*) AS n FROM (SELECT conv_id, turn, 'q
   UNION ALL SELECT conv_id, turn, 'a', unnest(regexp_extract_all(lower(coalesce(answer, '')), '[\p{{L}}\p{{N}}_]+')) FROM pairs) WHERE w NOT IN ({_F1_STOP}) GROUP BY ALL),
 size AS (SELECT conv_id, turn, sum(n) FILTER (s = 'q') AS q, sum(n) FILTER (s = 'a') AS a FROM tok GROUP BY ALL),
 both_ AS (SELECT x.conv_id, x.turn, sum(least(x.n, y.n)) AS b FROM tok x JOIN tok y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.w = y.w AND x.s = 'q' AND y.s = 'a' GROUP BY ALL)
-SELECT conv_id, turn, coalesce(round(2 * b / (q + a), 4), 0) AS f1 FROM pairs LEFT JOIN size USING (conv_id, turn) LEFT JOIN both_ USING (conv_id, turn)""")
+SELECT conv_id, turn, coalesce(round_even(2 * b / (q + a), 4), 0) AS f1 FROM pairs LEFT JOIN size USING (conv_id, turn) LEFT JOIN both_ USING (conv_id, turn)""")
 def d6_token_f1(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("conv_id", "turn", datasets.token_f1(F.col("query"), F.col("answer")).alias("f1"))
+    return datasets.token_f1_rows(_pairs(spark, sf_dir), ["conv_id", "turn"], "query", "answer").select("conv_id", "turn", "f1")
 
 
 @query("""SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN left(text, 12) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS topic FROM conversations""")

@@ -46,3 +46,10 @@ def test_catalogue_status(spark):
     assert catalogue.status(ops, calls).where("failures = 1").count() == 1
     s = spark.createDataFrame([([("s1",), ("s2",)],), ([],)], "s array<struct<name:string>>").select(catalogue.sprint_name(F.col("s")).alias("r")).collect()
     assert [x.r for x in s] == ["s2", None]
+
+
+def test_token_f1_both_ways(spark):
+    rows = [(1, "red red blue", "red blue green"), (2, "", "x"), (3, None, None), (4, "the of", "red"), (5, "b a b a", "a b b b"), (6, "same", "same"), (7, "x" * 300, "y")]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    short = {r.id: r.f for r in df.select("id", datasets.token_f1(F.col("a"), F.col("b")).alias("f")).collect()}
+    assert short == {r.id: r.f1 for r in datasets.token_f1_rows(df, ["id"], "a", "b").collect()} == {1: 0.6667, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.8, 6: 1.0, 7: 0.0}
