@@ -1,6 +1,7 @@
 """From raw documents to packed sequences: five stages, each written as Parquet and read again by the next.
 
-Every stage works on all documents that its predecessor kept. All but the last return the columns of
+Every stage works on all documents that its predecessor kept, on whole texts however long. No stage's
+decision depends on the order of rows; where texts tie, the stage says which stays. All but the last return the columns of
 ``documents``; the last returns one row per piece of a packed document.
 """
 

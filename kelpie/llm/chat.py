@@ -8,9 +8,10 @@ conversations), so a conversation that holds many rows is spread over tasks unti
 Template: ``<|im_start|>role<|im_sep|>content<|im_end|>\\n``. Inside roles and texts each ``<``, k backslashes,
 ``|`` gets one more backslash, so ``<|`` occurs in control strings only and the escape can be undone.
 
-Defined cases: null role or text is empty; a null conv_id is a conversation of its own; null turns come first;
-rows that share a turn are ordered by role, then text; repeated rows are kept; an unknown part type is rendered
-as text; an attachment without a token count has one token; an empty table gives no conversations.
+Defined cases: null role or text is empty; a null conv_id is a conversation of its own; null turns come first; rows
+that share a turn are ordered by role, then text; repeated rows are kept; a long text is one part like any other; an
+unknown part type is rendered as text; an attachment without a token count has one token; an empty table gives no
+conversations.
 """
 
 from __future__ import annotations

@@ -9,10 +9,11 @@ diagonals (position minus offset), which the other terms then confirm. Terms are
 Items are a stated query set. They are searched in blocks of bounded size, each against the whole index.
 
 Words: A-Z lower-cased, then runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.
-Defined cases: a null or empty text has no words and is never contaminated; an item without words matches
-nothing; one of fewer words than a window is one window; items of equal text are all reported, those of equal
-id once; an item with a null id marks words but is not listed; repeated documents are judged each by itself; an
-empty table gives an empty result; an empty item table leaves every document clean.
+Defined cases: a null or empty text has no words and is never contaminated; an item without words matches nothing; one
+of fewer words than a window is one window; items of equal text are all reported, those of equal id once; an item with
+a null id marks words but is not listed; repeated documents are judged each by itself; long documents are indexed
+whole; terms of equal frequency go by their hashes, which changes no result; an empty table gives an empty result; an
+empty item table leaves every document clean.
 """
 
 from __future__ import annotations

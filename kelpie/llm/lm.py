@@ -19,9 +19,10 @@ answers add up. So messages grow with the corpus, and no context or document gat
 P(w | v) = max(c(v, w) - D, 0) / c(v) + D * T(v) / c(v) * P(w), T: different successors; after an unknown word P(w).
 P(w) = (c(w) - E) / N for known words, E * V / N for the class of all unknown words, E from the counts of counts.
 
-Defined cases: null or empty text has only its end; words of training texts outside the held-out fold count,
-also in copies; without any training text all words are unknown; repeated rows score alike; rows that are equal in
-id and text meet in one chunk; an empty table gives an empty result.
+Defined cases: null or empty text has only its end; words of training texts outside the held-out fold count, also in
+copies; without any training text all words are unknown; repeated rows score alike; a long text is scored whole, with
+the chunk of its row; words that tie among the frequent ones go by their hashes, which changes where pairs are counted
+but no score; rows that are equal in id and text meet in one chunk; an empty table gives an empty result.
 """
 
 from __future__ import annotations

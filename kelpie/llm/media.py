@@ -6,8 +6,8 @@ samples, 64 pixels = 192 bytes a row). A join by digest resolves the references;
 with the reference, so they stay aligned. Only descriptors take part in the join, never the payloads.
 
 Defined cases: null html or text is empty; a reference without a stored payload resolves to null fields; equal
-payloads are stored once per task and described once; repeated rows and extra columns are kept; an empty table
-gives empty results of the same columns.
+payloads are stored once per task and described once; repeated rows and extra columns are kept; a long text is one
+tall pixmap; there are no ties; an empty table gives empty results of the same columns.
 """
 
 from __future__ import annotations

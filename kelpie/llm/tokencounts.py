@@ -9,8 +9,9 @@ Documents are independent: each is counted where it is read, nothing is shuffled
 to the result of those before; positions count code points.
 
 Defined cases: null or empty text has no tokens; null edits are none; a start beyond the end appends, a deletion
-beyond the end stops there, negative numbers count as zero, a null insertion as empty; repeated rows are counted
-each by itself; an empty table gives an empty result.
+beyond the end stops there, negative numbers count as zero, a null insertion as empty; repeated rows are counted each
+by itself; a long text is one tree in the task that reads it; there are no ties, since no result depends on an order
+of rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations

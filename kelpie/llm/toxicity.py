@@ -18,8 +18,9 @@ toxic texts have, the sparse rows over them, and the different changes that swap
 nothing.
 
 Defined cases: a null or empty text has no features and scores as the intercept says; labels that are null or of
-unknown documents are passed over; with no positive label all scores are the base rate; repeated rows score
-alike; an empty table gives an empty result of the same columns.
+unknown documents are passed over; with no positive label all scores are the base rate; repeated rows score alike; a
+long text is scored whole, each of its features once; features that tie for the last places go by their hashes,
+labelled rows by the hash of their id, then the id; an empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations

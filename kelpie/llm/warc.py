@@ -15,9 +15,10 @@ hdfs, s3, gs), or one of Hadoop's other names for them (s3a, s3n).
 
 Of records with equal payloads, the one with the largest id is a response, the others are revisits of it.
 
-Defined cases: a null payload is empty; a null URL has the empty key; a null id sorts before all, and revisits
-the largest id if there is one; if all ids of equal payloads are null, or several rows share the largest id,
-each of those is a response; repeated rows are separate records; an empty table gives an empty result.
+Defined cases: a null payload is empty; a null URL has the empty key; a null id sorts before all, and revisits the
+largest id if there is one; if all ids of equal payloads are null, or several rows share the largest id, each of those
+is a response; repeated rows are separate records; a long payload is one record, whatever the size of an archive; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
