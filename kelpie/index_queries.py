@@ -39,10 +39,9 @@ def e7_quantized_search(spark, sf_dir):
 # ---- texts ------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT q.doc_id AS needle_id, d.doc_id FROM documents q JOIN documents d ON contains(lower(d.text), lower(substr(q.text, 11, 14))) WHERE q.doc_id % 20 = 0")
+@query("SELECT q.item_id AS needle_id, d.doc_id FROM benchmark q JOIN documents d ON contains(lower(d.text), lower(substr(q.text, 11, 24)))")
 def q25_substring_index(spark, sf_dir):
-    """A stretch of every twentieth document, looked up in all documents."""
-    rows = _t(spark, sf_dir, "documents")
-    index = text_index.build(rows, sinks.scratch(spark, "texts"), "doc_id", "text")
-    needles = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("needle_id"), F.substring("text", 11, 14).alias("needle"))
+    """A stretch of every benchmark item, looked up in all documents."""
+    index = text_index.build(_t(spark, sf_dir, "documents"), sinks.scratch(spark, "texts"), "doc_id", "text")
+    needles = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.substring("text", 11, 24).alias("needle"))
     return text_index.search(index, needles, "needle_id", "needle", "doc_id")
