@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from kelpie.functions.text import MERGE_REF, TICKET_KEY, URL, all_matches, half_even, safe_score, sentences, text_or_empty, ticket_keys, windows
+from kelpie.functions.text import MERGE_REF, URL, all_matches, half_even, safe_score, sentences, text_or_empty, ticket_keys, windows
 from kelpie.operators.vectors import cosine
 from kelpie.sources.sinks import insert_missing, staged
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kelpie.operators import datasets, evaluate, serving
-from kelpie.queries import _PAIRS, _pairs, _t, query
+from kelpie.queries import _PAIRS, _pairs, query
 
 
 def _share(c, k):
