@@ -5,9 +5,10 @@ one. Two sets link if threshold * union <= intersection (in hundredths, exact in
 
 Light sets (size up to a boundary) emit a key for each subset of the sizes that two linked light sets must share.
 Heavy sets, and light ones near the boundary, emit the keys of a prefix in a global order, rare n-grams first:
-linked sets share one. The boundary is the size that saves most over a bounded sample of different sets: for each,
-the entries of the lists that its prefix would meet (sampled counts, scaled to all rows; for n-grams too rare for
-that, ``unseen_lists``) against its subsets. A size of which a set has over ``MOST_SUBSETS`` subsets is always on the list side. Boundary and order affect cost only.
+linked sets share one. N-grams are counted over all rows; those with the largest counts, ``FREQUENT`` at most, have a
+place of their own in the order. The boundary is the size that saves most over all different sets that may be light:
+for each, the entries of the lists that its prefix would meet against its subsets. A size of which a set has over
+``MOST_SUBSETS`` subsets is always on the list side. Boundary and order affect cost only.
 
 Each set also has a signature: how many of its elements fall in each of some ranges of the hash. The sum of the
 lesser counts bounds an intersection from above, so most nodes that share a key by chance are dropped from its
@@ -41,8 +42,8 @@ from pyspark.sql import functions as F
 
 from kelpie.llm._common import Words, column, discard, mix, partitions, staged, text_bytes, text_id, unused
 
-#: Texts in the sample for the order and the boundary, and frequent n-grams that get a place of their own.
-SAMPLE, FREQUENT = 5_000, 100_000
+#: Shards of the counts of n-grams, and frequent n-grams that get a place of their own.
+SHARDS, FREQUENT = 256, 1_000_000
 #: Lists up to this length are pruned by signature; longer ones go on whole.
 PRUNED = 1_000
 #: Sets of a cluster in a block, and pivots of a larger cluster.
@@ -51,6 +52,8 @@ BLOCK, PIVOTS = 1_024, 48
 MOST_SUBSETS = 2_000
 #: Largest size whose subsets are thought of.
 LIGHT = 60
+#: Rows of a table that is sent to all tasks, at most.
+SENT = 300_000
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4")])
 
@@ -182,18 +185,20 @@ def choose_boundary(sizes: dict[int, int], list_length: float | dict[int, float]
     return boundary
 
 
-def unseen_lists(once: int, twice: int, thrice: int) -> float:
-    """For an n-gram that a sample has at most twice, the sets of another sample of that size that may be expected to have
-    it (Good and Turing's estimate, from how many n-grams the sample has once, twice and three times)."""
-    return (2 * twice + 6 * thrice) / (once + 2 * twice) if once + twice else 0.0
+def weights_of(x: np.ndarray, frequent: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """How many sets hold each n-gram, 0 where it is not frequent; an n-gram is known by its leading 40 bits."""
+    if not len(frequent):
+        return np.zeros(len(x), np.int64)
+    short = x >> np.uint64(24)
+    at = np.searchsorted(frequent, short)
+    at[at == len(frequent)] = 0
+    return np.where(frequent[at] == short, weight[at], 0)
 
 
 def rare_first(x: np.ndarray, k: int, frequent: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The first k elements of a set in the global order: by weight (0 if not frequent), then by hash."""
-    at = np.searchsorted(frequent, x)
-    at[at == len(frequent)] = 0
-    common = frequent[at] == x if len(frequent) else np.zeros(len(x), bool)
-    return x[:k] if not common.any() else x[np.lexsort((x, np.where(common, weight[at], 0)))[:k]]
+    weights = weights_of(x, frequent, weight)
+    return x[np.lexsort((x, weights))[:k]] if weights.any() else x[:k]
 
 
 def keys_of(x: np.ndarray, percent: int, boundary: int, frequent: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -209,41 +214,72 @@ def keys_of(x: np.ndarray, percent: int, boundary: int, frequent: np.ndarray, we
     return keys
 
 
-def _plan(docs: DataFrame, text: str, n: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Boundary, frequent n-grams (sorted) and their weights, from a bounded sample of different sets."""
-    total = docs.count()
-    share = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns]), F.lit(1 << 30))
-    sample = docs.where(share < math.ceil((1 << 30) * min(1.0, SAMPLE / max(1, total)))).select(text)
+def _counts(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+    """Of all rows' sets: (gram, times) for n-grams that more than one row has, (null, times) with how many others there are,
+    and (elements) of the different sets that may be light. A batch sends 32 bits of an n-gram to the shard that its
+    first 8 bits name."""
+    lights = max((k for k in range(1, LIGHT + 1) if all(n_subsets(j, percent) <= MOST_SUBSETS for j in range(1, k + 1))), default=0)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [x for x in ngram_sets(column(b, text), n) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "elements"])
+            found, rows = [], {}
+            for x in ngram_sets(column(b, text), n):
+                found.append(x)
+                if 0 < len(x) <= lights:
+                    rows.setdefault(SHARDS + int(x[0] & np.uint64(SHARDS - 1)), []).append(np.uint64(len(x)).tobytes() + x.tobytes())
+            grams = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            shard = (grams >> np.uint64(56)).astype(np.uint8)
+            grams = ((grams >> np.uint64(24)) & np.uint64(0xFFFFFFFF)).astype("<u4")[np.argsort(shard, kind="stable")]
+            ends = np.cumsum(np.bincount(shard, minlength=SHARDS))
+            held = [(p, grams[lo:hi].tobytes()) for p, (lo, hi) in enumerate(zip([0, *ends.tolist()], ends.tolist())) if lo < hi]
+            held += [(p, b"".join(parts)) for p, parts in rows.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.int64()), pa.array([d for _, d in held], pa.binary())], ["shard", "data"])
+
+    def count(table: pa.Table) -> pa.Table:
+        shard, data = table["shard"][0].as_py(), b"".join(table["data"].to_pylist())
+        if shard >= SHARDS:
+            words, at, sets = np.frombuffer(data, np.uint64), 0, set()
+            while at < len(words):
+                size = int(words[at])
+                sets.add(words[at + 1 : at + 1 + size].tobytes())
+                at += 1 + size
+            none = pa.nulls(len(sets), pa.int64())
+            return pa.table({"gram": none, "times": none, "elements": pa.array(list(sets), pa.binary())})
+        values, times = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
+        again = times > 1
+        grams = (np.int64(shard) << np.int64(32)) | values[again].astype(np.int64)
+        return pa.table({"gram": pa.array([None, *grams.tolist()], pa.int64()), "times": pa.array(np.concatenate([[(~again).sum()], times[again]]).astype(np.int64)), "elements": pa.nulls(1 + len(grams), pa.binary())})
+
+    return docs.select(text).mapInArrow(deal, "shard long, data binary").groupBy("shard").applyInArrow(count, "gram long, times long, elements binary")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _plan(docs: DataFrame, text: str, n: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Boundary, frequent n-grams (sorted) and their weights, from all rows; copies count as often as they occur."""
+    counts = staged(_counts(docs, text, n, percent), "counts")
+    again = counts.where("gram is not null")
+    by_times = {r["t"]: (r["grams"], r["entries"], r["squares"]) for r in again.groupBy(F.least("times", F.lit(1_000)).alias("t")).agg(F.count("*").alias("grams"), F.sum("times").alias("entries"), F.sum(F.col("times") * F.col("times")).alias("squares")).collect()}
+    least, held = 1_001, 0
+    while least > 2 and held + by_times.get(least - 1, (0, 0, 0))[0] <= FREQUENT:
+        least -= 1
+        held += by_times.get(least, (0, 0, 0))[0]
+    often = again.where(F.col("times") >= min(least, 1_000)).orderBy(F.desc("times"), "gram").limit(FREQUENT).select("gram", "times").toArrow()  # bounded
+    grams, times = (often[c].to_numpy().astype(np.int64) for c in ("gram", "times"))
+    order = np.argsort(grams)
+    frequent, weight = grams[order].view(np.uint64), times[order]
+    once = counts.where("gram is null and times is not null").agg(F.sum("times")).first()[0] or 0
+    entries = once + sum(e for t, (_, e, _) in by_times.items() if t < least)
+    squares = once + sum(q for t, (_, _, q) in by_times.items() if t < least)
+    rare = squares / entries - 1 if entries else 0.0  # other sets that hold an n-gram which is not frequent
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [np.frombuffer(e, np.uint64) for e in column(b, "elements").to_pylist()]
-            values, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], ["gram", "times"])
-
-    different = staged(sample.mapInArrow(sets, "node binary, elements binary").dropDuplicates(["node"]), "sample")
-    counts = staged(different.select("elements").mapInArrow(count, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")), "sampled")
-    seen = {r["times"]: r["count"] for r in counts.where("times <= 3").groupBy("times").count().collect()}
-    rare = unseen_lists(*(seen.get(r, 0) for r in (1, 2, 3)))
-    often = counts.where("times > 2").orderBy(F.desc("times"), "gram").limit(FREQUENT).collect()
-    grams = sorted((r["gram"] % (1 << 64), r["times"]) for r in often)
-    frequent, weight = np.array([g for g, _ in grams], np.uint64), np.array([t for _, t in grams], np.int64)
-    small = [np.frombuffer(r["elements"], np.uint64) for r in different.where(F.octet_length("elements") <= 8 * LIGHT).select("elements").collect()]  # bounded by the sample
-    discard(different, counts)
-    scale = max(1.0, total / SAMPLE)
-    entries: dict[int, list[float]] = {}
-    for x in small:
-        prefix = rare_first(x, prefix_length(len(x), percent), frequent, weight)
-        at = np.searchsorted(frequent, prefix)
-        at[at == len(frequent)] = 0
-        others = np.where(frequent[at] == prefix, weight[at] - 1, rare) if len(frequent) else np.full(len(prefix), rare)
-        entries.setdefault(len(x), []).append(1 + scale * float(others.mean()))
-    return choose_boundary({k: len(v) for k, v in entries.items()}, {k: float(np.mean(v)) for k, v in entries.items()}, percent), frequent, weight
+            sets = [np.frombuffer(e, np.uint64) for e in column(b, "elements").to_pylist()]
+            met = [weights_of(rare_first(x, prefix_length(len(x), percent), frequent, weight), frequent, weight) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in sets], pa.int64()), pa.array([1 + float(np.where(w > 0, w - 1, rare).mean()) for w in met], pa.float64())], ["size", "met"])
+
+    lists = counts.where("elements is not null").select("elements").mapInArrow(meet, "size long, met double").groupBy("size").agg(F.count("*").alias("sets"), F.avg("met").alias("met")).collect()  # a row a size
+    discard(counts)
+    return choose_boundary({r["size"]: r["sets"] for r in lists}, {r["size"]: r["met"] for r in lists}, percent), frequent, weight
 
 
 _ROWS = "`{key}` {kind}, owner binary, hi long, lo long, n long, keys binary, sig binary"
@@ -373,6 +409,7 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, n: int) -> Da
             yield pa.RecordBatch.from_arrays([column(b, "node"), pa.array([x.tobytes() for x in ngram_sets(column(b, "t"), n)], pa.binary())], ["node", "elements"])
 
     own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), text_id(text).alias("o"))
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted  # else all texts are shuffled
     rows = own.join(wanted, (F.col("o") == F.col("owner")) & F.col("k").eqNullSafe(F.col("least")))
     return rows.select("node", "t").mapInArrow(run, "node long, elements binary").dropDuplicates(["node"])
 

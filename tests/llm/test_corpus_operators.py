@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,18 @@ def test_jaccard_boundary_follows_the_lists(spark):
     assert jaccard.choose_boundary({}, 5.0, 90) == 0 and jaccard.choose_boundary({40: 10_000}, 1e9, 90) == 0
 
 
+def test_jaccard_counts_all_rows(spark):
+    """Weights are the counts over all rows, however many, so shared n-grams end up behind the rare ones in each set's prefix."""
+    texts = [" ".join([f"x{i}y{k}" for k in range(12)] + [f"s{i % 2500}", f"t{i % 50}"]) for i in range(7500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, frequent, weight = jaccard._plan(docs, "text", 1, 90)
+    assert sorted(weight.tolist()) == [3] * 2500 + [150] * 50
+    for x in list(jaccard.ngram_sets(pa.array(texts[:100]), 1)):
+        first = jaccard.rare_first(x, jaccard.prefix_length(len(x), 90), frequent, weight)
+        assert not jaccard.weights_of(first, frequent, weight).any()
+        assert sorted(jaccard.weights_of(x, frequent, weight).tolist())[-2:] == [3, 150]
+
+
 def test_jaccard_large_clusters_and_hot_keys(spark, monkeypatch):
     """Clusters of many blocks, of copies that link and of others that share but a passage, and keys cut by node."""
     for name, value in (("BLOCK", 8), ("PIVOTS", 2), ("PRUNED", 5)):
