@@ -268,16 +268,16 @@ def closest(said: DataFrame, seen: DataFrame, id: str) -> DataFrame:
     blocks = lambda df, c, n: df.groupBy(id, F.floor(F.col(n) / CLOSEST_BLOCK).alias(f"_{n}")).agg(*[F.collect_list(x).alias(x) for x in c])
     kind = said.schema[id].dataType.simpleString()
 
-    def unit(lists: pa.Array) -> np.ndarray:
-        m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+    def cosines(x: pa.Array, y: pa.Array) -> np.ndarray:
+        m, n = (v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1) for v in (x, y))
+        length = np.sqrt((m * m).sum(axis=1)[:, None] * (n * n).sum(axis=1))  # one root, so whole numbers give the nearest double
+        return np.divide(m @ n.T, length, out=np.zeros_like(length), where=length > 0)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             s, a, b = (batch.column(names.index(c)) for c in ("s", "a", "b"))
-            each = [(unit(a[i].values) @ unit(b[i].values).T).max(axis=1) for i in range(batch.num_rows)]
+            each = [cosines(a[i].values, b[i].values).max(axis=1) for i in range(batch.num_rows)]
             if each:
                 sizes = np.array([len(x) for x in each])
                 yield pa.RecordBatch.from_arrays([batch.column(names.index(id)).take(pa.array(np.repeat(np.arange(len(each)), sizes))), s.flatten().cast(pa.int64()), pa.array(np.concatenate(each))], [id, "s", "best"])
