@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Query vectors multiplied at once; more are taken in blocks of this many.
 BLOCK = 4_096
 #: Of these, so many are compared with a batch of rows at a time.
-TILE = 512
+TILE = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -54,6 +55,15 @@ def search(rows: DataFrame, query: list[float], k: int = 10, vector: str = "embe
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), *tie)))  # k rows
 
 
+def first_of_ties(i: np.ndarray, j: np.ndarray, score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Which pairs (query i, row j) of equal score are the first k of their query by ``place`` of the row."""
+    order = np.lexsort((place[j], score, i))
+    new = np.ones(len(order), bool)
+    new[1:] = (i[order][1:] != i[order][:-1]) | (score[order][1:] != score[order][:-1])
+    start = np.flatnonzero(new)
+    return order[np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order)))) < k]
+
+
 def search_many(rows: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", exclude_self: bool = True) -> DataFrame:
     """(query_id, id, score, rank) of the k nearest rows for each query: exact.
 
@@ -83,6 +93,7 @@ def search_many(rows: DataFrame, queries: DataFrame, k: int, id: str = "vec_id",
                 if len(sizes) > 1:
                     raise ValueError(f"vectors of lengths {sorted(sizes)}")
                 m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                by_id = None
                 place = {x: i for i, x in enumerate(keys.to_pylist())} if exclude_self else {}
                 for at in range(0, len(ids), TILE):
                     s = q[at : at + TILE] @ m.T
@@ -93,6 +104,12 @@ def search_many(rows: DataFrame, queries: DataFrame, k: int, id: str = "vec_id",
                     # rounded as ranked below, ties kept by id: take all that reach the k-th score
                     kth = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top]
                     i, j = np.nonzero((s >= kth[:, None] - 1e-9) & np.isfinite(s))
+                    if len(i) > 2 * top * len(s):  # copies of a vector: of each score the first k ids are enough
+                        if by_id is None:
+                            by_id = np.empty(len(keys), np.int64)
+                            by_id[pc.sort_indices(keys, null_placement="at_start").to_numpy()] = np.arange(len(keys))
+                        first = first_of_ties(i, j, s[i, j], by_id, top)
+                        i, j = i[first], j[first]
                     yield pa.RecordBatch.from_arrays([pa.array([ids[at + x] for x in i.tolist()], held.schema.field(0).type), keys.take(pa.array(j)), pa.array(s[i, j])], [query_id, id, "score"])
 
         out = out.unionByName(rows.where(there).select(id, vector).mapInArrow(near, schema))

@@ -3,6 +3,7 @@ import math
 import os
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -251,3 +252,13 @@ def test_drained_streams_stay_out_of_the_driver(spark, sf_dir):
 
     out = queries.st1_event_windows(spark, sf_dir)
     assert out.inputFiles() and out.count() == queries.st1_event_windows(spark, sf_dir).count() > 0
+
+
+def test_copies_of_a_vector_hand_on_k_rows():
+    """Of rows of equal score a batch hands on the first k by id for each query, however many there are."""
+    n = 1_000
+    i, j = np.repeat(np.arange(3), n), np.tile(np.arange(n), 3)
+    score = np.where(i == 1, (j % 2) / 8, 0.5)
+    kept = vectors.first_of_ties(i, j, score, n - 1 - np.arange(n), 4)
+    assert len(kept) == 4 + 8 + 4
+    assert sorted(j[kept][i[kept] == 0].tolist()) == [996, 997, 998, 999] and sorted(j[kept][i[kept] == 1].tolist()) == [992, 993, 994, 995, 996, 997, 998, 999]
