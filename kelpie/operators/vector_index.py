@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ SAMPLE = 20_000
 MOST_LISTS = 4_096
 #: Rows and queries of a block.
 ROWS, QUERIES = 2_048, 512
+#: Pairs of a row and a centre that are held at once, about.
+PAIRS = 65_536
 #: What rounding of scores to nine digits, and sums in another order, may change.
 SLACK = 1e-8
 
@@ -63,14 +66,30 @@ def whole(vector: str) -> Column:
 
 def _matrix(col: pa.Array) -> np.ndarray:
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    sizes = set(np.diff(col.offsets.to_numpy()).tolist())
+    sizes = set(pc.list_value_length(col).to_pylist())
     if len(sizes) > 1:
         raise ValueError(f"vectors of lengths {sorted(sizes)[:5]} in one table")
     return flat.reshape(len(col), -1)
 
 
 def _nearest(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return (2 * m @ centres.T - (centres * centres).sum(axis=1)).argmax(axis=1)
+    length = (centres * centres).sum(axis=1)
+    return np.concatenate([(2 * m[x] @ centres.T - length).argmax(axis=1) for x in _slices(len(m), len(centres))])
+
+
+def _slices(rows: int, lists: int) -> Iterator[slice]:
+    """Runs of rows with ``PAIRS`` pairs with the lists at most, or a row each: memory follows neither batches nor lists."""
+    step = max(1, PAIRS // max(1, lists))
+    for lo in range(0, rows, step):
+        yield slice(lo, min(rows, lo + step))
+
+
+def _asked(b: pa.RecordBatch, lists: int, take) -> Iterator[pa.RecordBatch]:
+    """What ``take`` of each run of rows gives: rows of the run (by number) and lists, as columns of the id, the vector, the list."""
+    for x in _slices(b.num_rows, lists):
+        run = b.slice(x.start, x.stop - x.start)
+        at, which = take(run)
+        yield pa.RecordBatch.from_arrays([run.column(0).take(pa.array(at)), run.column(1).take(pa.array(at)), pa.array(which.astype(np.int32))], [b.schema.names[0], "q", "list"])
 
 
 def learned(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
@@ -130,14 +149,13 @@ def probed(index: Index, queries: DataFrame, probes: int, query_id: str, vector:
     """query_id, q (its vector) and list: the ``probes`` lists (0: all) whose centres have the largest dot products."""
     centres, kind = index.centres, queries.schema[query_id].dataType.simpleString()
 
+    def best(run: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        near = np.argsort(-(_matrix(_list_column(run, vector)) @ centres.T), axis=1, kind="stable")[:, : probes or None]
+        return np.repeat(np.arange(run.num_rows), near.shape[1]), near.ravel()
+
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            near = _matrix(_list_column(b, vector)) @ centres.T
-            best = np.argsort(-near, axis=1, kind="stable")[:, : probes or None]
-            at = np.repeat(np.arange(b.num_rows), best.shape[1])
-            yield pa.RecordBatch.from_arrays([_list_column(b, query_id).take(pa.array(at)), _list_column(b, vector).take(pa.array(at)), pa.array(best.ravel().astype(np.int32))], [query_id, "q", "list"])
+            yield from _asked(b, len(centres), best)
 
     return queries.where(whole(vector)).select(query_id, vector).mapInArrow(take, f"`{query_id}` {kind}, q {queries.schema[vector].dataType.simpleString()}, list int")
 
@@ -148,14 +166,14 @@ def _beyond(index: Index, queries: DataFrame, found: DataFrame, done: DataFrame,
     kth = found.where(F.col("rank") == k).select(query_id, F.col("score").alias("kth"))
     asked = queries.where(whole(vector)).select(query_id, vector).join(kth, query_id, "left").select(query_id, vector, F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
 
+    def beyond(run: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        m = _matrix(_list_column(run, vector))
+        most = m @ centres.T + np.linalg.norm(m, axis=1)[:, None] * radii
+        return np.nonzero((most >= _list_column(run, "kth").to_numpy()[:, None] - SLACK) & (sizes > 0))
+
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            m = _matrix(_list_column(b, vector))
-            most = m @ centres.T + np.linalg.norm(m, axis=1)[:, None] * radii
-            at, which = np.nonzero((most >= _list_column(b, "kth").to_numpy()[:, None] - SLACK) & (sizes > 0))
-            yield pa.RecordBatch.from_arrays([_list_column(b, query_id).take(pa.array(at)), _list_column(b, vector).take(pa.array(at)), pa.array(which.astype(np.int32))], [query_id, "q", "list"])
+            yield from _asked(b, len(centres), beyond)
 
     return asked.mapInArrow(take, done.schema).join(done.select(query_id, "list"), [query_id, "list"], "left_anti").select(query_id, "q", "list")
 

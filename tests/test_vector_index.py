@@ -1,6 +1,7 @@
 """The vector index against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,19 @@ def test_search_many_passes_over_vectors_with_nulls(spark):
     assert sorted((r.query_id, r.vec_id) for r in got) == [(1, 2), (2, 1)]
     with pytest.raises(Exception, match="lengths"):
         vectors.search_many(df.unionByName(spark.createDataFrame([(9, [1.0])], df.schema)), df.where("vec_id = 1").withColumnRenamed("vec_id", "query_id"), 3).collect()
+
+
+def test_rows_and_lists_are_taken_in_runs():
+    """10,000 queries by 4,096 lists never make more than PAIRS rows of a vector at once; nearest centres are as in one product."""
+    rng = np.random.default_rng(8)
+    rows, centres = rng.normal(size=(3_000, 4)), rng.normal(size=(900, 4))
+    assert (vector_index._nearest(rows, centres) == (2 * rows @ centres.T - (centres * centres).sum(axis=1)).argmax(axis=1)).all()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3_000)), pa.array(rows.tolist())], ["query_id", "v"])
+    every = lambda run: (np.repeat(np.arange(run.num_rows), 900), np.tile(np.arange(900), run.num_rows))
+    seen = 0
+    for out in vector_index._asked(batch, 900, every):
+        assert out.num_rows <= vector_index.PAIRS
+        at = seen // 900
+        assert out["query_id"][0].as_py() == at and out["q"][0].as_py() == rows[at].tolist()
+        seen += out.num_rows
+    assert seen == 3_000 * 900
