@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kelpie.operators import graph
 
@@ -53,3 +54,18 @@ def test_limit_is_per_seed(spark):
     chunks = spark.createDataFrame([(f"{s}{i}", f"c{s}{i}", 0) for s in "ab" for i in range(5)], "owner string, chunk_id string, chunk_index int")
     out = graph.expand_chunks(rows, spark.createDataFrame([("a",), ("b",)], "key string"), chunks, 2, 2).collect()
     assert sorted((r.seed, r.neighbor) for r in out) == [("a", "a0"), ("a", "a1"), ("b", "b0"), ("b", "b1")]
+
+
+def test_levels_take_tasks_by_their_steps(spark, monkeypatch):
+    """A level's rows are dealt to tasks by their number, and what one seed reaches is not sent to one task."""
+    monkeypatch.setattr(graph, "LEVEL", 50)
+    rows = [("a", f"s{i}", "R", "b", f"p{(i * 7 + k) % 60}") for i in range(40) for k in range(5)]
+    e = spark.createDataFrame(rows, graph.EDGE)
+    seeds = spark.createDataFrame([("s0",), ("s1",)], "key string")
+    step = graph.both_ways(e)
+    front = seeds.select(F.col("key").alias("node"))
+    assert graph._parts(front, step) == 8 and graph._parts(front.crossJoin(spark.range(200)), step) == 40
+    out = graph.expand(e, seeds, hops=3)
+    assert out.rdd.getNumPartitions() >= 8
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(seed" in plan and not [x for x in plan.splitlines() if "hashpartitioning(seed" in x and "node" not in x]
