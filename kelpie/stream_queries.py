@@ -70,8 +70,9 @@ def st5_scored_turns(spark, sf_dir):
     its checkpoint, and then held against scores of all turns at once."""
     landed, out, checkpoint = (sinks.scratch(spark, x) for x in ("landed", "scored", "stream"))
     turns = _turns(spark, sf_dir)
-    turns.repartition(4).write.parquet(landed)
-    source = jobs.files(spark, turns.schema, landed, 2)
+    half = max(2, spark.sparkContext.defaultParallelism)  # two batches, each of as many files as there are cores
+    turns.repartition(2 * half).write.parquet(landed)
+    source = jobs.files(spark, turns.schema, landed, half)
     score = lambda rows: evaluate.evaluate(rows, year=2025).select("turn_id", "faithfulness", "weighted_score", "failure_tags", "quality_grade")
 
     def cut_off(number: int) -> None:

@@ -64,3 +64,17 @@ def test_scoring_cut_off_and_started_again(spark, tmp_path, at):
     assert seen == [*range(at + 1), *range(at, 3)]
     jobs.score_turns(stream, out, cp, score=score, written=seen.append).awaitTermination()
     assert len(seen) == at + 1 + 3 - at and jobs.scored_turns(spark, out).count() == 31
+
+
+def test_scored_turns_take_all_cores(spark, sf_dir, monkeypatch):
+    """However many cores: two batches, each with a file a core."""
+    from kelpie import stream_queries
+
+    seen = []
+    files = stream_queries.jobs.files
+    monkeypatch.setattr(stream_queries.jobs, "files", lambda spark, schema, path, n: seen.append((path, n)) or files(spark, schema, path, n))
+    found = stream_queries.st5_scored_turns(spark, sf_dir)
+    assert found.where("times = 1 and as_in_one_batch").count() == found.count() > 0
+    (path, n), cores = seen[0], spark.sparkContext.defaultParallelism
+    landed = spark.read.parquet(path)
+    assert n == max(2, cores) and n < len(landed.inputFiles()) <= 2 * n
