@@ -44,6 +44,8 @@ from kelpie.llm._common import Words, column, discard, mix, partitions, staged,
 
 #: Shards of the counts of n-grams, and frequent n-grams that get a place of their own.
 SHARDS, FREQUENT = 256, 1_000_000
+#: N-grams of a batch that are held until they are dealt to their shards.
+DEALT = 500_000
 #: Lists up to this length are pruned by signature; longer ones go on whole.
 PRUNED = 1_000
 #: Sets of a cluster in a block, and pivots of a larger cluster.
@@ -216,24 +218,31 @@ def keys_of(x: np.ndarray, percent: int, boundary: int, frequent: np.ndarray, we
 
 def _counts(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
     """Of all rows' sets: (gram, times) for n-grams that more than one row has, (null, times) with how many others there are,
-    and (elements) of the different sets that may be light. A batch sends 32 bits of an n-gram to the shard that its
-    first 8 bits name."""
+    and (elements) of the different sets that may be light. ``DEALT`` n-grams at a time, 32 bits of an n-gram go to the
+    shard that its first 8 bits name."""
     lights = max((k for k in range(1, LIGHT + 1) if all(n_subsets(j, percent) <= MOST_SUBSETS for j in range(1, k + 1))), default=0)
 
+    def send(found: list[np.ndarray], rows: dict[int, list[bytes]]) -> pa.RecordBatch:
+        grams = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        shard = (grams >> np.uint64(56)).astype(np.uint8)
+        grams = ((grams >> np.uint64(24)) & np.uint64(0xFFFFFFFF)).astype("<u4")[np.argsort(shard, kind="stable")]
+        ends = np.cumsum(np.bincount(shard, minlength=SHARDS))
+        held = [(p, grams[lo:hi].tobytes()) for p, (lo, hi) in enumerate(zip([0, *ends.tolist()], ends.tolist())) if lo < hi]
+        held += [(p, b"".join(parts)) for p, parts in rows.items()]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.int64()), pa.array([d for _, d in held], pa.binary())], ["shard", "data"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, rows = [], {}
+            found, rows, size = [], {}, 0
             for x in ngram_sets(column(b, text), n):
                 found.append(x)
+                size += len(x)
                 if 0 < len(x) <= lights:
                     rows.setdefault(SHARDS + int(x[0] & np.uint64(SHARDS - 1)), []).append(np.uint64(len(x)).tobytes() + x.tobytes())
-            grams = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            shard = (grams >> np.uint64(56)).astype(np.uint8)
-            grams = ((grams >> np.uint64(24)) & np.uint64(0xFFFFFFFF)).astype("<u4")[np.argsort(shard, kind="stable")]
-            ends = np.cumsum(np.bincount(shard, minlength=SHARDS))
-            held = [(p, grams[lo:hi].tobytes()) for p, (lo, hi) in enumerate(zip([0, *ends.tolist()], ends.tolist())) if lo < hi]
-            held += [(p, b"".join(parts)) for p, parts in rows.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.int64()), pa.array([d for _, d in held], pa.binary())], ["shard", "data"])
+                if size >= DEALT:
+                    yield send(found, rows)
+                    found, rows, size = [], {}, 0
+            yield send(found, rows)
 
     def count(table: pa.Table) -> pa.Table:
         shard, data = table["shard"][0].as_py(), b"".join(table["data"].to_pylist())

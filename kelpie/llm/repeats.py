@@ -40,7 +40,7 @@ GRAM = 64
 STEP = 16
 #: Occurrences from which an anchor may count as hot, and the part of a partition's fair share that makes it so.
 HOT_FROM, HOT_PART = 1_000, 1 / 64
-_PLACE = 21  # bits of a position in a chunk
+_PLACE = 18  # bits of a position in a chunk, whose arrays are eight bytes a position; more for a long match
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _FACTOR)
 #: Bytes sorted together, unless one anchor has more.
@@ -67,19 +67,20 @@ def runs(raw: np.ndarray, at: np.ndarray, match: int) -> tuple[np.ndarray, ...]:
     spans = np.flatnonzero(lengths >= match)
     if not len(spans):
         return none
-    size = (1 << _PLACE) - 2 * match
+    place = max(_PLACE, (4 * match).bit_length())
+    size = (1 << place) - 2 * match
     up, down = _powers(min(n, size + 2 * match) + 1)
-    out_anchor, out_hash, out_window = [], [], []
-    allowed = np.zeros(n + 1, np.int32)
-    np.add.at(allowed, at[spans], 1)
-    np.add.at(allowed, at[spans] + lengths[spans] - match + 1, -1)
-    allowed = np.cumsum(allowed[:-1]) > 0
+    found = []
+    edges = np.zeros(n + 1, np.int8)
+    edges[at[spans]] = 1
+    edges[at[spans] + lengths[spans] - match + 1] = -1
+    allowed = np.cumsum(edges[:-1], dtype=np.int8, out=edges[:-1]).view(bool)
+    mask = np.uint64((1 << place) - 1)
     for lo in range(0, n - match + 1, size):
         part = raw[lo : min(n, lo + size + match - 1)]
         m = len(part)
         prefix = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[part] * up[:m], dtype=np.uint64)])
         grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: m - GRAM + 1])
-        mask = np.uint64((1 << _PLACE) - 1)
         least = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
         width = 1
         while 2 * width <= reach:
@@ -87,18 +88,20 @@ def runs(raw: np.ndarray, at: np.ndarray, match: int) -> tuple[np.ndarray, ...]:
             width *= 2
         least = np.minimum(least[: len(least) - (reach - width)], least[reach - width :])
         window = np.flatnonzero(allowed[lo : lo + len(least)])
+        if not len(window):
+            continue
         anchor = (least[window] & mask).astype(np.int64)
-        # only where a run begins; runs that go on over a chunk's end are joined below
-        out_window.append(window + lo)
-        out_anchor.append(anchor + lo)
-        out_hash.append(grams[anchor])
-    window, anchor, grams = np.concatenate(out_window), np.concatenate(out_anchor), np.concatenate(out_hash)
-    if not len(window):
+        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)]))
+        last = np.append(first[1:], len(window)) - 1
+        found.append((window[first] + lo, window[last] + lo, anchor[first] + lo, grams[anchor[first]]))
+    if not found:
         return none
-    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)]))
-    last = np.concatenate([first[1:], [len(window)]]) - 1
-    begin = window[first]
-    return np.searchsorted(at, begin, "right") - 1, begin, window[last], anchor[first], grams[first]
+    begin, last, anchor, grams = (np.concatenate(c) for c in zip(*found))
+    # runs that go on over a chunk's end are joined
+    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (begin[1:] != last[:-1] + 1)]))
+    last = last[np.append(first[1:], len(begin)) - 1]
+    begin = begin[first]
+    return np.searchsorted(at, begin, "right") - 1, begin, last, anchor[first], grams[first]
 
 
 def _slices(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -184,6 +185,54 @@ def test_repeats(odd, hot_from):
         repeats.find_repeats(odd, match=100)
 
 
+def test_runs_take_memory_by_chunk(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 900, 1500)
+    sizes[[3, 700]] = 600_000, 2_000  # one text goes on over several chunks
+    sizes[900] = 0
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    raw = rng.integers(97, 123, at[-1]).astype(np.uint8)
+    raw[200_000:300_000] = 97  # equal strings on both sides of a chunk's end
+    tracemalloc.start()
+    try:
+        found = repeats.runs(raw, at, 200)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 * len(raw)  # about 100 bytes a byte of text where whole slices were held
+    doc, begin, last, anchor, _ = found
+    windows = np.concatenate([np.arange(a, b + 1) for a, b in zip(begin, last)])
+    assert windows.tolist() == [w for a, n in zip(at, sizes) for w in range(a, a + n - 199)]
+    assert ((at[doc] <= begin) & (last + 200 <= at[doc + 1]) & (begin <= last) & (last <= anchor) & (anchor + 64 <= begin + 200)).all()
+    assert not ((anchor[1:] == anchor[:-1]) & (begin[1:] == last[:-1] + 1)).any()  # no run is cut in two
+    monkeypatch.setattr(repeats, "_PLACE", 10)  # a long match takes longer chunks
+    assert len(repeats.runs(raw[:9000], np.array([0, 9000]), 4000)[0])
+
+
+def test_ngrams_are_dealt_in_parts_of_a_batch():
+    taken = []
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            taken.append(function)
+            return self
+
+        groupBy = applyInArrow = select
+
+    jaccard._counts(Rows(), "text", 3, 90)
+    words = np.random.default_rng(6).integers(0, 10**9, 1_500_000).astype(str).tolist()
+    texts = pa.array([" ".join(words[i : i + 3000]) for i in range(0, len(words), 3000)] + ["one two", None])
+    got = list(taken[0](iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
+    blobs = [(p, d) for b in got for p, d in zip(b["shard"].to_pylist(), b["data"].to_pylist())]
+    want = collections.Counter(g for x in jaccard.ngram_sets(texts, 3) for g in (x >> np.uint64(24)).tolist())
+    assert collections.Counter((p << 32) | int(v) for p, d in blobs if p < jaccard.SHARDS for v in np.frombuffer(d, "<u4")) == want
+    assert [np.frombuffer(d, np.uint64).tolist()[0] for p, d in blobs if p >= jaccard.SHARDS] == [1]  # the one small set
+    assert max(b.nbytes for b in got) < 4_000_000  # 6 MB at once before
+
+
 def test_remove_repeats_keeps_rows_and_columns(odd):
     out = repeats.remove_repeats(odd)
     assert all(r[c] == f"kept {c}" for r in out.collect() for c in CLASHING)
