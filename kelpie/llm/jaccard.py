@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpie.llm._common import Words, column, discard, mix, partitions, staged, text_bytes, text_id, unused
+from kelpie.llm._common import Words, column, discard, mix, partitions, small_batches, staged, text_id, text_runs, unused
 
 #: Shards of the counts of n-grams, and frequent n-grams that get a place of their own.
 SHARDS, FREQUENT = 256, 1_000_000
@@ -60,14 +60,10 @@ _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 _ENTRY = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4")])
 
 
-def ngram_sets(texts: pa.Array, n: int = 3, most: int = 4_000_000) -> Iterator[np.ndarray]:
+def ngram_sets(texts: pa.Array, n: int = 3, most: int = 1_000_000) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text; texts are taken by runs of at most ``most`` bytes."""
-    _, at = text_bytes(texts)
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
-        yield from _run_sets(texts.slice(lo, hi - lo), n)
-        lo = hi
+    for run in text_runs(texts, most):
+        yield from _run_sets(run, n)
 
 
 def _run_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -257,7 +253,7 @@ def _counts(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
         values, times = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
         again = times > 1
         grams = (np.int64(shard) << np.int64(32)) | values[again].astype(np.int64)
-        return pa.table({"gram": pa.array([None, *grams.tolist()], pa.int64()), "times": pa.array(np.concatenate([[(~again).sum()], times[again]]).astype(np.int64)), "elements": pa.nulls(1 + len(grams), pa.binary())})
+        return pa.table({"gram": pa.array(np.append(0, grams), pa.int64(), mask=np.arange(1 + len(grams)) == 0), "times": pa.array(np.concatenate([[(~again).sum()], times[again]]).astype(np.int64)), "elements": pa.nulls(1 + len(grams), pa.binary())})
 
     return docs.select(text).mapInArrow(deal, "shard long, data binary").groupBy("shard").applyInArrow(count, "gram long, times long, elements binary")
 
@@ -556,6 +552,7 @@ def _resolve(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """Per row: key, n_shingles (size of its set), component_id (the least key reachable by links, own included),
     owner (128 bits of the text) and group, a label of the component; null for the empty set."""
+    small_batches(docs.sparkSession)
     docs = docs.select(key, text)
     rows = staged(_describe(docs, key, text, n, percent, _plan(docs, text, n, percent)), "sets")
     by_key = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("least"), "owner")
@@ -579,10 +576,18 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     rows equal in both, any one. Texts without words all stay; an empty table stays empty; columns of any name pass."""
     worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     found = join_components(docs, key, text, n, percent).where("group is not null")
-    chosen = F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), "owner")).alias("f")
-    first = staged(found.groupBy("group").agg(chosen).select("f.k", "f.owner"), "chosen")
+    chosen = F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), "owner", "times")).alias("f")
+    times = found.groupBy("group", key, "owner").agg(F.count("*").alias("times"))
+    first = staged(times.groupBy("group").agg(chosen).select("f.k", "f.owner", "f.times"), "chosen")
     mine, kept_key, kept_owner = unused(docs, "mine"), unused(docs, "kept_key"), unused(docs, "kept_owner")
     rows = docs.where(worded).withColumn(mine, text_id(text))
-    first = first.select(F.col("k").alias(kept_key), F.col("owner").alias(kept_owner))
-    kept = rows.join(first, (F.col(mine) == F.col(kept_owner)) & F.col(key).eqNullSafe(F.col(kept_key))).dropDuplicates([kept_owner, kept_key])
+    sent = first.count() <= SENT  # else all texts are shuffled
+
+    def those(where: str) -> DataFrame:
+        wanted = first.where(where).select(F.col("k").alias(kept_key), F.col("owner").alias(kept_owner))
+        return rows.join(F.broadcast(wanted) if sent else wanted, (F.col(mine) == F.col(kept_owner)) & F.col(key).eqNullSafe(F.col(kept_key)))
+
+    kept = those("times = 1")
+    if first.where("times > 1").limit(1).count():  # only repeated rows meet
+        kept = kept.unionByName(those("times > 1").dropDuplicates([kept_owner, kept_key]))
     return kept.select(docs.columns).unionByName(docs.where(~worded))

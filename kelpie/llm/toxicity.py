@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm._common import ALNUM, Words, column, discard, ragged, staged, unused
+from kelpie.llm._common import ALNUM, BATCH_BYTES, Words, column, discard, ragged, small_batches, staged, text_runs, unused
 
 PREFIXES = (4, 5, 6)
 #: Terms in a learned kind.
@@ -256,25 +256,30 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
         raise ValueError(f"there is a column {out} already")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{out}` double"
     weights, intercept, names = model.weights, model.intercept, list(docs.columns)
+    small_batches(docs.sparkSession)
+
+    def logits(texts: pa.Array) -> np.ndarray:
+        w = Words(texts, ALNUM)
+        hits: list[list[int]] = []
+        which = np.zeros(len(w.dictionary), bool)
+        for i, x in enumerate(w.dictionary.to_pylist()):
+            if found := [h for f in word_features(x.lower()) if (h := hashed(f)) in weights]:
+                which[i] = True
+                hits.append(found)
+        number = np.cumsum(which) - 1
+        at = np.flatnonzero(which[w.codes]) if len(w.codes) else np.zeros(0, np.int64)
+        doc = np.searchsorted(w.offsets, at, "right") - 1
+        present: dict[int, set[int]] = {}
+        for d, n in zip(doc.tolist(), number[w.codes[at]].tolist()):
+            present.setdefault(d, set()).update(hits[n])
+        z = np.full(len(texts), intercept)
+        for d, features in present.items():
+            z[d] += sum(weights[f] for f in features)
+        return z
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = Words(column(b, text), ALNUM)
-            hits: list[list[int]] = []
-            which = np.zeros(len(w.dictionary), bool)
-            for i, x in enumerate(w.dictionary.to_pylist()):
-                if found := [h for f in word_features(x.lower()) if (h := hashed(f)) in weights]:
-                    which[i] = True
-                    hits.append(found)
-            number = np.cumsum(which) - 1
-            at = np.flatnonzero(which[w.codes]) if len(w.codes) else np.zeros(0, np.int64)
-            doc = np.searchsorted(w.offsets, at, "right") - 1
-            present: dict[int, set[int]] = {}
-            for d, n in zip(doc.tolist(), number[w.codes[at]].tolist()):
-                present.setdefault(d, set()).update(hits[n])
-            z = np.full(b.num_rows, intercept)
-            for d, features in present.items():
-                z[d] += sum(weights[f] for f in features)
+            z = np.concatenate([np.zeros(0), *(logits(t) for t in text_runs(column(b, text), BATCH_BYTES))])
             yield pa.RecordBatch.from_arrays([*(column(b, f) for f in names), pa.array(1 / (1 + np.exp(-z)))], [*names, out])
 
     return docs.mapInArrow(run, schema)

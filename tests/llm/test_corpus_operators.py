@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kelpie.llm import chat, decontamination, jaccard, lm, packing, repeats, suffixes, toxicity, warc
+from kelpie.llm import _common, chat, decontamination, jaccard, lm, packing, repeats, suffixes, toxicity, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -233,6 +233,67 @@ def test_ngrams_are_dealt_in_parts_of_a_batch():
     assert max(b.nbytes for b in got) < 4_000_000  # 6 MB at once before
 
 
+def test_workers_get_small_batches(spark, odd):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("some words "), 400).alias("text"))  # 26 MB, in one batch before
+    name = _common.BATCH_SETTING
+    for run in (lambda d: jaccard.join_components(d), lambda d: toxicity.score(d, toxicity.Model(0.0), out="toxicity")):
+        spark.conf.unset(name)
+        run(odd)
+        got = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+        assert len(got) > 1 and max(got) < 1.1 * _common.BATCH_BYTES
+    spark.conf.set(name, "1m")
+    _common.small_batches(spark)
+    assert spark.conf.get(name) == "1m"  # a session's own setting wins
+    spark.conf.unset(name)
+
+
+def test_one_of_each_shuffles_no_text_that_is_there_once(spark):
+    texts = ["one two three four five six", "one two three four five SIX", "another text of seven words in all", None]
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, mine string")
+    out = jaccard.one_of_each(docs)
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()  # all texts were dealt by it before
+    assert sorted((r["doc_id"], r["text"], r["mine"]) for r in out.collect()) == [(i, texts[i], "kept") for i in (0, 2, 3)]
+    again = docs.unionByName(docs).unionByName(spark.createDataFrame([(None, texts[2], "kept"), (None, "x y", "kept"), (None, "x y", "kept")], docs.schema))
+    rows = collections.Counter((r["doc_id"], r["text"], r["mine"]) for r in jaccard.one_of_each(again).collect())
+    assert rows == {(0, texts[0], "kept"): 1, (2, texts[2], "kept"): 1, (3, None, "kept"): 2, (None, "x y", "kept"): 1}
+
+
+def test_scores_take_memory_by_run_of_texts():
+    taken = []
+
+    class Rows:
+        columns, schema = ["text"], type("Schema", (), {"fields": []})
+        sparkSession = type("Session", (), {"conf": type("Conf", (), {"getAll": {_common.BATCH_SETTING: "64m"}})})
+
+        def mapInArrow(self, function, schema):
+            taken.append(function)
+
+    model = toxicity.Model(-1.0, {toxicity.hashed("=bad"): 2.5, toxicity.hashed("awfu"): 0.75})
+    toxicity.score(Rows(), model)
+    text = "plain words and more of them " * 100
+    texts = pa.array([None, "", *[text, text + "bad", text + "Bad awful"] * 4000, "bad"])  # 35 MB
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    before = pa.total_allocated_bytes()
+    highest = 0
+
+    def watched(given, table):
+        nonlocal highest
+        w = _common.Words(given, table)
+        highest = max(highest, pa.total_allocated_bytes() - before)
+        return w
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "Words", watched)
+        got = next(taken[0](iter([batch])))["score"].to_numpy()
+    assert highest < 40_000_000  # over 60 MB where a batch was taken whole
+    want = [1 / (1 + math.exp(-z)) for z in [-1.0, -1.0, *[-1.0, 1.5, 2.25] * 4000, 1.5]]
+    assert np.allclose(got, want)
+
+
 def test_remove_repeats_keeps_rows_and_columns(odd):
     out = repeats.remove_repeats(odd)
     assert all(r[c] == f"kept {c}" for r in out.collect() for c in CLASHING)
