@@ -69,3 +69,34 @@ def test_levels_take_tasks_by_their_steps(spark, monkeypatch):
     assert out.rdd.getNumPartitions() >= 8
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning(seed" in plan and not [x for x in plan.splitlines() if "hashpartitioning(seed" in x and "node" not in x]
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3, 4, 5])
+@pytest.mark.parametrize("many, sent", [(1, 300_000), (2, 4)])
+def test_rows_that_go_on_as_one_equal_paths(spark, monkeypatch, hops, many, sent):
+    """Also where rows at a node go on as one from the first, in blocks of seeds, with loops and double edges."""
+    monkeypatch.setattr(graph, "MANY", many)
+    monkeypatch.setattr(graph, "SENT", sent)
+    rng = random.Random(10 * hops + many)
+    n, m = (9, 11) if hops < 5 else (7, 9)
+    edges = [(f"{rng.randrange(n)}", rng.choice("RS"), f"{rng.randrange(n)}") for _ in range(m)] + [("0", "R", "0"), ("0", "R", "1"), ("1", "S", "0")]
+    seeds = [f"{i}" for i in range(n)]
+    rows = spark.createDataFrame([("t", s, r, "t", d) for s, r, d in edges], graph.EDGE)
+    found = [((r.seed, r.neighbor, r.rel), r.distance) for r in graph.expand(rows, spark.createDataFrame([(s,) for s in seeds], "key string"), hops).collect()]
+    assert len(found) == len(dict(found)) and dict(found) == brute(edges, seeds, hops)
+
+
+def test_last_level_is_not_stored(spark, monkeypatch, tmp_path):
+    """40 seeds at a hub of 30 with 50 leaves each: 60,000 rows of the last level, and no table or shuffle of as many."""
+    stored, staged = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: (stored.append(out := staged(df, name)), out)[1])
+    edges = [("t", f"s{i}", "R", "t", "hub") for i in range(40)] + [("t", "hub", "R", "t", f"m{i}") for i in range(30)]
+    edges += [("t", f"m{i}", "R", "t", f"x{i}_{k}") for i in range(30) for k in range(50)]
+    out = graph.expand(spark.createDataFrame(edges, graph.EDGE), spark.createDataFrame([(f"s{i}",) for i in range(40)], "key string"), 3)
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    sent = lambda: sum(s.shuffleWriteRecords() for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)))
+    before = sent()
+    out.write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.where("distance = 3").count() == 60_000 and rows.count() == 40 * (1 + 39 + 30 + 1_500)
+    assert max(t.count() for t in stored) < 10_000 and sent() - before < 10_000
